@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import shared, tokenids
 from .minhash import near_duplicates
+from .mixing import mix_report
+from .urlfilter import PATTERNS, SITES, judge_urls, site_rule
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +25,30 @@ def _add(f):
     return f
 
 
+@_add
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(_table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    """The byte-level vocabulary that op4 and the pipeline use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_add
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared.new_path(spark, "token-blocks")
+    tokenids.write_ids(_table(spark, sf_dir, "documents"), path, tokenizer_path(), end=0)
+    return tokenids.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@_add
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), tuple(site_rule(v, r) for v, r in SITES) + PATTERNS)
+
+
 @_add
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
