@@ -115,6 +115,11 @@ def units(sources: DataFrame, shards: int, seed: int) -> DataFrame:
     return place.join(quota, "_src").where("r > lo AND r <= hi").select("_src", F.floor(F.col("u") / BLOCKS).cast("int").alias("pass"), (F.col("u") % BLOCKS).cast("int").alias("block"), "shard")
 
 
+def _shard(shards: int) -> Column:
+    """A row's shard: its unit's, and for the row that closes a source's gap, whose block may be no unit, its hash's."""
+    return F.coalesce("shard", F.pmod("_h", F.lit(shards)).cast("int"))
+
+
 def mix_report(docs: DataFrame, seed: int = 1, shards: int = 16) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, shard) for each row of ``docs`` (doc_id, source, text).
 
@@ -126,7 +131,7 @@ def mix_report(docs: DataFrame, seed: int = 1, shards: int = 16) -> DataFrame:
     r = _copies(sizes, sources, leaf)
     first = units(sources, shards, seed).where("pass = 0").select("_src", "block", "shard")
     r = r.withColumn("block", F.floor(F.col("_l1") / (FINE // BLOCKS)).cast("int")).join(first, ["_src", "block"], "left")
-    return r.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"), "copies", F.when(F.col("copies") > 0, F.col("shard")).alias("shard"))
+    return r.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"), "copies", F.when(F.col("copies") > 0, _shard(shards)).alias("shard"))
 
 
 def mix(docs: DataFrame, seed: int = 1, shards: int | None = None) -> DataFrame:
@@ -141,6 +146,6 @@ def mix(docs: DataFrame, seed: int = 1, shards: int | None = None) -> DataFrame:
     rows = _sized(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "source", "text"), seed)
     rows = _copies(rows.drop("text"), sources, leaf).where("copies > 0")
     rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("block", F.floor(F.col("_l1") / (FINE // BLOCKS)).cast("int"))
-    dealt = rows.join(units(sources, shards, seed), ["_src", "pass", "block"])
+    dealt = rows.join(units(sources, shards, seed), ["_src", "pass", "block"], "left").withColumn("shard", _shard(shards))
     local = F.xxhash64(F.lit(seed + 7), "_h", "pass")
     return dealt.repartition(shards, "shard").sortWithinPartitions("shard", local, "doc_id").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
