@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import shared, tokenids
+from .langid import language_report
 from .minhash import near_duplicates
 from .mixing import mix_report
+from .quality import quality_report
+from .toxicity import toxicity_report
 from .urlfilter import PATTERNS, SITES, judge_urls, site_rule
 
 
@@ -30,6 +33,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_table(spark, sf_dir, "documents"))
 
 
+@_add
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(_table(spark, sf_dir, "documents"))
+
+
+@_add
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def tokenizer_path() -> str:
     """The byte-level vocabulary that op4 and the pipeline use."""
     import public_tokenizers
@@ -49,6 +62,11 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), tuple(site_rule(v, r) for v, r in SITES) + PATTERNS)
 
 
+@_add
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_add
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)

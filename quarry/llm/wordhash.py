@@ -23,6 +23,9 @@ _VALUE = _bytes.copy()
 _VALUE[65:91] = _bytes[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: For words of letters and digits: every other ASCII sign parts them too.
+_SIGN = _SPACE.copy()
+_SIGN[[c for c in range(128) if not chr(c).isalnum()]] = True
 _powers = {"n": 0, "up": np.ones(0, np.uint64), "down": np.ones(0, np.uint64)}
 
 
@@ -73,15 +76,16 @@ def chunks(off: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def words(raw: np.ndarray, off: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents i..j-1: (hash of each word, first byte, byte after the last, first word of each document and the end)."""
+def words(raw: np.ndarray, off: np.ndarray, i: int, j: int, signs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents i..j-1: (hash of each word, first byte, byte after the last, first word of each document and the end).
+    signs: words are runs of letters and digits, parted by all other ASCII characters."""
     lo, hi = int(off[i]), int(off[j])
     b = raw[lo:hi]
     n = len(b)
     if n == 0:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, np.zeros(j - i + 1, np.int64)
-    solid = ~_SPACE[b]
+    solid = ~(_SIGN if signs else _SPACE)[b]
     cut = np.zeros(n + 1, bool)  # a document starts here
     cut[off[i : j + 1] - lo] = True
     before = np.empty(n, bool)
