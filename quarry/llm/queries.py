@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import shared, tokenids
+from .decontaminate import contaminated
 from .langid import language_report
+from .linededup import line_report
 from .minhash import near_duplicates
 from .mixing import mix_report
 from .quality import quality_report
@@ -57,6 +59,16 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@_add
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_add
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_table(spark, sf_dir, "documents"))
+
+
 @_add
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), tuple(site_rule(v, r) for v, r in SITES) + PATTERNS)
