@@ -1,11 +1,78 @@
-"""The corpus pipeline; its stages are added with their operators."""
+"""From raw documents to token-id files: language, near-duplicates, benchmark leaks, mixing, token ids.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir), decides over all rows of ``docs``, and returns what goes on.  All but the last
+return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import shared, tokenids
+from quarry.llm.decontaminate import decontaminate
+from quarry.llm.langid import identify, train
+from quarry.llm.minhash import near_duplicates
+from quarry.llm.mixing import mix
+from quarry.llm.queries import tokenizer_path
+from quarry.llm.sampling import fold
+
+#: A language whose calibrated probability is below this is no language that the corpus knows.
+LEAST_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter and texts that no learned language fits."""
+    model = train(docs.where(F.coalesce(fold(4) != 2, F.lit(True))))
+    return identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near-duplicates the document of the least id, and of repeated rows one."""
+    judged = near_duplicates(docs)
+    gone = shared.written(judged.where("NOT kept").select("doc_id").distinct(), "pipeline-copies")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = shared.written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
+    if twice.isEmpty():
+        return left
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionAll(left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and drops documents so that the sources reach their target shares."""
+    return mix(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the corpus as token-id files; returns what is read back from them."""
+    path = shared.new_path(spark, "pipeline-ids")
+    tokenids.write_ids(docs, path, tokenizer_path(), end=0)
+    return tokenids.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixture", mixture),
+    ("token_ids", token_ids),
+]
+
+#: No stage but the mixture can be put in SQL; tests compare the pipeline with brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each one's rows written and read again."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    before = None
+    for name, stage in STAGES:
+        docs = shared.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        shared.drop(before)
+        before = docs
     return docs

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import wordhash
+from . import shared, wordhash
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -273,5 +273,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     are judged by their text alone, like others: a null-safe comparison would drop all of them for one hit, so they
     are numbered by their text's hash."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    hits = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark).select("doc_id").distinct()
-    return docs.join(hits.withColumnRenamed("doc_id", "_hit"), key == F.col("_hit"), "left_anti")
+    hits = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_hit")).distinct()
+    # written first, so that the planner knows how few they are before it moves any text
+    return docs.join(shared.written(hits, "decontaminate-hits"), key == F.col("_hit"), "left_anti")

@@ -10,6 +10,7 @@ from . import shared, tokenids
 from .decontaminate import contaminated
 from .langid import language_report
 from .linededup import line_report
+from .media import media_report
 from .minhash import near_duplicates
 from .mixing import mix_report
 from .quality import quality_report
@@ -69,6 +70,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
 
 
+@_add
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_report(_table(spark, sf_dir, "documents"))
+
+
 @_add
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), tuple(site_rule(v, r) for v, r in SITES) + PATTERNS)
