@@ -1,15 +1,15 @@
 """Token ids in a byte-aligned, frequency-ranked binary format.
 
 Encoding: texts are cut into the tokenizer's pre-tokens with array operations, and the tokenizers library encodes each
-distinct pre-token once for as long as a worker remembers it.  Ids are replaced by their rank in the corpus's id
-frequencies, and ranks are stored in 1 to 4 bytes each with the lengths (2 bits an id) in separate control bytes, so
-that numpy decodes a block with table lookups.
+distinct pre-token once for as long as a worker remembers it.  Within a block of documents ids are replaced by their
+rank in the block's id frequencies, and ranks are stored in 1 to 4 bytes each with the lengths (2 bits an id) in separate
+control bytes, so that numpy decodes a block with table lookups.
 
 File format: a Parquet folder with one row for each block of whole documents, in ascending doc_id order (files,
-rows and documents within a row).  A block's bytes are the magic ``QTID``, three little-endian uint32 (documents,
-ids, data bytes), the documents' id counts (uint32 each), the control bytes, and the data bytes.  The folder's
-``ranks`` table gives the id of each rank.  Parquet carries the bytes so that any store Spark can write to will do
-and a task that is run again replaces its own output.
+rows and documents within a row).  A block's bytes are the magic ``QTID``, four little-endian uint32 (documents, ids,
+data bytes, distinct ids), the documents' id counts, the distinct ids by rank (uint32 each), the control bytes, and the
+data bytes.  A block can be read without any other.  Parquet carries the bytes so that any store Spark can write to
+will do and a task that is run again replaces its own output.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shared, wordhash
+from . import wordhash
 
 MAGIC = b"QTID"
 BLOCK_IDS = 1 << 18
@@ -193,39 +193,6 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _encode_batches(path: str, end: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(path)
-        for batch in batches:
-            raw, off = wordhash.utf8(batch.column("text"))
-            for i, j in wordhash.chunks(off):
-                ids, n = enc.encode(raw, off, i, j)
-                whole = np.full(len(ids) + j - i, end, np.uint32)
-                stop = np.cumsum(n + 1)
-                keep = np.ones(len(whole), bool)
-                keep[stop - 1] = False
-                whole[keep] = ids
-                at = np.concatenate([[0], stop]) * 4
-                body = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(whole)])
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, j - i), "ids": body.cast(pa.binary())})
-
-    return run
-
-
-def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << 16, np.int64)
-    for batch in batches:
-        raw, off = wordhash.utf8(batch.column("ids"))
-        ids = raw[off[0] : off[-1]].view(np.uint32) if (off[0] % 4 == 0) else np.frombuffer(raw[off[0] : off[-1]].tobytes(), np.uint32)
-        for k in range(0, len(ids), 1 << 20):
-            c = np.bincount(ids[k : k + (1 << 20)])
-            if len(c) > len(total):
-                total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
-            total[: len(c)] += c
-    some = np.flatnonzero(total)
-    yield pa.record_batch({"id": pa.array(some.astype(np.int64)), "n": pa.array(total[some])})
-
-
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of uint32 values: two bits a value tell its bytes less one."""
     n = len(values)
@@ -249,10 +216,43 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-def _blocks(rank_of: np.ndarray):
+def encode_block(docs: list[np.ndarray]) -> bytes:
+    """The bytes of a block that holds the documents' ids."""
+    flat = np.concatenate(docs)
+    count = np.bincount(flat)
+    used = np.flatnonzero(count)
+    id_of = used[np.lexsort((used, -count[used]))]
+    rank_of = np.zeros(len(count), np.uint32)
+    rank_of[id_of] = np.arange(len(id_of), dtype=np.uint32)
+    control, data = pack(rank_of[flat])
+    head = np.array([len(docs), len(flat), len(data), len(id_of)], "<u4").tobytes()
+    return MAGIC + head + np.fromiter(map(len, docs), "<u4", len(docs)).tobytes() + id_of.astype("<u4").tobytes() + control + data
+
+
+def decode_block(block: bytes) -> list[np.ndarray]:
+    """The documents' ids of one block."""
+    if block[:4] != MAGIC:
+        raise ValueError("not a token-id block")
+    n_docs, n_ids, n_data, n_used = np.frombuffer(block, "<u4", 4, 4).tolist()
+    counts = np.frombuffer(block, "<u4", n_docs, 20).astype(np.int64)
+    at = 20 + 4 * n_docs
+    id_of = np.frombuffer(block, "<u4", n_used, at)
+    at += 4 * n_used
+    control = np.frombuffer(block, np.uint8, -(-n_ids // 4), at)
+    data = np.frombuffer(block, np.uint8, n_data, at + len(control))
+    if counts.sum() != n_ids or len(control) + len(data) + at != len(block):
+        raise ValueError("damaged token-id block")
+    return np.split(id_of[unpack(control, data, n_ids)], np.cumsum(counts)[:-1])
+
+
+_BLOCK = "part int, block int, at long, n_ids long, doc_ids array<long>, bytes binary"
+
+
+def _blocks(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        enc = _encoder(path)
         part, block, at = TaskContext.get().partitionId(), 0, 0
         docs: list[int | None] = []
         held: list[np.ndarray] = []
@@ -260,58 +260,42 @@ def _blocks(rank_of: np.ndarray):
 
         def flush() -> pa.RecordBatch:
             nonlocal block, at, docs, held, size
-            flat = np.concatenate(held)
-            control, data = pack(rank_of[flat])
-            counts = np.fromiter(map(len, held), "<u4", len(held))
-            head = MAGIC + np.array([len(held), len(flat), len(data)], "<u4").tobytes()
-            row = pa.record_batch({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "at": pa.array([at], pa.int64()), "n_ids": pa.array([len(flat)], pa.int64()), "doc_ids": pa.array([docs], pa.list_(pa.int64())), "bytes": pa.array([head + counts.tobytes() + control + data], pa.binary())})
-            block += 1
-            at += len(flat)
+            row = {"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "at": pa.array([at], pa.int64()), "n_ids": pa.array([size], pa.int64())}
+            out = pa.record_batch(row | {"doc_ids": pa.array([docs], pa.list_(pa.int64())), "bytes": pa.array([encode_block(held)], pa.binary())})
+            block, at = block + 1, at + size
             docs, held, size = [], [], 0
-            return row
+            return out
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                docs.append(doc_id)
-                held.append(np.frombuffer(ids.as_buffer(), np.uint32))
-                size += len(held[-1])
-                if size >= BLOCK_IDS:
-                    yield flush()
+            raw, off = wordhash.utf8(batch.column("text"))
+            ids = batch.column("doc_id").to_pylist()
+            for i, j in wordhash.chunks(off):
+                flat, n = enc.encode(raw, off, i, j)
+                for doc_id, own in zip(ids[i:j], np.split(flat, np.cumsum(n)[:-1]), strict=True):
+                    docs.append(doc_id)
+                    held.append(np.append(own, np.uint32(end)))
+                    size += len(own) + 1
+                    if size >= BLOCK_IDS:
+                        yield flush()
         if docs:
             yield flush()
 
     return run
 
 
-def decode_block(block: bytes, id_of: np.ndarray) -> list[np.ndarray]:
-    """The documents' ids of one block."""
-    if block[:4] != MAGIC:
-        raise ValueError("not a token-id block")
-    n_docs, n_ids, n_data = np.frombuffer(block, "<u4", 3, 4).tolist()
-    counts = np.frombuffer(block, "<u4", n_docs, 16).astype(np.int64)
-    at = 16 + 4 * n_docs
-    control = np.frombuffer(block, np.uint8, -(-n_ids // 4), at)
-    data = np.frombuffer(block, np.uint8, n_data, at + len(control))
-    if counts.sum() != n_ids or len(control) + len(data) + at != len(block):
-        raise ValueError("damaged token-id block")
-    ids = id_of[unpack(control, data, n_ids)]
-    return np.split(ids, np.cumsum(counts)[:-1])
-
-
-def _read_blocks(id_of: np.ndarray, offset: dict[int, int]):
+def _read_blocks(offset: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, at, doc_ids, block in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "doc_ids")), batch.column("bytes"), strict=True):
-                start = offset[part] + at
-                docs = decode_block(block.as_buffer().to_pybytes(), id_of)
-                n = np.fromiter(map(len, docs), np.int64, len(docs))
+                docs = [d.astype("<u4").tobytes() for d in decode_block(block.as_buffer().to_pybytes())]
+                n = np.fromiter(map(len, docs), np.int64, len(docs)) // 4
                 yield pa.record_batch(
                     {
                         "doc_id": pa.array(doc_ids, pa.int64()),
-                        "start": pa.array(start + np.cumsum(n) - n),
+                        "start": pa.array(offset[part] + at + np.cumsum(n) - n),
                         "n_tokens": pa.array(n),
-                        "ids": pa.array([d.astype("<u4").tobytes() for d in docs], pa.binary()),
-                        "ids_crc32": pa.array([zlib.crc32(d.astype("<u4").tobytes()) for d in docs], pa.int64()),
+                        "ids": pa.array(docs, pa.binary()),
+                        "ids_crc32": pa.array([zlib.crc32(d) for d in docs], pa.int64()),
                     }
                 )
 
@@ -319,35 +303,23 @@ def _read_blocks(id_of: np.ndarray, offset: dict[int, int]):
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = 0) -> None:
-    """Encodes ``docs`` (doc_id, text) and writes the format's ``blocks`` and ``ranks`` tables below ``path``.
+    """Encodes ``docs`` (doc_id, text) and writes them in the file format to the folder ``path``.
 
     A null or empty text has only the end id.  Rows with a null doc_id come first; rows that repeat a doc_id follow
-    each other in the order of their ids' bytes.  An empty table gives empty tables.  Other columns are ignored.
+    each other in the order of their texts.  An empty table gives an empty folder.  Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = shared.written(docs.mapInArrow(_encode_batches(tokenizer, end), "doc_id long, ids binary"), "token-ids")
-    counted = ids.select("ids").mapInArrow(_count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    # one row for each id of the vocabulary at most: a tokenizer's vocabulary does not grow with the corpus
-    ranked = [(r.id, r.n) for r in counted.orderBy(F.desc("n"), "id").collect()]
-    ids_by_rank = np.array([i for i, _ in ranked], np.uint32)
-    rank_of = np.zeros(int(ids_by_rank.max()) + 1 if len(ids_by_rank) else 1, np.uint32)
-    rank_of[ids_by_rank] = np.arange(len(ids_by_rank), dtype=np.uint32)
-    spark = docs.sparkSession
-    spark.createDataFrame([(k, i, n) for k, (i, n) in enumerate(ranked)], "rank long, id long, n long").coalesce(1).write.parquet(f"{path}/ranks")
-    placed = ids.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    placed.mapInArrow(_blocks(rank_of), "part int, block int, at long, n_ids long, doc_ids array<long>, bytes binary").write.parquet(f"{path}/blocks")
-    shared.drop(ids)
-
-
-def read_ids(spark, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids, ids_crc32) of each document in the files below ``path``; start counts the ids
-    of all documents before it, ids are little-endian uint32, ids_crc32 is their unsigned CRC-32."""
-    ranks = spark.read.schema("rank long, id long, n long").parquet(f"{path}/ranks").orderBy("rank").collect()
-    id_of = np.array([r.id for r in ranks], np.uint32) if ranks else np.zeros(1, np.uint32)
-    blocks = spark.read.schema("part int, block int, at long, n_ids long, doc_ids array<long>, bytes binary").parquet(f"{path}/blocks")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    placed = docs.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    placed.mapInArrow(_blocks(tokenizer, end), _BLOCK).write.parquet(path)
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids, ids_crc32) of each document in the folder ``path``; start counts the ids of all
+    documents before it, ids are little-endian uint32, ids_crc32 is their unsigned CRC-32."""
+    blocks = spark.read.schema(_BLOCK).parquet(path)
     # one row for each partition of the writing job
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()
     before, offset = 0, {}
     for p, n in sorted((r.part, r.n) for r in parts):
         offset[p], before = before, before + n
-    return blocks.select("part", "at", "doc_ids", "bytes").mapInArrow(_read_blocks(id_of, offset), "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+    return blocks.select("part", "at", "doc_ids", "bytes").mapInArrow(_read_blocks(offset), "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
