@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,12 +19,12 @@ def _literal(s: str) -> str:
 
 def chr_(n: str | Column) -> Column:
     """The character of a code point (not only of a byte): its UTF-32 bytes, decoded."""
-    return F.decode(F.unhex(F.lpad(F.hex(_c(n)), 8, "0")), "UTF-32BE")
+    return F.decode(F.unhex(F.lpad(F.hex(_c(n)), 8, "0")), "UTF-32")
 
 
 def codepoint(s: str | Column) -> Column:
     """The code point of a character."""
-    return F.conv(F.hex(F.encode(F.substring(_c(s), 1, 1), "UTF-32BE")), 16, 10).cast("int")
+    return F.conv(F.hex(F.encode(F.substring(_c(s), 1, 1), "UTF-32")), 16, 10).cast("int")
 
 
 def split(s: str | Column, delimiter: str, limit: int = -1) -> Column:
@@ -120,8 +121,6 @@ def from_big_endian_64(b: str | Column) -> Column:
 def normalize(s: str | Column, form: str = "NFC") -> Column:
     """Unicode normalisation.  No built-in function does this, so texts go through Arrow batches; ASCII texts, which
     it cannot change, stay as they are."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:
         return x.str.normalize(form)

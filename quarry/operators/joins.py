@@ -11,7 +11,7 @@ BROADCAST_BYTES = 64 << 20
 
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its estimated size is at most ``most``; else the planner shuffles as usual."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return F.broadcast(df) if size <= most else df
 
 

@@ -22,3 +22,12 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from . import queries
+    from .plans import tpch  # noqa: F401
+    from .queries import analytic, io, relational, scalar  # noqa: F401
+
+    assert queries
