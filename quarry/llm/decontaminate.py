@@ -275,4 +275,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
     hits = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_hit")).distinct()
     # written first, so that the planner knows how few they are before it moves any text
-    return docs.join(shared.written(hits, "decontaminate-hits"), key == F.col("_hit"), "left_anti")
+    hits = shared.written(hits, "decontaminate-hits")
+    return docs.join(hits, key == hits["_hit"], "left_anti")

@@ -181,8 +181,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs``, all columns kept, with the repeated lines deleted from ``text``.  Only rows that lose lines are joined;
     a null text stays null."""
     r = repeated_lines(docs).where("gone IS NOT NULL").select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.transform("gone", lambda p: F.element_at("numbers", p + 1)).alias("_gone")).dropDuplicates(["_id", "_th"])
-    id_, th = _keys(docs)
     names = docs.columns
-    out = docs.join(r, (id_ == F.col("_id")) & (th == F.col("_th")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("_gone", k)), "\n")
-    return out.select(*[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(f"`{c}`") for c in names])
+    id_, th = _keys(docs)
+    # user columns travel in one struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), id_.alias("_id0"), th.alias("_th0"))
+    out = rows.join(r, (F.col("_id0") == F.col("_id")) & (F.col("_th0") == F.col("_th")), "left")
+    text = F.col("_row.text")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains("_gone", k)), "\n")
+    return out.select(*[F.when(F.col("_gone").isNull(), text).otherwise(left).alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names])

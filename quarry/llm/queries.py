@@ -31,6 +31,32 @@ def _add(f):
     return f
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES["op8_url_filters"] = f"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+h AS (SELECT *, '.' || host AS dotted FROM u),
+r AS (SELECT *, CASE WHEN ends_with(dotted, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/' WHEN ends_with(dotted, '.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN ends_with(dotted, '.net') AND starts_with(path, '/es/') THEN 'net/es/' WHEN ends_with(dotted, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/' WHEN ends_with(dotted, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule,
+  CASE WHEN regexp_matches(host, '(^|[.-])(adult|xxx)([.-]|$)') THEN 'adult hosts' WHEN regexp_matches(host, '(^|[.-])spam([.-]|$)') THEN 'spam hosts' WHEN regexp_matches(host, '(^|[.-])pills([.-]|$)') THEN 'pill shops'
+  WHEN regexp_matches(host, '(^|[.-])casino([.-]|$)') THEN 'casinos' END AS p FROM h)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR p IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, CASE WHEN rule IS NULL THEN p END AS pattern FROM r
+"""
+
+#: Exact, by all common shingles and transitive closure: for small tables.
+ORACLES["op10_minhash_near_dedup"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
+t AS (SELECT doc_id, unnest(s) AS t FROM s),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM t x JOIN t y ON x.t = y.t AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+m AS (SELECT a, min(b) AS b FROM reach GROUP BY 1)
+SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(b, doc_id)) AS kept FROM n LEFT JOIN m ON a = doc_id
+"""
+
+
 @_add
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_table(spark, sf_dir, "documents"))

@@ -486,7 +486,7 @@ def decode_many(images: list[bytes]) -> list[np.ndarray]:
     if not lanes:
         return out
     size = np.array([plain[k][0] * plain[k][1] for k in lanes])
-    data = np.frombuffer(b"".join(chunks[k] + bytes(8) for k in lanes), np.uint8)
+    data = np.frombuffer(b"".join(chunks[k] + bytes(8) for k in lanes) + bytes(512), np.uint8)
     base = np.cumsum([0] + [len(chunks[k]) + 8 for k in lanes[:-1]]) * 8
     limit = base + np.array([8 * len(chunks[k]) for k in lanes])
     pos = base + np.array([plain[k][2] for k in lanes])
@@ -508,6 +508,8 @@ def decode_many(images: list[bytes]) -> list[np.ndarray]:
     for y in range(int(size[0])):
         m = int(live[y])
         p = pos[:m]
+        if y % 64 == 0 and (p > limit[:m]).any():  # 64 pixels take 288 bytes at most
+            raise BadImage("the data end within an image")
         for c in range(3):
             e = table[where[c, :m] + (ahead[p >> 3] >> (p & 7).astype(np.uint32) & mask)]
             step[y, c, :m] = e
