@@ -50,12 +50,16 @@ def _targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_size", F.least("most", F.col("w") * F.coalesce(level, F.col("level"))).alias("target"))
 
 
-def _boundary(cells: DataFrame, level: str, keys: list[str]) -> DataFrame:
-    """The cell of each source in which the remaining words run out, and what then remains."""
+def _boundary(cells: DataFrame, rest: DataFrame, on: list[str], level: str) -> DataFrame:
+    """The cell of each source in which the remaining words run out, and what then remains.
+
+    ``cells`` (with _src, ``on``, ``level``, _size) are summed before anything is joined, so that a source of very many
+    rows comes down to at most FINE cells in the tasks that read it.
+    """
     order = W.partitionBy("_src").orderBy(level)
-    c = cells.groupBy("_src", "_rest", *keys, level).agg(F.sum("_size").alias("n"))
-    c = c.withColumn("before", F.sum("n").over(order) - F.col("n")).where("before <= _rest AND before + n > _rest")
-    return c.select("_src", (F.col("_rest") - F.col("before")).alias("_rest"), *keys, level)
+    summed = cells.groupBy("_src", *on, level).agg(F.sum("_size").alias("n")).join(rest, ["_src", *on])
+    found = summed.withColumn("before", F.sum("n").over(order) - F.col("n")).where("before <= _rest AND before + n > _rest")
+    return found.select("_src", (F.col("_rest") - F.col("before")).alias("_rest"), *on, level)
 
 
 def plan(docs: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -70,15 +74,15 @@ def plan(docs: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFram
     key = F.when(F.col("source").isNull(), F.array().cast("array<string>")).otherwise(F.array("source"))
     g = goal.select(key.alias("_src"), "_rest")
     s = sizes.select(key.alias("_src"), "doc_id", "_size", "_h", "_l1", "_l2")
-    one = _boundary(s.join(g, "_src"), "_l1", [])
-    two = _boundary(s.join(one, ["_src", "_l1"]), "_l2", ["_l1"])
-    two = shared.written(two, "mix-boundary")
+    one = shared.written(_boundary(s, g, [], "_l1"), "mix-coarse")
+    two = shared.written(_boundary(s.join(one.select("_src", "_l1"), ["_src", "_l1"], "left_semi"), one, ["_l1"], "_l2"), "mix-boundary")
     rows = s.join(two, ["_src", "_l1", "_l2"]).groupBy("_src", "_rest", "_h", "doc_id", "_size").agg(F.sum("_size").alias("n"))
     run = F.sum("n").over(W.partitionBy("_src").orderBy("_h", F.col("doc_id").asc_nulls_first(), "_size"))
-    leaf = rows.withColumn("run", run).where("run <= _rest")
+    leaf = shared.written(rows.withColumn("run", run).where("run <= _rest"), "mix-last")
     sums = leaf.groupBy("_src").agg(F.max("run").alias("run"))
     # what is still missing is closed by the one row whose size comes nearest, if that is nearer than none
     gap = two.join(sums, "_src", "left").select("_src", (F.col("_rest") - F.coalesce("run", F.lit(0))).alias("gap"), F.col("_l1").alias("b1"), F.col("_l2").alias("b2"))
+    gap = shared.written(gap, "mix-gaps")  # a row for each source: its size is known to the planner
     left = s.where("_size > 0").join(gap, "_src").where("_l1 > b1 OR (_l1 = b1 AND _l2 >= b2)").where("_size < 2 * gap")
     left = left.join(leaf.select("_src", "_h", F.col("doc_id").alias("_id"), F.col("_size").alias("_n")), (s._src == leaf._src) & (s._h == leaf._h) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_n")), "left_anti")
     close = left.groupBy("_src").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("_size")).alias("off"), "_h", "doc_id", "_size")).alias("c"))
@@ -148,4 +152,4 @@ def mix(docs: DataFrame, seed: int = 1, shards: int | None = None) -> DataFrame:
     rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("block", F.floor(F.col("_l1") / (FINE // BLOCKS)).cast("int"))
     dealt = rows.join(units(sources, shards, seed), ["_src", "pass", "block"], "left").withColumn("shard", _shard(shards))
     local = F.xxhash64(F.lit(seed + 7), "_h", "pass")
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", local, "doc_id").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+    return dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", local, "doc_id").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
