@@ -1,7 +1,8 @@
 """Line deduplication by winnowing over line hashes.
 
 A text is its lines that hold a word (words as elsewhere: non-space bytes, A-Z lower-cased; spacing within a line does
-not matter).  The gram of a line is the shortest run of lines from it on with ``GRAM`` words or more.  A window is the
+not matter).  Many texts keep a whole paragraph on one line, and a passage that is repeated inside it would be part of
+two unlike lines; so a line also ends after a full stop, exclamation or question mark that a blank follows.  The gram of a line is the shortest run of lines from it on with ``GRAM`` words or more.  A window is the
 shortest run of lines with ``WINDOW`` words or more; of the grams that lie whole in a window, the one of the least hash
 is a fingerprint.  So two texts that share any run of whole lines with ``WINDOW`` words share a fingerprint, at the same
 place of the run, whatever stands around it.  Every fingerprint is joined to its first holder (by doc_id, then place),
@@ -22,6 +23,10 @@ from . import shared, wordhash
 GRAM = 25
 WINDOW = 50
 _END = (1 << 63) - 1
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".!?"]] = True
+#: Where a line ends, as a split that loses no character.
+LINE_END = r"(?<=\n)|(?<=[.!?])(?=[ \t])"
 
 
 def lines_of(raw: np.ndarray, off: np.ndarray, i: int, j: int):
@@ -29,9 +34,13 @@ def lines_of(raw: np.ndarray, off: np.ndarray, i: int, j: int):
     first such line of each document and the end."""
     h, start, _, first = wordhash.words(raw, off, i, j)
     base = int(off[i])
-    breaks = np.flatnonzero(raw[base : int(off[j])] == 0x0A) + base
+    b = raw[base : int(off[j])]
+    ends = b == 0x0A
+    if len(b) > 1:
+        ends[:-1] |= _STOP[b[:-1]] & ((b[1:] == 0x20) | (b[1:] == 0x09))
+    breaks = np.flatnonzero(ends) + base
     doc = np.repeat(np.arange(j - i), np.diff(first))
-    before = np.searchsorted(breaks, start)  # line breaks before each word
+    before = np.searchsorted(breaks, start)  # line ends before each word
     number = before - np.searchsorted(breaks, off[i:j])[doc]
     new = np.ones(len(h), bool)
     new[1:] = (number[1:] != number[:-1]) | (doc[1:] != doc[:-1])
@@ -142,7 +151,7 @@ def repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> D
     id_, th = _keys(docs)
     own = docs.select(id_.alias("id"), th.alias("th"), F.col("text").cast("string").alias("text"))
     schema = "id long, th long, lines array<long>, sizes array<int>, numbers array<int>, marks array<struct<g: long, i: int, e: int>>"
-    signed = shared.written(own.mapInArrow(_signed(gram, window), schema), "lines-signed")
+    signed = shared.written(shared.map_arrow(own, _signed(gram, window), schema), "lines-signed")
     mark = signed.select("id", "th", F.inline("marks")).distinct()
     first = mark.groupBy("g").agg(F.min(F.struct("id", "th", "i")).alias("f"), F.count("*").alias("n")).where("n > 1").select("g", "f")
     hit = mark.join(first, "g").where("NOT (f.id = id AND f.th = th AND f.i = i)")
@@ -157,7 +166,7 @@ def repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> D
     both = late.join(early, ["id0", "th0"]).withColumn("base", base)
     # of the first holder, only what the later text can reach
     both = both.select("id", "th", "lines", F.slice("lines0", F.col("base") + 1, F.size("lines")).alias("early"), "base", "shift", "marks")
-    spans = both.mapInArrow(_extended, "id long, th long, spans array<struct<s: int, e: int>>")
+    spans = shared.map_arrow(both, _extended, "id long, th long, spans array<struct<s: int, e: int>>")
     gone = spans.select("id", "th", F.explode("spans").alias("p")).select("id", "th", F.explode(F.sequence("p.s", "p.e")).alias("line"))
     gone = gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("gone"))
     return signed.select("id", "th", "lines", "sizes", "numbers").join(gone, ["id", "th"], "left")
@@ -187,5 +196,5 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), id_.alias("_id0"), th.alias("_th0"))
     out = rows.join(r, (F.col("_id0") == F.col("_id")) & (F.col("_th0") == F.col("_th")), "left")
     text = F.col("_row.text")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains("_gone", k)), "\n")
+    left = F.array_join(F.filter(F.split(text, LINE_END), lambda x, k: ~F.array_contains("_gone", k)), "")
     return out.select(*[F.when(F.col("_gone").isNull(), text).otherwise(left).alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names])

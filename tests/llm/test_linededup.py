@@ -1,12 +1,17 @@
 import random
+import re
 
 from quarry.llm.linededup import GRAM, WINDOW, dedup_lines, line_report
 
 from .conftest import SCHEMA
 
 
+def pieces(text):
+    return re.split(r"(?<=\n)|(?<=[.!?])(?=[ \t])", text)
+
+
 def lines(text):
-    return [(k, tuple(x.encode().lower().split())) for k, x in enumerate((text or "").split("\n")) if x.split()]
+    return [(k, tuple(x.encode().lower().split())) for k, x in enumerate(pieces(text or "")) if x.split()]
 
 
 def corpus(seed, n=40):
@@ -64,12 +69,25 @@ def test_one_long_line_is_a_run(spark):
     assert got == {1: [], 2: [0, 1], 3: [1]}
 
 
+def test_a_passage_within_paragraphs(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage = ". ".join(say(9) for _ in range(7)) + "."
+    rows = [(d, f"{say(30)}. {say(20)} {passage} {say(25)}! {say(6)}?", None, None) for d in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.removed_words for r in line_report(df).collect()}
+    # the passage's first sentence goes on from another one, so that six of the seven are whole lines
+    assert got == {0: 0, 1: 54, 2: 54, 3: 54, 4: 54}
+    for r in dedup_lines(df).collect():
+        assert r.text == rows[r.doc_id][1].replace(passage[passage.index(".") + 1 :] if r.doc_id else "\0", "")
+
+
 def test_texts(spark):
     rows = corpus(2)
     df = spark.createDataFrame(rows, SCHEMA)
     gone = {r.doc_id: set(r.removed) for r in line_report(df).collect()}
     got = {r.doc_id: r.text for r in dedup_lines(df).collect()}
-    assert got == {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]) for d, t, *_ in rows}
+    assert got == {d: "".join(x for k, x in enumerate(pieces(t)) if k not in gone[d]) for d, t, *_ in rows}
 
 
 def test_odd_rows(odd, odd_rows, none):
