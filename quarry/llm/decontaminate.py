@@ -263,7 +263,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
         rows = sorted((r.item_id, r.text) for r in block.collect())
-        hits = docs.mapInArrow(_hits(Index.of(rows)), schema)
+        hits = shared.map_arrow(docs, _hits(Index.of(rows)), schema)
         out = hits if out is None else out.unionAll(hits)
     return out
 

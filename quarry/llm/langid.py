@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ftrl
+from . import ftrl, shared
 from .sampling import fold, least_hashes, texts_of
 from .scoring import with_text_columns
 
 SIZE = 1 << 16
-PER_LABEL = 1000
+PER_LABEL = 600
 SCALE = 100.0
 #: Labels looked at; a table may hold more kinds of noise in ``lang``, of which the commonest are learned.
 MOST_LABELS = 200
@@ -110,14 +110,16 @@ def train(docs: DataFrame, per_label: int = PER_LABEL) -> Model | None:
         return None
     chosen = least_hashes(known.select("doc_id", F.col("lang").alias("label")), "label", per_label, labels)
     sample = texts_of(known, chosen).select("text", "label", F.xxhash64("doc_id", F.lit(3)).alias("h"))
-    rows = sample.mapInArrow(_counts, "label string, h long, ids binary, vals binary").orderBy("h", "label", "ids").collect()
-    ids = [np.frombuffer(r.ids, "<i4").astype(np.int64) for r in rows]
-    tf = [np.frombuffer(r.vals, "<i4").astype(np.float64) for r in rows]
+    rows = shared.map_arrow(sample, _counts, "label string, h long, ids binary, vals binary").orderBy("h", "label", "ids").collect()
+    ids = [np.frombuffer(r.ids, "<i4") for r in rows]
     df = np.zeros(SIZE)
     for at in ids:
         df[at] += 1
-    idf = np.log((1 + len(ids)) / (1 + df)) + 1
-    x = [(at, SCALE * v / max(v.sum(), 1) * idf[at]) for at, v in zip(ids, tf, strict=True)]
+    idf = (np.log((1 + len(ids)) / (1 + df)) + 1).astype(np.float32)
+    x = []
+    for at, r in zip(ids, rows, strict=True):
+        n = np.frombuffer(r.vals, "<i4").astype(np.float32)
+        x.append((at, SCALE * n / max(n.sum(), 1) * idf[at]))
     y = np.array([labels.index(r.label) for r in rows])
     held = np.array([r.h % 5 == 0 for r in rows])
     fit = np.flatnonzero(~held) if (~held).any() else np.arange(len(rows))

@@ -77,8 +77,20 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, j - i), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "media": pa.array([store(padded(t)) for t in texts], pa.binary())})
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold about GROUP bytes of media, as many images are decoded side by side."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= GROUP:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _grouped(batches):
         raw, off = wordhash.utf8(batch.column("media"))
         for i, j in wordhash.chunks(off, GROUP):
             media = [raw[off[d] : off[d + 1]].tobytes() for d in range(i, j)]
@@ -101,13 +113,13 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_media(docs: DataFrame, path: str) -> None:
     """Stores each text of ``docs`` (doc_id, text; a null is empty) as media (doc_id, n_bytes, media) in ``path``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs.mapInArrow(_encoded, "doc_id long, n_bytes long, media binary").write.parquet(path)
+    shared.map_arrow(docs, _encoded, "doc_id long, n_bytes long, media binary").write.parquet(path)
 
 
 def describe_media(stored: DataFrame) -> DataFrame:
     """Decodes (doc_id, n_bytes, media) and describes payload, stored form and picture; a row for each row."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.mapInArrow(_described, schema)
+    return shared.map_arrow(stored, _described, schema)
 
 
 def media_report(docs: DataFrame) -> DataFrame:

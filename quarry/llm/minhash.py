@@ -127,7 +127,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, fp long, fq long, bands array<long>, sig binary"
-    signed = shared.written(docs.mapInArrow(_signed(k), schema), "minhash-signed")
+    signed = shared.written(shared.map_arrow(docs, _signed(k), schema), "minhash-signed")
     able = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = able.groupBy("fp", "fq", "n_shingles").agg(F.min("doc_id").alias("rep"))
     # the class's signature is the one of its least document (equal sets have equal signatures)
@@ -151,7 +151,7 @@ def _joined(docs: DataFrame, reps: DataFrame, members: DataFrame, k: int, percen
     texts = docs.join(inside.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
     # a repeated doc_id may stand for several texts: keep the set whose class it leads
     size = reps.join(inside, "rep", "left_semi")
-    sets = texts.mapInArrow(_sets(k), "rep long, shingles array<long>").dropDuplicates(["rep", "shingles"])
+    sets = shared.map_arrow(texts, _sets(k), "rep long, shingles array<long>").dropDuplicates(["rep", "shingles"])
     sets = shared.written(sets.join(size.select("rep", F.col("n_shingles").alias("size")), "rep").where("size(shingles) = size").select("rep", "shingles"), "minhash-sets")
     sigs = shared.written(size.select("rep", "sig"), "minhash-sigs")
     comps = links = old = None
@@ -211,7 +211,7 @@ def _verified(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int)
     with_b = with_a.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
     share = percent / 100
     least = max(0.0, share - 5.5 * (share * (1 - share) / HASHES) ** 0.5)
-    likely = with_b.select("a", "b", "sig_a", "sig_b").mapInArrow(_estimate(least), "a long, b long")
+    likely = shared.map_arrow(with_b.select("a", "b", "sig_a", "sig_b"), _estimate(least), "a long, b long")
     left = likely.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 
 def with_text_columns(docs: DataFrame, score: Callable[[list], Iterator[tuple[int, dict[str, pa.Array]]]], new: dict[str, str], keep: list[str] | None = None, as_bytes: bool = False) -> DataFrame:
     """``docs`` with the columns ``new`` (name: type), which replace columns of those names.
@@ -31,4 +33,4 @@ def with_text_columns(docs: DataFrame, score: Callable[[list], Iterator[tuple[in
                 at += n
 
     schema = f"row {sent.schema['row'].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in new.items())
-    return sent.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in keep], *new)
+    return shared.map_arrow(sent, run, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in keep], *new)

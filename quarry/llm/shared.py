@@ -7,11 +7,17 @@ up only where none is set (tests).
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Most rows and bytes of a batch that goes to a Python worker, so that long texts do not fill its memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 _KEY = "spark.checkpoint.dir"
 
 
@@ -42,6 +48,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once a session, unless Python there finds it by itself (PYTHONPATH or the
+    working folder, as on one machine)."""
+    root = Path(__file__).resolve().parents[2]
+    known = [Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p]
+    sc = spark.sparkContext
+    if root in known or getattr(sc, "_quarry_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="quarry-")) / "quarry.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in (root / "quarry").rglob("*.py"):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._quarry_shipped = True
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` in a session whose batches are held to ``BATCH``; smaller settings of the user's stay."""
+    ship(df.sparkSession)
+    conf = df.sparkSession.conf
+    for key, most in BATCH.items():
+        now = conf.get(key, None)
+        size = int(now) if now and now.lstrip("-").isdigit() else -1
+        if size <= 0 or size > most:
+            conf.set(key, most)
+    return df.mapInArrow(run, schema)
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Deletes tables made by ``written`` that nothing reads any more."""
     for df in tables:

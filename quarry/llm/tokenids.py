@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import wordhash
+from . import shared, wordhash
 
 MAGIC = b"QTID"
 BLOCK_IDS = 1 << 18
@@ -310,7 +310,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = 0) -> None:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     placed = docs.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    placed.mapInArrow(_blocks(tokenizer, end), _BLOCK).write.parquet(path)
+    shared.map_arrow(placed, _blocks(tokenizer, end), _BLOCK).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -322,4 +322,4 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     before, offset = 0, {}
     for p, n in sorted((r.part, r.n) for r in parts):
         offset[p], before = before, before + n
-    return blocks.select("part", "at", "doc_ids", "bytes").mapInArrow(_read_blocks(offset), "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+    return shared.map_arrow(blocks.select("part", "at", "doc_ids", "bytes"), _read_blocks(offset), "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")

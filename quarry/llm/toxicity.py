@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ftrl, wordhash
+from . import ftrl, shared, wordhash
 from .sampling import fold, least_hashes, texts_of
 
 SIZE = 1 << 18
@@ -68,7 +68,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     """Fits a model to ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic 0 or 1); rows with nulls are left out."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     sample = texts_of(docs.where("text IS NOT NULL"), least_hashes(known, "label", per_label, [0, 1])).select("text", "label", F.xxhash64("doc_id", F.lit(4)).alias("h"))
-    rows = sample.mapInArrow(_counts, "label int, h long, ids binary, vals binary").orderBy("h", "ids").collect()
+    rows = shared.map_arrow(sample, _counts, "label int, h long, ids binary, vals binary").orderBy("h", "ids").collect()
     x = [(np.frombuffer(r.ids, "<i4").astype(np.int64), np.log1p(np.frombuffer(r.vals, "<i4"))) for r in rows]
     toxic = np.array([r.label for r in rows], int)
     with_, without = np.zeros(SIZE), np.zeros(SIZE)
@@ -109,7 +109,7 @@ def rate(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFr
     new = ("severity", "toxic_probability")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").cast("string").alias("text"))
-    out = row.mapInArrow(_scored(model), f"row {row.schema['row'].dataType.simpleString()}, severity double, toxic_probability double")
+    out = shared.map_arrow(row, _scored(model), f"row {row.schema['row'].dataType.simpleString()}, severity double, toxic_probability double")
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], *new)
 
 
