@@ -173,3 +173,84 @@ def binomial_cdf(n: int, p: Column, k: Column) -> Column:
     weight = F.array(*[F.lit(logs[n] - logs[i] - logs[n - i]) for i in range(n + 1)])
     terms = F.transform(F.sequence(F.lit(0), k.cast("int")), lambda i: F.exp(F.element_at(weight, i + 1) + i * F.ln(p) + (n - i) * F.ln(1 - p)))
     return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
+
+
+#: Coefficients of the Lanczos approximation of the gamma function for g = 7 (fixed values).
+_LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+#: Coefficients of the rational approximation of the normal quantile, relative error below 1.2e-9 (fixed values).
+_QUANTILE_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_QUANTILE_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
+_QUANTILE_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_QUANTILE_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+_TERMS = 200
+
+
+def log_gamma(x: str | Column) -> Column:
+    """For positive numbers."""
+    z = _c(x).cast("double") - 1
+    total = F.lit(_LANCZOS[0])
+    for i, c in enumerate(_LANCZOS[1:], 1):
+        total = total + F.lit(c) / (z + i)
+    t = z + 7.5
+    return F.lit(0.9189385332046727) + (z + 0.5) * F.ln(t) - t + F.ln(total)
+
+
+def _backwards(first: Column, step) -> Column:
+    """A continued fraction evaluated from its far end: ``step(t, k)`` for k = _TERMS - 1 down to 0."""
+    return F.aggregate(F.sequence(F.lit(_TERMS - 1), F.lit(0), F.lit(-1)), first, step)
+
+
+def gamma_cdf(shape: Column, scale: Column, x: str | Column) -> Column:
+    """By its series below ``shape`` + 1 and its continued fraction above."""
+    a, v = shape.cast("double"), _c(x).cast("double") / scale
+    front = F.exp(-v + a * F.ln(v) - log_gamma(a))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(_TERMS)), F.struct((F.lit(1.0) / a).alias("t"), (F.lit(1.0) / a).alias("s")), lambda r, k: F.struct((r["t"] * v / (a + k)).alias("t"), (r["s"] + r["t"] * v / (a + k)).alias("s")))["s"]
+    far = _backwards(v + 2 * _TERMS + 1 - a, lambda t, k: v + 2 * k + 1 - a - (k + 1) * (k + 1 - a) / t)
+    return F.when(v <= 0, F.lit(0.0)).when(v < a + 1, front * series).otherwise(1 - front / far)
+
+
+def chi_squared_cdf(df: Column, x: str | Column) -> Column:
+    return gamma_cdf(df.cast("double") / 2, F.lit(2.0), x)
+
+
+def beta_cdf(alpha: Column, beta: Column, x: str | Column) -> Column:
+    """By its continued fraction, on the side where that converges fast."""
+    v = _c(x).cast("double")
+
+    def side(a: Column, b: Column, u: Column) -> Column:
+        front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(u) + b * F.ln(1 - u)) / a
+
+        def step(t: Column, k: Column) -> Column:
+            # k counts the fraction's terms from 0: odd terms (k even) and even ones have their own coefficients
+            m = F.floor((k + 1) / 2).cast("double")
+            odd = -(a + m) * (a + b + m) * u / ((a + 2 * m) * (a + 2 * m + 1))
+            even = m * (b - m) * u / ((a + 2 * m - 1) * (a + 2 * m))
+            return 1 + F.when(k % 2 == 0, odd).otherwise(even) / t
+
+        return front / _backwards(F.lit(1.0), step)
+
+    a, b = alpha.cast("double"), beta.cast("double")
+    return F.when(v <= 0, F.lit(0.0)).when(v >= 1, F.lit(1.0)).when(v < (a + 1) / (a + b + 2), side(a, b, v)).otherwise(1 - side(b, a, 1 - v))
+
+
+def f_cdf(df1: Column, df2: Column, x: str | Column) -> Column:
+    v, a, b = _c(x).cast("double"), df1.cast("double"), df2.cast("double")
+    return F.when(v <= 0, F.lit(0.0)).otherwise(beta_cdf(a / 2, b / 2, a * v / (a * v + b)))
+
+
+def inverse_normal_cdf(mean: Column, sd: Column, p: str | Column) -> Column:
+    """For 0 < p < 1."""
+    q = _c(p).cast("double")
+
+    def ratio(top: tuple[float, ...], below: tuple[float, ...], r: Column, factor: Column) -> Column:
+        n, d = F.lit(top[0]), F.lit(below[0])
+        for c in top[1:]:
+            n = n * r + c
+        for c in (*below[1:], 1.0):
+            d = d * r + c
+        return n * factor / d
+
+    tail = lambda u: ratio(_QUANTILE_C, _QUANTILE_D, F.sqrt(-2 * F.ln(u)), F.lit(1.0))
+    r = q - 0.5
+    z = F.when(q < 0.02425, tail(q)).when(q > 1 - 0.02425, -tail(1 - q)).otherwise(ratio(_QUANTILE_A, _QUANTILE_B, r * r, r))
+    return mean + sd * z

@@ -126,3 +126,13 @@ def normalize(s: str | Column, form: str = "NFC") -> Column:
         return x.str.normalize(form)
 
     return F.when(F.regexp_like(_c(s), F.lit("^[\\x00-\\x7F]*$")), _c(s)).otherwise(run(_c(s)))
+
+
+def hmac(b: str | Column, key: bytes, kind: str) -> Column:
+    """Keyed digest (md5, sha1, sha256, sha512) with a constant key; the padded keys are literals of the plan."""
+    import hashlib
+
+    size = 128 if kind == "sha512" else 64
+    k = (hashlib.new(kind, key).digest() if len(key) > size else key).ljust(size, b"\0")
+    inner = digest(F.concat(F.lit(bytes(x ^ 0x36 for x in k)), _c(b)), kind)
+    return digest(F.concat(F.lit(bytes(x ^ 0x5C for x in k)), inner), kind)

@@ -317,3 +317,24 @@ def fn_url_code(spark, sf):
 @query("fn_misc", "SELECT n_nationkey, coalesce(nullif(n_nationkey, 0), -1) AS a, CASE WHEN n_regionkey = 0 THEN NULL ELSE n_nationkey / n_regionkey END AS b, 'int' AS t FROM nation")
 def fn_misc(spark, sf):
     return T(spark, sf, "nation").select("n_nationkey", F.coalesce(F.nullif("n_nationkey", F.lit(0)), F.lit(-1)).alias("a"), F.try_divide("n_nationkey", "n_regionkey").alias("b"), F.typeof("n_nationkey").alias("t"))
+
+
+@query(
+    "fn_math_special",
+    """SELECT n_nationkey, round(1 - exp(-y) * (1 + y), 6) AS g, round(1 - exp(-x / 2), 6) AS c, round(3 * u * u - 2 * u * u * u, 6) AS b, round(x / (1 + x), 6) AS f, round(ln(gamma(x + 1)), 6) AS l, round(1 - pow(1 - u, 5), 6) AS h, 0.5::DOUBLE AS m,
+    round(exp(-1.5) * (1 + 1.5 + 1.125)::DOUBLE, 6) AS p, round((pow(1 - 0.3::DOUBLE, 3) + 3 * 0.3::DOUBLE * pow(1 - 0.3::DOUBLE, 2)), 6) AS i FROM (SELECT n_nationkey, n_nationkey::DOUBLE AS x, n_nationkey / 3.0::DOUBLE AS y, n_nationkey / 24.0::DOUBLE AS u FROM nation)""",
+)
+def fn_math_special(spark, sf):
+    x = F.col("n_nationkey").cast("double")
+    two = F.lit(2)
+    return T(spark, sf, "nation").select(
+        "n_nationkey", _r(M.gamma_cdf(two, F.lit(3.0), x)).alias("g"), _r(M.chi_squared_cdf(two, x)).alias("c"), _r(M.beta_cdf(two, two, x / 24.0)).alias("b"), _r(M.f_cdf(two, two, x)).alias("f"), _r(M.log_gamma(x + 1)).alias("l"), _r(M.beta_cdf(F.lit(1), F.lit(5), x / 24.0)).alias("h"),
+        _r(M.normal_cdf(x, F.lit(2.0), x)).alias("m"), _r(M.poisson_cdf(F.lit(1.5), F.lit(2))).alias("p"), _r(M.binomial_cdf(3, F.lit(0.3), F.lit(1))).alias("i"),
+    )
+
+
+@query("fn_math_quantile", "SELECT n_nationkey, true AS back, 0.0::DOUBLE AS middle FROM nation")
+def fn_math_quantile(spark, sf):
+    p = (F.col("n_nationkey") + 0.5) / 25
+    z = M.inverse_normal_cdf(F.lit(3.0), F.lit(2.0), p)
+    return T(spark, sf, "nation").select("n_nationkey", (F.abs(M.normal_cdf(F.lit(3.0), F.lit(2.0), z) - p) < 1e-6).alias("back"), _r(M.inverse_normal_cdf(F.lit(0.0), F.lit(1.0), F.lit(0.5))).alias("middle"))

@@ -208,3 +208,24 @@ def test_nothing_else_imports_the_corpus_operators():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "llm" not in p.read_text(), p
+
+
+# Functions without an oracle.
+
+
+@pytest.mark.parametrize("kind", ["md5", "sha1", "sha256", "sha512"])
+@pytest.mark.parametrize("key", [b"k", b"x" * 200])
+def test_hmac(spark, kind, key):
+    import hmac
+
+    from quarry.functions.strings import hmac as keyed
+
+    got = spark.range(1).select(keyed(F.lit(b"text"), key, kind).alias("h")).first().h
+    assert bytes(got) == hmac.new(key, b"text", kind).digest()
+
+
+def test_wilson_interval(spark):
+    from quarry.functions import mathematics as M
+
+    low, high = spark.range(1).select(M.wilson_interval_lower(F.lit(1250), F.lit(1310), F.lit(1.96)), M.wilson_interval_upper(F.lit(1250), F.lit(1310), F.lit(1.96))).first()
+    assert abs(low - 0.9414883725395894) < 1e-9 and abs(high - 0.9642524717143908) < 1e-9
