@@ -143,8 +143,13 @@ def any_values_match(m: str | Column, test: Callable[[Column], Column]) -> Colum
     return F.exists(F.map_values(_c(m)), test)
 
 
+def map_top_n_keys(m: str | Column, n: int) -> Column:
+    """The ``n`` greatest keys, descending."""
+    return F.slice(F.sort_array(F.map_keys(_c(m)), False), 1, n)
+
+
 def multimap_from_entries(entries: str | Column) -> Column:
-    """Keys to the arrays of their values."""
+    """Keys to the arrays of their values, from an array of structs (key, value)."""
     c = _c(entries)
-    keys = F.array_distinct(F.transform(c, lambda e: e[0] if isinstance(e, tuple) else e.getField("key")))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(c, lambda e: e.getField("key") == k), lambda e: e.getField("value"))))
+    keys = F.array_distinct(F.transform(c, lambda e: e["key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(c, lambda e: e["key"] == k), lambda e: e["value"])))

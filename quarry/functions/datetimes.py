@@ -94,3 +94,53 @@ def at_timezone(x: str | Column, zone: str) -> Column:
 
 def last_day_of_month(x: str | Column) -> Column:
     return F.last_day(_c(x))
+
+
+#: Joda letters whose Java counterpart is another (fixed values).
+_JODA = {"Y": "y", "x": "Y", "w": "w", "e": "e", "E": "E", "Z": "xx", "C": "G"}
+
+
+def joda_pattern(pattern: str) -> str:
+    """A Joda date pattern as a Java one; quoted text stays."""
+    out, quoted = "", False
+    for c in pattern:
+        quoted ^= c == "'"
+        out += c if quoted else _JODA.get(c, c)
+    return out
+
+
+def format_datetime(x: str | Column, pattern: str) -> Column:
+    return F.date_format(_c(x), joda_pattern(pattern))
+
+
+def parse_datetime(x: str | Column, pattern: str) -> Column:
+    """An instant; a text without zone is taken in the session's."""
+    return F.to_timestamp(_c(x), joda_pattern(pattern))
+
+
+def from_iso8601_date(x: str | Column) -> Column:
+    return F.to_date(_c(x), "yyyy-MM-dd")
+
+
+def from_iso8601_timestamp(x: str | Column) -> Column:
+    """An instant; a text without zone is taken in the session's."""
+    return _c(x).cast("timestamp")
+
+
+def with_timezone(x: str | Column, zone: str) -> Column:
+    """The instant at which the clock in ``zone`` shows a timestamp without zone."""
+    return F.to_utc_timestamp(_c(x).cast("timestamp"), zone)
+
+
+def timezone_offset_minutes(x: str | Column, zone: str) -> Column:
+    """Minutes that ``zone`` is ahead of UTC at an instant."""
+    utc = _c(x).cast("timestamp")
+    return ((F.unix_seconds(F.from_utc_timestamp(utc, zone)) - F.unix_seconds(utc)) / 60).cast("bigint")
+
+
+def timezone_hour(x: str | Column, zone: str) -> Column:
+    return F.call_function("div", timezone_offset_minutes(x, zone), F.lit(60).cast("bigint"))
+
+
+def timezone_minute(x: str | Column, zone: str) -> Column:
+    return timezone_offset_minutes(x, zone) % 60

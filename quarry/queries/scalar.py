@@ -338,3 +338,24 @@ def fn_math_quantile(spark, sf):
     p = (F.col("n_nationkey") + 0.5) / 25
     z = M.inverse_normal_cdf(F.lit(3.0), F.lit(2.0), p)
     return T(spark, sf, "nation").select("n_nationkey", (F.abs(M.normal_cdf(F.lit(3.0), F.lit(2.0), z) - p) < 1e-6).alias("back"), _r(M.inverse_normal_cdf(F.lit(0.0), F.lit(1.0), F.lit(0.5))).alias("middle"))
+
+
+@query(
+    "fn_datetime_iso",
+    """SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d %H') AS a, o_orderdate::DATE AS b, o_orderdate::DATE AS c, o_orderdate - INTERVAL 9 HOUR AS d, 9::BIGINT AS e, 5::BIGINT AS f, 30::BIGINT AS g FROM orders WHERE o_orderkey % 7 = 0""",
+)
+def fn_datetime_iso(spark, sf):
+    d = F.col("o_orderdate")
+    o = T(spark, sf, "orders").where("o_orderkey % 7 = 0")
+    return o.select(
+        "o_orderkey", D.format_datetime(d, "YYYY/MM/dd HH").alias("a"), D.from_iso8601_date(F.date_format(d, "yyyy-MM-dd")).alias("b"), D.parse_datetime(D.format_datetime(d, "dd.MM.YYYY"), "dd.MM.YYYY").cast("date").alias("c"), D.with_timezone(d, "Asia/Tokyo").cast("timestamp_ntz").alias("d"),
+        D.timezone_hour(d, "Asia/Tokyo").alias("e"), D.timezone_hour(d, "Asia/Kolkata").alias("f"), D.timezone_minute(d, "Asia/Kolkata").alias("g"),
+    )
+
+
+@query("fn_map_more", "SELECT n_nationkey, ['r', 'k'] AS t, [n_nationkey, n_regionkey] AS m, CASE WHEN n_nationkey + n_regionkey > 0 THEN round(n_nationkey / (n_nationkey + n_regionkey), 6) END AS w, n_nationkey > 3 OR n_regionkey > 3 AS v FROM nation WHERE n_nationkey > 0")
+def fn_map_more(spark, sf):
+    n = T(spark, sf, "nation").where("n_nationkey > 0")
+    m = F.create_map(F.lit("k"), F.col("n_nationkey"), F.lit("r"), F.col("n_regionkey"))
+    pair = lambda v: F.struct(F.lit("x").alias("key"), F.col(v).alias("value"))
+    return n.select("n_nationkey", C.map_top_n_keys(m, 2).alias("t"), C.multimap_from_entries(F.array(pair("n_nationkey"), pair("n_regionkey")))["x"].alias("m"), _r(C.map_normalize(m)["k"]).alias("w"), C.any_values_match(m, lambda v: v > 3).alias("v"))
