@@ -22,13 +22,23 @@ LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and texts that no learned language fits."""
+    """Drops null texts, texts without a letter, and texts that no learned language fits.
+
+    Other columns may be null; a null ``lang`` is not learned from.  If no row has a language to learn, nothing is
+    dropped.  Repeated rows are judged alike; an empty table stays empty.
+    """
     model = train(docs.where(F.coalesce(fold(4) != 2, F.lit(True))))
+    if model is None:
+        return docs
     return identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document of the least id, and of repeated rows one."""
+    """Keeps of each group of near-duplicates the document of the least id, and of repeated rows one.
+
+    Five-word shingles, similarity of 0.8 or more.  Rows with a null id, and null or blank texts, have no duplicates
+    and stay.
+    """
     judged = near_duplicates(docs)
     gone = shared.written(judged.where("NOT kept").select("doc_id").distinct(), "pipeline-copies")
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -39,17 +49,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item.  Null and empty texts hold none; rows without an id are judged by
+    their own text."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and drops documents so that the sources reach their target shares."""
+    """Repeats and drops documents so that the sources reach their target shares.
+
+    Sources in the order of their code points, null last, weigh 1, 2, 3 in turn; no document comes more than three
+    times.  Null and empty texts have no words and are not taken.
+    """
     return mix(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the corpus as token-id files; returns what is read back from them."""
+    """Writes the corpus as token-id files; returns what is read back from them: doc_id, start, n_tokens, ids_crc32.
+
+    Rows in ascending doc_id (null first), each with the end id 0; a null or empty text has only that.
+    """
     path = shared.new_path(spark, "pipeline-ids")
     tokenids.write_ids(docs, path, tokenizer_path(), end=0)
     return tokenids.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from quarry.llm import queries, shared
@@ -72,3 +73,12 @@ def test_repeated_rows_leave_one(spark, odd):
     rows = cp.near_dedup(spark, odd, SF).collect()
     assert [r.doc_id for r in rows if r.doc_id is not None and r.doc_id == 50] == []
     assert sum(r.doc_id == 3 for r in rows) == 1
+
+
+def test_no_rows_and_no_languages(spark, none, odd):
+    docs = none
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.count() == 0
+    unknown = odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source")
+    assert cp.language(spark, unknown, SF).count() == odd.count()
