@@ -27,7 +27,7 @@ PER_LABEL = 600
 SCALE = 100.0
 #: Labels looked at; a table may hold more kinds of noise in ``lang``, of which the commonest are learned.
 MOST_LABELS = 200
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 _LETTER = re.compile(r"[^\W\d_]")
 _MUL = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 

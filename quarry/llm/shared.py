@@ -7,13 +7,16 @@ up only where none is set (tests).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Most rows and bytes of a batch that goes to a Python worker, so that long texts do not fill its memory.
@@ -64,8 +67,34 @@ def ship(spark: SparkSession) -> None:
     sc._quarry_shipped = True
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow`` in a session whose batches are held to ``BATCH``; smaller settings of the user's stay."""
+#: What a Python worker keeps from task to task, by the operator that keeps it.
+KEPT: dict[str, object] = {}
+
+
+def _trim() -> None:
+    """Gives memory that is free back to the machine: workers stay alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def _task(run: Callable, keeps: str | None) -> Callable:
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other in [k for k in KEPT if k != keeps]:
+            del KEPT[other]
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return wrapped
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str, keeps: str | None = None) -> DataFrame:
+    """``df.mapInArrow`` in a session whose batches are held to ``BATCH``; smaller settings of the user's stay.
+
+    A task drops what operators other than ``keeps`` left in its worker's ``KEPT``, and frees its own memory.
+    """
     ship(df.sparkSession)
     conf = df.sparkSession.conf
     for key, most in BATCH.items():
@@ -73,7 +102,7 @@ def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
         size = int(now) if now and now.lstrip("-").isdigit() else -1
         if size <= 0 or size > most:
             conf.set(key, most)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_task(run, keeps), schema)
 
 
 def drop(*tables: DataFrame | None) -> None:

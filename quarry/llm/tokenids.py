@@ -183,14 +183,15 @@ class Encoder:
 
 
 _BYTE = np.random.default_rng(4242).integers(1, 1 << 63, 256, dtype=np.uint64)
-_encoders: dict[str, Encoder] = {}
 
 
 def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker's encoder, with what it has learned in earlier tasks."""
+    at, encoder = shared.KEPT.get("tokenids", (None, None))
+    if at != path:
+        encoder = Encoder(path)
+        shared.KEPT["tokenids"] = (path, encoder)
+    return encoder
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -310,7 +311,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = 0) -> None:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     placed = docs.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    shared.map_arrow(placed, _blocks(tokenizer, end), _BLOCK).write.parquet(path)
+    shared.map_arrow(placed, _blocks(tokenizer, end), _BLOCK, keeps="tokenids").write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
