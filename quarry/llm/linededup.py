@@ -113,28 +113,40 @@ def _signed(gram: int, window: int):
     return run
 
 
+def extend(a: np.ndarray, b: np.ndarray, base: int, marks: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Runs (first, last line) of text ``a`` that stand in its holder, whose lines from ``base`` on are ``b``.
+
+    A mark (i, e, shift) says that lines i to e of ``a`` equal lines i - shift to e - shift of the holder.  Marks are
+    taken in order; one that lies within a run found before is not extended again.
+    """
+    out: list[tuple[int, int]] = []
+    far = -1
+    place = np.arange(len(a))
+    for i, e, shift in sorted(marks):
+        if e <= far:
+            continue
+        q = place - shift - base
+        ok = (q >= 0) & (q < len(b))
+        unlike = np.ones(len(a), bool)
+        unlike[ok] = a[ok] != b[q[ok]]
+        edge = np.flatnonzero(unlike)
+        k = int(np.searchsorted(edge, i))
+        first = int(edge[k - 1]) + 1 if k else 0
+        far = int(edge[k]) - 1 if k < len(edge) else len(a) - 1
+        out.append((first, far))
+    return out
+
+
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Extends matches: later text ``lines``, first holder's lines from ``base`` on, grams (i, e) at distance ``shift``."""
     for batch in batches:
-        out: dict[str, list] = {"id": [], "th": [], "spans": []}
-        cols = [batch.column(c) for c in ("id", "th", "lines", "early", "base", "shift", "marks")]
+        spans = []
+        cols = [batch.column(c) for c in ("lines", "early", "base", "marks")]
         for k in range(batch.num_rows):
-            a = cols[2][k].values.to_numpy(zero_copy_only=False)
-            b = cols[3][k].values.to_numpy(zero_copy_only=False)
-            base, shift = cols[4][k].as_py(), cols[5][k].as_py()
-            # same[p]: line p of the later text equals line p - shift of the first holder
-            q = np.arange(len(a)) - shift - base
-            ok = (q >= 0) & (q < len(b))
-            same = np.zeros(len(a) + 2, bool)
-            same[1:-1][ok] = a[ok] == b[q[ok]]
-            edge = np.flatnonzero(same[1:] != same[:-1])
-            begin, end = edge[::2], edge[1::2] - 1
-            at = np.array([m["i"] for m in cols[6][k].as_py()], np.int64)
-            hit = np.unique(np.searchsorted(begin, at, "right") - 1)
-            out["id"].append(cols[0][k].as_py())
-            out["th"].append(cols[1][k].as_py())
-            out["spans"].append([{"s": int(begin[x]), "e": int(end[x])} for x in hit])
-        yield pa.record_batch([pa.array(out["id"], pa.int64()), pa.array(out["th"], pa.int64()), pa.array(out["spans"], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], ["id", "th", "spans"])
+            a, b = (c[k].values.to_numpy(zero_copy_only=False) for c in cols[:2])
+            marks = [(m["i"], m["e"], m["shift"]) for m in cols[3][k].as_py()]
+            spans.append([{"s": s, "e": e} for s, e in extend(a, b, cols[2][k].as_py(), marks)])
+        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+        yield pa.record_batch([batch.column("id"), batch.column("th"), pa.array(spans, kind)], ["id", "th", "spans"])
 
 
 def _keys(docs: DataFrame):
@@ -155,17 +167,17 @@ def repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> D
     mark = signed.select("id", "th", F.inline("marks")).distinct()
     first = mark.groupBy("g").agg(F.min(F.struct("id", "th", "i")).alias("f"), F.count("*").alias("n")).where("n > 1").select("g", "f")
     hit = mark.join(first, "g").where("NOT (f.id = id AND f.th = th AND f.i = i)")
-    hit = hit.groupBy("id", "th", F.col("f.id").alias("id0"), F.col("f.th").alias("th0"), (F.col("i") - F.col("f.i")).alias("shift")).agg(F.collect_list(F.struct("i", "e")).alias("marks"))
+    hit = hit.groupBy("id", "th", F.col("f.id").alias("id0"), F.col("f.th").alias("th0")).agg(F.collect_list(F.struct("i", "e", (F.col("i") - F.col("f.i")).alias("shift"))).alias("marks"))
     hit = shared.written(hit, "lines-hits")
     # repeated rows have equal lists: one of them will do
     arrays = signed.join(hit.select("id", "th").unionAll(hit.select(F.col("id0").alias("id"), F.col("th0").alias("th"))).distinct(), ["id", "th"], "left_semi").select("id", "th", "lines").dropDuplicates(["id", "th"])
     arrays = shared.written(arrays, "lines-arrays")
     late = hit.join(arrays, ["id", "th"])
     early = arrays.select(F.col("id").alias("id0"), F.col("th").alias("th0"), F.col("lines").alias("lines0"))
-    base = F.greatest(F.lit(0), -F.col("shift"))
-    both = late.join(early, ["id0", "th0"]).withColumn("base", base)
+    low, high = (f(F.transform("marks", lambda m: m["shift"])) for f in (F.array_min, F.array_max))
+    both = late.join(early, ["id0", "th0"]).withColumn("base", F.greatest(F.lit(0), -high)).withColumn("reach", F.size("lines") + high - low)
     # of the first holder, only what the later text can reach
-    both = both.select("id", "th", "lines", F.slice("lines0", F.col("base") + 1, F.size("lines")).alias("early"), "base", "shift", "marks")
+    both = both.select("id", "th", "lines", F.slice("lines0", F.col("base") + 1, F.col("reach")).alias("early"), "base", "marks")
     spans = shared.map_arrow(both, _extended, "id long, th long, spans array<struct<s: int, e: int>>")
     gone = spans.select("id", "th", F.explode("spans").alias("p")).select("id", "th", F.explode(F.sequence("p.s", "p.e")).alias("line"))
     gone = gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("gone"))
