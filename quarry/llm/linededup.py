@@ -166,7 +166,8 @@ def repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> D
     signed = shared.written(shared.map_arrow(own, _signed(gram, window), schema), "lines-signed")
     mark = signed.select("id", "th", F.inline("marks")).distinct()
     first = mark.groupBy("g").agg(F.min(F.struct("id", "th", "i")).alias("f"), F.count("*").alias("n")).where("n > 1").select("g", "f")
-    hit = mark.join(first, "g").where("NOT (f.id = id AND f.th = th AND f.i = i)")
+    # written, so that the join has plain shuffles on both sides: a gram that very many texts hold is then split
+    hit = mark.join(shared.written(first, "lines-first"), "g").where("NOT (f.id = id AND f.th = th AND f.i = i)")
     hit = hit.groupBy("id", "th", F.col("f.id").alias("id0"), F.col("f.th").alias("th0")).agg(F.collect_list(F.struct("i", "e", (F.col("i") - F.col("f.i")).alias("shift"))).alias("marks"))
     hit = shared.written(hit, "lines-hits")
     # repeated rows have equal lists: one of them will do
