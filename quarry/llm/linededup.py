@@ -1,12 +1,17 @@
-"""Line deduplication by winnowing over line hashes.
+"""Line deduplication by word runs around each line.
 
 A text is its lines that hold a word (words as elsewhere: non-space bytes, A-Z lower-cased; spacing within a line does
 not matter).  Many texts keep a whole paragraph on one line, and a passage that is repeated inside it would be part of
-two unlike lines; so a line also ends after a full stop, exclamation or question mark that a blank follows.  The gram of a line is the shortest run of lines from it on with ``GRAM`` words or more.  A window is the
-shortest run of lines with ``WINDOW`` words or more; of the grams that lie whole in a window, the one of the least hash
-is a fingerprint.  So two texts that share any run of whole lines with ``WINDOW`` words share a fingerprint, at the same
-place of the run, whatever stands around it.  Every fingerprint is joined to its first holder (by doc_id, then place),
-the match is extended line by line both ways, and the later run is deleted.  What is deleted has ``GRAM`` words at least.
+two unlike lines; so a line also ends after a full stop, exclamation or question mark that a blank follows.  A line has
+up to two grams: ``GRAM`` words from its first one on, and ``GRAM`` words up to its last one, or else the whole line if
+it has as many.  The ends of lines count in a gram, but it may end inside another line, so a repeated passage may begin
+and end inside lines.  If a gram has stood before (by doc_id, then place, in any text), its line goes, and with a gram
+from the first word on all lines that are whole in it.
+
+So of a repeated run of whole lines with ``GRAM`` words or more every line goes.  A passage of ``WINDOW`` words has
+``GRAM`` of them from the start or up to the end of any line whole in it, as ``GRAM`` is half of it; so every line that
+is whole in a repeated passage of ``WINDOW`` words, here and where it stood before, goes.  Both hold whatever other texts
+hold of it: no partner is chosen and nothing is extended.  Lines that the passage cuts stay whole.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from pyspark.sql import functions as F
 from . import shared, wordhash
 
 GRAM = 25
+#: Of a repeated passage of so many words, twice GRAM, every whole line goes.
 WINDOW = 50
 _END = (1 << 63) - 1
 _STOP = np.zeros(256, bool)
@@ -30,8 +36,8 @@ LINE_END = r"(?<=\n)|(?<=[.!?])(?=[ \t])"
 
 
 def lines_of(raw: np.ndarray, off: np.ndarray, i: int, j: int):
-    """Of documents i..j-1: (line hash, words, number in the text counting from 0) of each line with a word, and the
-    first such line of each document and the end."""
+    """Of documents i..j-1: the hash of each word; (first word, words, number in the text counting from 0) of each line
+    with a word; the first word and the first such line of each document and the end."""
     h, start, _, first = wordhash.words(raw, off, i, j)
     base = int(off[i])
     b = raw[base : int(off[j])]
@@ -45,65 +51,51 @@ def lines_of(raw: np.ndarray, off: np.ndarray, i: int, j: int):
     new = np.ones(len(h), bool)
     new[1:] = (number[1:] != number[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
+    stop = np.append(at[1:], len(h)) if len(at) else at
+    return h, at, stop - at, number[at], first, np.searchsorted(at, first)
+
+
+def grams(h: np.ndarray, at: np.ndarray, size: np.ndarray, words: np.ndarray, first: np.ndarray, gram: int):
+    """(line, last line that goes with it, hash) of each gram, lines ascending; arguments as ``lines_of`` gives them."""
     up, down = wordhash._pow(len(h) + 1)
+    stop = at + size
+    h = h.copy()
+    h[stop - 1] = wordhash.mix(h[stop - 1] + np.uint64(1))
     total = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * up[: len(h)], out=total[1:])
-    stop = np.append(at[1:], len(h)) if len(at) else at
-    size = stop - at
-    line = wordhash.mix((total[stop] - total[at]) * down[at] + size.astype(np.uint64))
-    return line, size, number[at], np.searchsorted(at, first)
-
-
-def fingerprints(line: np.ndarray, size: np.ndarray, first: np.ndarray, gram: int, window: int):
-    """(place, gram hash, last line) of each fingerprint, places ascending."""
-    n = len(line)
-    if n == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    stop = np.repeat(first[1:], np.diff(first))
-    words = np.concatenate([[0], np.cumsum(size)])
-    last = np.searchsorted(words, words[:-1] + gram) - 1
-    far = np.searchsorted(words, words[:-1] + window) - 1
-    up, down = wordhash._pow(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(line * up[:n], out=total[1:])
-    ok = last < stop
-    end = np.minimum(last, n - 1)
-    place = np.arange(n)
-    g = wordhash.mix((total[end + 1] - total[:-1]) * down[:n] + (end - place + 1).astype(np.uint64))
-    full = np.flatnonzero(far < stop)
-    most = np.searchsorted(last, far[full], "right") - 1  # the last gram that lies whole in the window
-    best, pick = g[full].copy(), full.copy()
-    t, live = 1, np.flatnonzero(full + 1 <= most)
-    while len(live):
-        at = full[live] + t
-        less = g[at] < best[live]
-        best[live[less]], pick[live[less]] = g[at][less], at[less]
-        t += 1
-        live = live[full[live] + t <= most[live]]
-    pick = np.unique(pick)
-    pick = pick[ok[pick]]
-    return pick, g[pick], last[pick]
-
-
-def _signed(gram: int, window: int):
+    lo, hi = (np.repeat(w, np.diff(first)) for w in (words[:-1], words[1:]))
+
+    def hashed(start: np.ndarray, end: np.ndarray, side: int) -> np.ndarray:
+        return wordhash.mix((total[end] - total[start]) * down[start] + (2 * (end - start) + side).astype(np.uint64))
+
+    end = np.maximum(stop, at + gram)
+    after = np.flatnonzero(end <= hi)
+    before = np.flatnonzero((size < gram) & (stop - gram >= lo))
+    line = np.concatenate([after, before])
+    last = np.concatenate([np.searchsorted(stop, end[after], "right") - 1, before])
+    g = np.concatenate([hashed(at[after], end[after], 0), hashed(stop[before] - gram, stop[before], 1)])
+    order = np.argsort(line, kind="stable")
+    return line[order], last[order], g[order]
+
+
+def _signed(gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = wordhash.utf8(batch.column("text"))
             for i, j in wordhash.chunks(off):
-                line, size, number, first = lines_of(raw, off, i, j)
-                place, g, last = fingerprints(line, size, first, gram, window)
-                cut = np.searchsorted(place, first)
+                h, at, size, number, words, first = lines_of(raw, off, i, j)
+                line, last, g = grams(h, at, size, words, first, gram)
+                cut = np.searchsorted(line, first)
                 own = np.repeat(first[:-1], np.diff(cut))
 
                 def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
                     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
-                marks = pa.StructArray.from_arrays([pa.array(g.view(np.int64)), pa.array((place - own).astype(np.int32)), pa.array((last - own).astype(np.int32))], ["g", "i", "e"])
+                marks = pa.StructArray.from_arrays([pa.array(g.view(np.int64)), pa.array((line - own).astype(np.int32)), pa.array((last - own).astype(np.int32))], ["g", "i", "e"])
                 yield pa.record_batch(
                     {
                         "id": batch.column("id").slice(i, j - i),
                         "th": batch.column("th").slice(i, j - i),
-                        "lines": lists(line.view(np.int64), first),
                         "sizes": lists(size.astype(np.int32), first),
                         "numbers": lists(number.astype(np.int32), first),
                         "marks": pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), marks),
@@ -113,76 +105,30 @@ def _signed(gram: int, window: int):
     return run
 
 
-def extend(a: np.ndarray, b: np.ndarray, base: int, marks: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs (first, last line) of text ``a`` that stand in its holder, whose lines from ``base`` on are ``b``.
-
-    A mark (i, e, shift) says that lines i to e of ``a`` equal lines i - shift to e - shift of the holder.  Marks are
-    taken in order; one that lies within a run found before is not extended again.
-    """
-    out: list[tuple[int, int]] = []
-    far = -1
-    place = np.arange(len(a))
-    for i, e, shift in sorted(marks):
-        if e <= far:
-            continue
-        q = place - shift - base
-        ok = (q >= 0) & (q < len(b))
-        unlike = np.ones(len(a), bool)
-        unlike[ok] = a[ok] != b[q[ok]]
-        edge = np.flatnonzero(unlike)
-        k = int(np.searchsorted(edge, i))
-        first = int(edge[k - 1]) + 1 if k else 0
-        far = int(edge[k]) - 1 if k < len(edge) else len(a) - 1
-        out.append((first, far))
-    return out
-
-
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans = []
-        cols = [batch.column(c) for c in ("lines", "early", "base", "marks")]
-        for k in range(batch.num_rows):
-            a, b = (c[k].values.to_numpy(zero_copy_only=False) for c in cols[:2])
-            marks = [(m["i"], m["e"], m["shift"]) for m in cols[3][k].as_py()]
-            spans.append([{"s": s, "e": e} for s, e in extend(a, b, cols[2][k].as_py(), marks)])
-        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-        yield pa.record_batch([batch.column("id"), batch.column("th"), pa.array(spans, kind)], ["id", "th", "spans"])
-
-
 def _keys(docs: DataFrame):
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(_END)), F.xxhash64("text")
 
 
-def repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """(id, th, lines, sizes, numbers, gone) for each distinct (doc_id, text) of ``docs``: hashes, word counts and line
-    numbers of its lines, and the places (in these lists) of the lines to delete, ascending (null if none).
+def repeated_lines(docs: DataFrame, gram: int = GRAM) -> DataFrame:
+    """(id, th, sizes, numbers, gone) for each row of ``docs``: word counts and line numbers of its lines, and the places
+    (in these lists) of the lines to delete, ascending (null if none).
 
     ``id`` is the doc_id, a null counting as the greatest, ``th`` a hash of the text; texts are ordered by both.
     Rows that agree in both are one text, which is not a repetition of itself.  Null texts have no lines.
     """
     id_, th = _keys(docs)
     own = docs.select(id_.alias("id"), th.alias("th"), F.col("text").cast("string").alias("text"))
-    schema = "id long, th long, lines array<long>, sizes array<int>, numbers array<int>, marks array<struct<g: long, i: int, e: int>>"
-    signed = shared.written(shared.map_arrow(own, _signed(gram, window), schema), "lines-signed")
-    mark = signed.select("id", "th", F.inline("marks")).distinct()
-    first = mark.groupBy("g").agg(F.min(F.struct("id", "th", "i")).alias("f"), F.count("*").alias("n")).where("n > 1").select("g", "f")
+    schema = "id long, th long, sizes array<int>, numbers array<int>, marks array<struct<g: long, i: int, e: int>>"
+    signed = shared.written(shared.map_arrow(own, _signed(gram), schema), "lines-signed")
+    mark = signed.select("id", "th", F.inline("marks"))
+    at = F.struct("id", "th", "i")
+    # repeated rows hold their grams at the same places, so their first and last holders agree
+    first = mark.groupBy("g").agg(F.min(at).alias("f"), F.max(at).alias("z")).where("f != z").select("g", "f")
     # written, so that the join has plain shuffles on both sides: a gram that very many texts hold is then split
     hit = mark.join(shared.written(first, "lines-first"), "g").where("NOT (f.id = id AND f.th = th AND f.i = i)")
-    hit = hit.groupBy("id", "th", F.col("f.id").alias("id0"), F.col("f.th").alias("th0")).agg(F.collect_list(F.struct("i", "e", (F.col("i") - F.col("f.i")).alias("shift"))).alias("marks"))
-    hit = shared.written(hit, "lines-hits")
-    # repeated rows have equal lists: one of them will do
-    arrays = signed.join(hit.select("id", "th").unionAll(hit.select(F.col("id0").alias("id"), F.col("th0").alias("th"))).distinct(), ["id", "th"], "left_semi").select("id", "th", "lines").dropDuplicates(["id", "th"])
-    arrays = shared.written(arrays, "lines-arrays")
-    late = hit.join(arrays, ["id", "th"])
-    early = arrays.select(F.col("id").alias("id0"), F.col("th").alias("th0"), F.col("lines").alias("lines0"))
-    low, high = (f(F.transform("marks", lambda m: m["shift"])) for f in (F.array_min, F.array_max))
-    both = late.join(early, ["id0", "th0"]).withColumn("base", F.greatest(F.lit(0), -high)).withColumn("reach", F.size("lines") + high - low)
-    # of the first holder, only what the later text can reach
-    both = both.select("id", "th", "lines", F.slice("lines0", F.col("base") + 1, F.col("reach")).alias("early"), "base", "marks")
-    spans = shared.map_arrow(both, _extended, "id long, th long, spans array<struct<s: int, e: int>>")
-    gone = spans.select("id", "th", F.explode("spans").alias("p")).select("id", "th", F.explode(F.sequence("p.s", "p.e")).alias("line"))
-    gone = gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("gone"))
-    return signed.select("id", "th", "lines", "sizes", "numbers").join(gone, ["id", "th"], "left")
+    gone = hit.groupBy("id", "th").agg(F.collect_set(F.struct("i", "e")).alias("runs"))
+    gone = gone.select("id", "th", F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["i"], r["e"]))))).alias("gone"))
+    return signed.select("id", "th", "sizes", "numbers").join(gone, ["id", "th"], "left")
 
 
 def line_report(docs: DataFrame) -> DataFrame:
@@ -192,7 +138,7 @@ def line_report(docs: DataFrame) -> DataFrame:
     at = F.coalesce("gone", F.array().cast("array<int>"))
     return r.select(
         F.when(F.col("id") != _END, F.col("id")).alias("doc_id"),
-        F.size("lines").alias("n_lines"),
+        F.size("sizes").alias("n_lines"),
         F.size(at).alias("removed_lines"),
         F.aggregate(at, F.lit(0).cast("long"), lambda s, p: s + F.element_at("sizes", p + 1)).alias("removed_words"),
         F.transform(at, lambda p: F.element_at("numbers", p + 1)).alias("removed"),

@@ -99,3 +99,23 @@ def test_odd_rows(odd, odd_rows, none):
     out = dedup_lines(odd)
     assert out.columns == odd.columns and out.count() == len(odd_rows)
     assert line_report(none).count() == 0 and dedup_lines(none).count() == 0
+
+
+def test_passages_cut_within_lines(spark):
+    """A repeated passage of WINDOW words or more that begins and ends inside lines loses every line whole in it."""
+    rng = random.Random(11)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows, want = [], {}
+    for k in range(60):
+        n = WINDOW + k % 51
+        head, tail = rng.randint(1, 20), rng.randint(1, 20)
+        inner, left = [], n - head - tail
+        while left > 0:
+            inner.append(say(min(left, rng.randint(3, 40))))
+            left -= len(inner[-1].split())
+        passage = " ".join([say(head) + ".", *[x + "." for x in inner], say(tail)])
+        for d in (2 * k, 2 * k + 1):
+            rows.append((d, f"{say(30)}. {say(7)} {passage} {say(5)}. {say(30)}.", None, None))
+            want[d] = list(range(2, 2 + len(inner))) if d % 2 else []
+    got = {r.doc_id: list(r.removed) for r in line_report(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert got == want
