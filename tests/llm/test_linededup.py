@@ -119,3 +119,17 @@ def test_passages_cut_within_lines(spark):
             want[d] = list(range(2, 2 + len(inner))) if d % 2 else []
     got = {r.doc_id: list(r.removed) for r in line_report(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     assert got == want
+
+
+def test_a_later_holder_of_the_longer_passage(spark):
+    """Texts that share more with each other than with the first holder of a part of it lose all of it but once."""
+    rng = random.Random(12)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)) + "."
+    rows, want = [], {}
+    for k in range(40):
+        part, rest = " ".join(say(9) for _ in range(3)), " ".join(say(9) for _ in range(4))
+        for d, x in enumerate((part, f"{part} {rest}", f"{part} {rest}")):
+            rows.append((3 * k + d, f"{say(30)} {x} {say(30)}", None, None))
+        want |= {3 * k: [], 3 * k + 1: [1, 2, 3], 3 * k + 2: [1, 2, 3, 4, 5, 6, 7]}
+    got = {r.doc_id: list(r.removed) for r in line_report(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert got == want
