@@ -133,3 +133,16 @@ def test_a_later_holder_of_the_longer_passage(spark):
         want |= {3 * k: [], 3 * k + 1: [1, 2, 3], 3 * k + 2: [1, 2, 3, 4, 5, 6, 7]}
     got = {r.doc_id: list(r.removed) for r in line_report(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     assert got == want
+
+
+def test_a_holder_that_repeats_parts_itself(spark):
+    """A part that stands twice in the holder hides neither of the runs it belongs to."""
+    rng = random.Random(13)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)) + "."
+    rows, want = [], {}
+    for k in range(40):
+        one, two, rest = say(25), say(25), " ".join(say(8) for _ in range(4))
+        rows += [(2 * k, f"{two} {rest} {say(40)} {one} {two} {say(40)}", None, None), (2 * k + 1, f"{one} {two} {rest} {say(40)}", None, None)]
+        want |= {2 * k: [7], 2 * k + 1: [0, 1, 2, 3, 4, 5]}
+    got = {r.doc_id: list(r.removed) for r in line_report(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert got == want
