@@ -9,7 +9,7 @@ from ..functions import datetimes as D
 from ..functions import documents as J
 from ..functions import mathematics as M
 from ..functions import strings as S
-from ..registry import query
+from ..registry import ORACLES, query
 from ..tables import table
 
 T = table
@@ -206,10 +206,22 @@ def fn_datetime_arith(spark, sf):
     )
 
 
+#: The filter of some queries' SQL, which their forms over whole tables go without.
+_SEVENTH = " WHERE o_orderkey % 7 = 0"
+
+
 @query("fn_datetime_text", "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS a, o_orderdate::DATE::TIMESTAMP AS b, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '.000' AS c, o_orderdate + INTERVAL 9 HOUR AS d FROM orders WHERE o_orderkey % 7 = 0")
 def fn_datetime_text(spark, sf):
+    return _datetime_text(T(spark, sf, "orders").where("o_orderkey % 7 = 0"))
+
+
+@query("fn_datetime_text_whole", ORACLES["fn_datetime_text"].removesuffix(_SEVENTH))
+def fn_datetime_text_whole(spark, sf):
+    return _datetime_text(T(spark, sf, "orders"))
+
+
+def _datetime_text(o):
     d = F.col("o_orderdate")
-    o = T(spark, sf, "orders").where("o_orderkey % 7 = 0")
     return o.select("o_orderkey", D.date_format(d, "%d/%m/%Y").alias("a"), D.date_parse(D.date_format(d, "%d/%m/%Y"), "%d/%m/%Y").alias("b"), D.to_iso8601(d).alias("c"), D.at_timezone(d, "Asia/Tokyo").alias("d"))
 
 
@@ -345,8 +357,16 @@ def fn_math_quantile(spark, sf):
     """SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d %H') AS a, o_orderdate::DATE AS b, o_orderdate::DATE AS c, o_orderdate - INTERVAL 9 HOUR AS d, 9::BIGINT AS e, 5::BIGINT AS f, 30::BIGINT AS g FROM orders WHERE o_orderkey % 7 = 0""",
 )
 def fn_datetime_iso(spark, sf):
+    return _datetime_iso(T(spark, sf, "orders").where("o_orderkey % 7 = 0"))
+
+
+@query("fn_datetime_iso_whole", ORACLES["fn_datetime_iso"].removesuffix(_SEVENTH))
+def fn_datetime_iso_whole(spark, sf):
+    return _datetime_iso(T(spark, sf, "orders"))
+
+
+def _datetime_iso(o):
     d = F.col("o_orderdate")
-    o = T(spark, sf, "orders").where("o_orderkey % 7 = 0")
     return o.select(
         "o_orderkey", D.format_datetime(d, "YYYY/MM/dd HH").alias("a"), D.from_iso8601_date(F.date_format(d, "yyyy-MM-dd")).alias("b"), D.parse_datetime(D.format_datetime(d, "dd.MM.YYYY"), "dd.MM.YYYY").cast("date").alias("c"), D.with_timezone(d, "Asia/Tokyo").cast("timestamp_ntz").alias("d"),
         D.timezone_hour(d, "Asia/Tokyo").alias("e"), D.timezone_hour(d, "Asia/Kolkata").alias("f"), D.timezone_minute(d, "Asia/Kolkata").alias("g"),
