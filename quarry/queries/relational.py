@@ -276,6 +276,13 @@ def join_full(spark, sf):
     return c.join(s, c.c_custkey == s.s_suppkey + 50, "full")
 
 
+@query("join_full_whole", "SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 20")
+def join_full_whole(spark, sf):
+    c, s = T(spark, sf, "customer").select("c_custkey"), T(spark, sf, "supplier").select("s_suppkey")
+    # there are fifteen customers to a supplier, so that both sides have rows without a match
+    return c.join(s, c.c_custkey == s.s_suppkey * 20, "full")
+
+
 @query("join_residual", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > c_acctbal * 50")
 def join_residual(spark, sf):
     c = T(spark, sf, "customer").select("c_custkey", "c_acctbal")

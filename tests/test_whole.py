@@ -11,3 +11,10 @@ def test_datetime_queries_take_all_orders(spark, sf):
     for name in ("fn_datetime_text_whole", "fn_datetime_iso_whole"):
         assert "WHERE" not in registry.ORACLES[name]
         assert registry.QUERIES[name](spark, sf).count() == n
+
+
+def test_the_full_join_takes_both_tables(spark, sf):
+    got = registry.QUERIES["join_full_whole"](spark, sf).collect()
+    for name, key in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        assert {r[key] for r in got} - {None} == {r[key] for r in table(spark, sf, name).select(key).collect()}
+    assert {(r.c_custkey is None, r.s_suppkey is None) for r in got} == {(False, False), (False, True), (True, False)}
