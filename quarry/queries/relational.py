@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import exchange, joins, rows
 from ..operators.ordering import order
 from ..operators.predicates import Domain, tuple_domain
-from ..registry import query
+from ..registry import ORACLES, query
 from ..tables import register, table
 
 T = table
@@ -230,8 +230,16 @@ def expr_try(spark, sf):
 
 @query("unnest", "SELECT vec_id, i::INTEGER AS i, x FROM (SELECT vec_id, unnest(embedding[1:3]) AS x, generate_subscripts(embedding[1:3], 1) AS i FROM embeddings)")
 def unnest(spark, sf):
-    e = T(spark, sf, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 3)).alias("p", "x"))
-    return e.select("vec_id", (F.col("p") + 1).alias("i"), "x")
+    return _unnested(T(spark, sf, "embeddings"), F.slice("embedding", 1, 3))
+
+
+@query("unnest_whole", ORACLES["unnest"].replace("embedding[1:3]", "embedding"))
+def unnest_whole(spark, sf):
+    return _unnested(T(spark, sf, "embeddings"), F.col("embedding"))
+
+
+def _unnested(t, a):
+    return t.select("vec_id", F.posexplode(a).alias("p", "x")).select("vec_id", (F.col("p") + 1).alias("i"), "x")
 
 
 @query("sample_bernoulli", "SELECT true AS subset, true AS within FROM (SELECT 1)")

@@ -129,6 +129,12 @@ def fn_string_unicode(spark, sf):
     return T(spark, sf, "documents").select("doc_id", F.char_length(x).alias("n"), F.octet_length(x).alias("b"), F.lower(F.substr(x, F.lit(1), F.lit(5))).alias("u"), S.normalize(F.substr(x, F.lit(1), F.lit(20))).alias("f"), F.substr(x, F.lit(3), F.lit(4)).alias("s"))
 
 
+@query("fn_string_unicode_whole", "SELECT doc_id, md5(lower(text)) AS u, md5(nfc_normalize(text)) AS f, md5(substr(text, 3)) AS s FROM documents")
+def fn_string_unicode_whole(spark, sf):
+    x = F.col("text")
+    return T(spark, sf, "documents").select("doc_id", F.md5(F.lower(x)).alias("u"), F.md5(S.normalize(x)).alias("f"), F.md5(F.substr(x, F.lit(3))).alias("s"))
+
+
 @query(
     "fn_regexp",
     r"""SELECT page_id, CASE WHEN regexp_matches(url, '([a-z]+)://') THEN regexp_extract(url, '([a-z]+)://', 1) END AS a, CASE WHEN regexp_matches(url, 'page=(\d+)') THEN regexp_extract(url, 'page=(\d+)', 1) END AS b, regexp_extract_all(url, '[0-9]+') AS c, regexp_matches(url, 'example\.(com|net)') AS d,
@@ -234,7 +240,18 @@ _SMALL = "list_transform(embedding[1:8], lambda x: CAST(round(x * 3) AS INTEGER)
 
 
 def _small():
-    return F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x * 3).cast("int"))
+    return _integers(F.slice("embedding", 1, 8))
+
+
+_WHOLE = "list_transform(embedding, lambda x: CAST(round(x * 3) AS INTEGER))"
+
+
+def _integers(a):
+    return F.transform(a, lambda x: F.round(x * 3).cast("int"))
+
+
+def _embeddings(spark, sf, a):
+    return T(spark, sf, "embeddings").select("vec_id", a.alias("a"))
 
 
 @query(
@@ -243,7 +260,15 @@ def _small():
     array_to_string(a, '-') AS j, list_reverse(a) AS v, a[2:4] AS l, list_has_any(a, [2, 3]) AS o, list_concat(a, [9]) AS k, a[-1] AS e FROM (SELECT vec_id, {_SMALL} AS a FROM embeddings)""",
 )
 def fn_array_basic(spark, sf):
-    e = T(spark, sf, "embeddings").select("vec_id", _small().alias("a"))
+    return _array_basic(_embeddings(spark, sf, _small()))
+
+
+@query("fn_array_basic_whole", ORACLES["fn_array_basic"].replace(_SMALL, _WHOLE))
+def fn_array_basic_whole(spark, sf):
+    return _array_basic(_embeddings(spark, sf, _integers("embedding")))
+
+
+def _array_basic(e):
     one, two = F.array(F.lit(0), F.lit(1)), F.array(F.lit(2), F.lit(3))
     return e.select(
         "vec_id", F.cardinality("a").alias("n"), F.array_contains("a", 1).alias("c"), F.array_sort(F.array_distinct("a")).alias("d"), F.array_sort(F.array_intersect("a", one)).alias("i"), C.array_max("a").alias("mx"), C.array_min("a").alias("mn"), F.array_position("a", 1).alias("p"), F.array_remove("a", 1).alias("r"), F.array_sort("a").alias("s"),
@@ -264,13 +289,34 @@ def fn_array_shims(spark, sf):
     )
 
 
+@query(
+    "fn_array_shims_whole",
+    f"""SELECT vec_id, list_sort(list_filter(list_distinct(a), lambda x: len(list_filter(a, lambda y: y = x)) > 1)) AS d, len(a) <> len(list_distinct(a)) AS h, len(list_filter(a, lambda y: y = 0))::INTEGER AS f, list_sum(a)::BIGINT AS s, round(list_avg(a), 6) AS v, a[1:len(a) - 2] AS t, list_filter(a, lambda x: x > 0)[1] AS w,
+    list_transform(range(1, len(a)), lambda i: [a[i], a[i + 1]]) AS g FROM (SELECT vec_id, {_WHOLE} AS a FROM embeddings)""",
+)
+def fn_array_shims_whole(spark, sf):
+    # without combinations, which takes five elements at most
+    return _embeddings(spark, sf, _integers("embedding")).select(
+        "vec_id", C.array_duplicates("a").alias("d"), C.array_has_duplicates("a").alias("h"), F.coalesce(C.array_frequency("a")[0], F.lit(0)).alias("f"), C.array_sum("a", F.lit(0).cast("bigint")).alias("s"), _r(C.array_average("a")).alias("v"), C.trim_array("a", 2).alias("t"), C.find_first("a", lambda x: x > 0).alias("w"),
+        C.ngrams("a", 2).alias("g"),
+    )
+
+
 @query(
     "fn_array_lambda",
     f"""SELECT vec_id, list_transform(a, lambda x: x * 2) AS t, list_filter(a, lambda x: x > 0) AS f, list_sum(a)::INTEGER AS r, list_bool_and(list_transform(a, lambda x: x < 100)) AS al, list_bool_or(list_transform(a, lambda x: x > 1)) AS an, NOT list_bool_or(list_transform(a, lambda x: x > 1)) AS no,
     list_transform(list_zip(a, list_reverse(a)), lambda z: z[1] + z[2]) AS z, range(1, 6, 2) AS q, ['x', 'x'] AS p FROM (SELECT vec_id, {_SMALL} AS a FROM embeddings)""",
 )
 def fn_array_lambda(spark, sf):
-    e = T(spark, sf, "embeddings").select("vec_id", _small().alias("a"))
+    return _array_lambda(_embeddings(spark, sf, _small()))
+
+
+@query("fn_array_lambda_whole", ORACLES["fn_array_lambda"].replace(_SMALL, _WHOLE))
+def fn_array_lambda_whole(spark, sf):
+    return _array_lambda(_embeddings(spark, sf, _integers("embedding")))
+
+
+def _array_lambda(e):
     return e.select(
         "vec_id", F.transform("a", lambda x: x * 2).alias("t"), F.filter("a", lambda x: x > 0).alias("f"), F.reduce("a", F.lit(0), lambda s, x: s + x).alias("r"), F.forall("a", lambda x: x < 100).alias("al"), F.exists("a", lambda x: x > 1).alias("an"), C.none_match("a", lambda x: x > 1).alias("no"),
         F.zip_with("a", F.reverse("a"), lambda x, y: x + y).alias("z"), F.sequence(F.lit(1).cast("bigint"), F.lit(5).cast("bigint"), F.lit(2).cast("bigint")).alias("q"), F.array_repeat(F.lit("x"), 2).alias("p"),
@@ -283,6 +329,11 @@ def fn_array_normalize(spark, sf):
     return T(spark, sf, "embeddings").select("vec_id", F.transform(n, lambda x: F.round(x, 5)).alias("n"))
 
 
+@query("fn_array_normalize_whole", ORACLES["fn_array_normalize"].replace("embedding[1:4]", "embedding"))
+def fn_array_normalize_whole(spark, sf):
+    return T(spark, sf, "embeddings").select("vec_id", F.transform(C.array_normalize("embedding"), lambda x: F.round(x, 5)).alias("n"))
+
+
 @query(
     "fn_map",
     """SELECT n_nationkey, n_nationkey AS a, NULL::INTEGER AS b, ['k', 'r'] AS ks, [n_nationkey, n_regionkey] AS vs, 2 AS n, n_nationkey + 1 AS t, ['k'] AS f, n_regionkey + 100 AS c, n_nationkey + n_regionkey AS z, CASE WHEN n_regionkey > n_nationkey THEN 'r' ELSE 'k' END AS top, true AS al FROM nation WHERE n_nationkey <> n_regionkey""",
