@@ -46,7 +46,8 @@ def _targets(sizes: DataFrame) -> DataFrame:
     rest = F.sum("w").over(by_limit.rowsBetween(0, W.unboundedFollowing))
     whole = F.sum("source_size").over(W.partitionBy())
     s = s.withColumn("level", (whole - before) / rest)
-    level = F.min(F.when(F.col("most") / F.col("w") >= F.col("level"), F.struct(F.col("most") / F.col("w"), "level"))).over(W.partitionBy())["level"]
+    # of sources that tie, the first has the level of all; those after it count it as if it had reached its limit
+    level = -F.min(F.when(F.col("most") / F.col("w") >= F.col("level"), F.struct(F.col("most") / F.col("w"), (-F.col("level")).alias("less")))).over(W.partitionBy())["less"]
     return s.select("source", "source_size", F.least("most", F.col("w") * F.coalesce(level, F.col("level"))).alias("target"))
 
 

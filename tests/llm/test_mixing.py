@@ -1,6 +1,6 @@
 from collections import defaultdict
 
-from quarry.llm.mixing import MOST, mix, mix_report
+from quarry.llm.mixing import MOST, _targets, mix, mix_report
 
 
 def waterfill(size):
@@ -58,3 +58,12 @@ def test_mix_repeats_rows(odd):
 
 def test_empty(none):
     assert mix_report(none).count() == 0 and mix(none).count() == 0
+
+
+def test_targets_of_sources_that_tie(spark):
+    for size in ({"a": 100, "b": 200, "c": 1000}, {s: 500 for s in "abcdef"}, {"a": 5, "b": 10, "c": 15, None: 900}):
+        rows = spark.createDataFrame(list(size.items()), "source string, _size long")
+        got = {r.source: r.target for r in _targets(rows).collect()}
+        want = waterfill(size)
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+        assert abs(sum(got.values()) - sum(size.values())) < 1e-6
