@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import combinations as _choose
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +12,11 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _once(a: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` and its lambdas name it."""
+    return F.element_at(F.transform(F.array(a), f), 1)
+
+
 def _count(a: Column, v: Column) -> Column:
     return F.size(F.filter(a, lambda y: y.eqNullSafe(v)))
 
@@ -33,8 +37,7 @@ def map_subscript(m: str | Column, k: Column) -> Column:
 
 
 def array_duplicates(a: str | Column) -> Column:
-    c = _c(a)
-    return F.array_sort(F.array_distinct(F.filter(c, lambda x: _count(c, x) > 1)))
+    return _once(_c(a), lambda c: F.array_sort(F.array_distinct(F.filter(c, lambda x: _count(c, x) > 1))))
 
 
 def array_has_duplicates(a: str | Column) -> Column:
@@ -42,9 +45,7 @@ def array_has_duplicates(a: str | Column) -> Column:
 
 
 def array_frequency(a: str | Column) -> Column:
-    c = _c(a)
-    kept = F.filter(c, lambda x: x.isNotNull())
-    return F.map_from_entries(F.transform(F.array_distinct(kept), lambda x: F.struct(x, _count(c, x))))
+    return _once(_c(a), lambda c: F.map_from_entries(F.transform(F.array_distinct(F.filter(c, lambda x: x.isNotNull())), lambda x: F.struct(x, _count(c, x)))))
 
 
 def array_max(a: str | Column) -> Column:
@@ -77,14 +78,35 @@ def array_sort_desc(a: str | Column) -> Column:
     return F.sort_array(_c(a), asc=False)
 
 
-def combinations(a: str | Column, n: int, most: int = 5) -> Column:
-    """All choices of ``n`` elements, for arrays of up to ``most``; an error for longer ones."""
-    c = _c(a)
-    out = F.array()
-    for size in range(most, n - 1, -1):
-        picks = F.array(*[F.array(*[F.element_at(c, i + 1) for i in pick]) for pick in _choose(range(size), n)])
-        out = F.when(F.size(c) == size, picks) if size == most else out.when(F.size(c) == size, picks)
-    return out.when(F.size(c) > most, F.raise_error(F.lit("the array is too long for combinations")))
+#: The dialect's limits of combinations: elements chosen, and choices.
+CHOSEN, CHOICES = 5, 100_000
+
+
+def combinations(a: str | Column, n: int) -> Column:
+    """All choices of ``n`` elements, those without the last elements first; an error for more than ``CHOICES``."""
+    if not 0 < n <= CHOSEN:
+        raise ValueError(f"combinations of {n} elements are not supported")
+
+    def below(k: int, end: Column) -> Column:
+        """Choices of k of the places 1 to end, which are k at least."""
+        if k == 0:
+            return F.array(F.array().cast("array<int>"))
+        return F.flatten(F.transform(F.sequence(F.lit(k), end), lambda j: F.transform(below(k - 1, j - 1), lambda p: F.concat(p, F.array(j)))))
+
+    def chosen(c: Column) -> Column:
+        size, count = F.size(c), F.lit(1).cast("double")
+        for k in range(n):
+            count = count * (size - k) / (k + 1)
+        picks = F.transform(below(n, size), lambda p: F.transform(p, lambda i: F.element_at(c, i)))
+        none = F.filter(F.array(c), lambda x: F.lit(False))
+        return F.when(size < n, none).when(count <= CHOICES, picks).when(c.isNotNull(), F.raise_error(F.lit("combinations exceed max size")))
+
+    return _once(_c(a), chosen)
+
+
+def try_subscript(a: str | Column, i: Column) -> Column:
+    """TRY over a subscript: null out of range, and for 0 and below, which are errors too."""
+    return F.when(i > 0, F.try_element_at(_c(a), i))
 
 
 def ngrams(a: str | Column, n: int) -> Column:

@@ -20,6 +20,11 @@ def json_extract_scalar(j: str | Column, path: str) -> Column:
     return F.when(~F.startswith(F.ltrim(v), F.lit("{")) & ~F.startswith(F.ltrim(v), F.lit("[")), v)
 
 
+def json_parse(j: str | Column) -> Column:
+    """The JSON text in its plain form; null for malformed text."""
+    return F.to_json(F.try_parse_json(_c(j)))
+
+
 def json_array_contains(j: str | Column, x: Column, kind: str) -> Column:
     return F.array_contains(F.from_json(_c(j), f"array<{kind}>"), x)
 

@@ -96,6 +96,20 @@ def map_cosine_similarity(a: str | Column, b: str | Column) -> Column:
     return dot / (norm[0] * norm[1])
 
 
+def log(base: Column, x: str | Column) -> Column:
+    return ln(x) / ln(base)
+
+
+def random_below(n: int, seed: int | None = None) -> Column:
+    """A random whole number from 0 to n - 1."""
+    return F.floor(F.rand(seed) * n).cast("bigint")
+
+
+def shift_right_arithmetic(x: str | Column, n: int) -> Column:
+    """The sign comes in from the left."""
+    return F.shiftright(_c(x).cast("bigint"), n)
+
+
 def bit_count(x: str | Column, bits: int) -> Column:
     """Ones in the two's complement of ``bits`` bits."""
     c = _c(x).cast("bigint")
@@ -159,20 +173,14 @@ def normal_cdf(mean: Column, sd: Column, x: str | Column) -> Column:
 
 
 def poisson_cdf(mean: Column, k: Column) -> Column:
-    """Sum of the probabilities up to ``k``."""
-    terms = F.transform(F.sequence(F.lit(0), k.cast("int")), lambda i: F.exp(i * F.ln(mean) - mean - F.aggregate(F.sequence(F.lit(0), i), F.lit(0.0), lambda s, j: s + F.when(j > 0, F.ln(j.cast("double"))).otherwise(0.0))))
-    return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
-
+    """The probability of at most ``k``: the gamma distribution's upper tail."""
+    return F.when(k < 0, F.lit(0.0)).otherwise(1 - gamma_cdf(k.cast("double") + 1, F.lit(1.0), mean))
 
-def binomial_cdf(n: int, p: Column, k: Column) -> Column:
-    logs = [0.0]
-    import math
 
-    for i in range(1, n + 1):
-        logs.append(logs[-1] + math.log(i))
-    weight = F.array(*[F.lit(logs[n] - logs[i] - logs[n - i]) for i in range(n + 1)])
-    terms = F.transform(F.sequence(F.lit(0), k.cast("int")), lambda i: F.exp(F.element_at(weight, i + 1) + i * F.ln(p) + (n - i) * F.ln(1 - p)))
-    return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
+def binomial_cdf(n: Column | int, p: Column, k: Column) -> Column:
+    """The probability of at most ``k`` of ``n``: the beta distribution's upper tail."""
+    size = (F.lit(n) if isinstance(n, int) else n).cast("double")
+    return F.when(k < 0, F.lit(0.0)).when(k >= size, F.lit(1.0)).otherwise(1 - beta_cdf(k.cast("double") + 1, F.greatest(size - k, F.lit(1.0)), p))
 
 
 #: Coefficients of the Lanczos approximation of the gamma function for g = 7 (fixed values).
@@ -182,7 +190,9 @@ _QUANTILE_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e0
 _QUANTILE_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
 _QUANTILE_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
 _QUANTILE_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
-_TERMS = 200
+#: Terms of a series or fraction: so many, and so many times the root of the greatest parameter. Near the mean they
+#: shrink as exp(-k * k / 2a), so 12 roots reach below 1e-30.
+_TERMS, _ROOTS = 200, 12
 
 
 def log_gamma(x: str | Column) -> Column:
@@ -195,17 +205,22 @@ def log_gamma(x: str | Column) -> Column:
     return F.lit(0.9189385332046727) + (z + 0.5) * F.ln(t) - t + F.ln(total)
 
 
-def _backwards(first: Column, step) -> Column:
-    """A continued fraction evaluated from its far end: ``step(t, k)`` for k = _TERMS - 1 down to 0."""
-    return F.aggregate(F.sequence(F.lit(_TERMS - 1), F.lit(0), F.lit(-1)), first, step)
+def _terms(*parameters: Column) -> Column:
+    return (F.lit(_TERMS) + F.ceil(_ROOTS * F.sqrt(F.greatest(*parameters, F.lit(0.0))))).cast("int")
+
+
+def _backwards(n: Column, first: Column, step) -> Column:
+    """A continued fraction evaluated from its far end: ``step(t, k)`` for k = n - 1 down to 0."""
+    return F.aggregate(F.sequence(n - 1, F.lit(0), F.lit(-1)), first, step)
 
 
 def gamma_cdf(shape: Column, scale: Column, x: str | Column) -> Column:
-    """By its series below ``shape`` + 1 and its continued fraction above."""
+    """By its series below ``shape`` + 1 and its continued fraction above, with as many terms as the shape asks for."""
     a, v = shape.cast("double"), _c(x).cast("double") / scale
+    n = _terms(a)
     front = F.exp(-v + a * F.ln(v) - log_gamma(a))
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(_TERMS)), F.struct((F.lit(1.0) / a).alias("t"), (F.lit(1.0) / a).alias("s")), lambda r, k: F.struct((r["t"] * v / (a + k)).alias("t"), (r["s"] + r["t"] * v / (a + k)).alias("s")))["s"]
-    far = _backwards(v + 2 * _TERMS + 1 - a, lambda t, k: v + 2 * k + 1 - a - (k + 1) * (k + 1 - a) / t)
+    series = F.aggregate(F.sequence(F.lit(1), n), F.struct((F.lit(1.0) / a).alias("t"), (F.lit(1.0) / a).alias("s")), lambda r, k: F.struct((r["t"] * v / (a + k)).alias("t"), (r["s"] + r["t"] * v / (a + k)).alias("s")))["s"]
+    far = _backwards(n, v + 2 * n + 1 - a, lambda t, k: v + 2 * k + 1 - a - (k + 1) * (k + 1 - a) / t)
     return F.when(v <= 0, F.lit(0.0)).when(v < a + 1, front * series).otherwise(1 - front / far)
 
 
@@ -227,7 +242,7 @@ def beta_cdf(alpha: Column, beta: Column, x: str | Column) -> Column:
             even = m * (b - m) * u / ((a + 2 * m - 1) * (a + 2 * m))
             return 1 + F.when(k % 2 == 0, odd).otherwise(even) / t
 
-        return front / _backwards(F.lit(1.0), step)
+        return front / _backwards(_terms(a, b), F.lit(1.0), step)
 
     a, b = alpha.cast("double"), beta.cast("double")
     return F.when(v <= 0, F.lit(0.0)).when(v >= 1, F.lit(1.0)).when(v < (a + 1) / (a + b + 2), side(a, b, v)).otherwise(1 - side(b, a, 1 - v))

@@ -120,12 +120,47 @@ def from_big_endian_64(b: str | Column) -> Column:
 
 def normalize(s: str | Column, form: str = "NFC") -> Column:
     """Unicode normalisation.  No built-in function does this, so texts go through Arrow batches; ASCII texts, which
-    it cannot change, stay as they are."""
+    it cannot change, stay as they are, and a null goes in their place."""
     @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:
         return x.str.normalize(form)
 
-    return F.when(F.regexp_like(_c(s), F.lit("^[\\x00-\\x7F]*$")), _c(s)).otherwise(run(_c(s)))
+    ascii_ = F.regexp_like(_c(s), F.lit("^[\\x00-\\x7F]*$"))
+    return F.coalesce(run(F.when(~ascii_, _c(s))), _c(s))
+
+
+def xxhash64(b: str | Column) -> Column:
+    """The eight bytes of XXH64 with seed 0 (the built-in function has another seed), through Arrow batches."""
+    @F.pandas_udf("binary")
+    def run(x: pd.Series) -> pd.Series:
+        import xxhash
+
+        return x.map(lambda v: None if v is None else xxhash.xxh64(v).digest())
+
+    return run(_c(b))
+
+
+def murmur3(b: str | Column) -> Column:
+    """The sixteen bytes of MurmurHash3 (x64, 128 bits, seed 0), through Arrow batches."""
+    @F.pandas_udf("binary")
+    def run(x: pd.Series) -> pd.Series:
+        from .murmur import murmur3_128
+
+        return x.map(lambda v: None if v is None else murmur3_128(v))
+
+    return run(_c(b))
+
+
+def word_stem(word: str | Column) -> Column:
+    """The stem of an English word (Porter's second algorithm), through Arrow batches of distinct words."""
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        from .stem import stem
+
+        found = {w: stem(w) for w in x.dropna().unique()}
+        return x.map(found)
+
+    return run(_c(word))
 
 
 def hmac(b: str | Column, key: bytes, kind: str) -> Column:

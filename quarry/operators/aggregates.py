@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -83,23 +83,32 @@ def reduce_agg(x: str | Column, zero: Column, step: Callable[[Column, Column], C
     return F.aggregate(F.collect_list(_c(x)), zero, step)
 
 
-def least_n(x: str | Column, n: int) -> Column:
-    """The ``n`` least values, ascending."""
-    return F.slice(F.sort_array(F.collect_list(_c(x))), 1, n)
+def _extreme(df: DataFrame, groups: list[str], x: str | Column, by: str | Column, n: int, name: str, down: bool) -> DataFrame:
+    """Rank first, then collect: each task keeps ``n`` rows of a group, so no group is gathered whole."""
+    rows = df.select(*groups, _c(x).alias("_x"), _c(by).alias("_by")).where(F.col("_by").isNotNull())
+    keys = [F.col(c).desc() if down else F.col(c).asc() for c in ("_by", "_x")]
+    kept = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*groups).orderBy(*keys))).where(F.col("_rank") <= n)
+    return kept.groupBy(*groups).agg(F.transform(F.sort_array(F.collect_list(F.struct("_rank", "_x"))), lambda r: r["_x"]).alias(name))
 
 
-def greatest_n(x: str | Column, n: int) -> Column:
-    """The ``n`` greatest values, descending."""
-    return F.slice(F.sort_array(F.collect_list(_c(x)), False), 1, n)
+def least_n(df: DataFrame, groups: list[str], x: str | Column, n: int, name: str) -> DataFrame:
+    """For each group its ``n`` least values, ascending; a group of nulls only has no row."""
+    return _extreme(df, groups, x, x, n, name, False)
 
 
-def max_by_n(x: str | Column, by: str | Column, n: int) -> Column:
-    """``x`` of the ``n`` greatest ``by``, descending."""
-    return F.transform(F.slice(F.sort_array(F.collect_list(F.struct(_c(by).alias("k"), _c(x).alias("v"))), False), 1, n), lambda r: r["v"])
+def greatest_n(df: DataFrame, groups: list[str], x: str | Column, n: int, name: str) -> DataFrame:
+    """For each group its ``n`` greatest values, descending."""
+    return _extreme(df, groups, x, x, n, name, True)
 
 
-def min_by_n(x: str | Column, by: str | Column, n: int) -> Column:
-    return F.transform(F.slice(F.sort_array(F.collect_list(F.struct(_c(by).alias("k"), _c(x).alias("v")))), 1, n), lambda r: r["v"])
+def min_by_n(df: DataFrame, groups: list[str], x: str | Column, by: str | Column, n: int, name: str) -> DataFrame:
+    """For each group ``x`` of the ``n`` least ``by``, ascending; of equal ones the least ``x``."""
+    return _extreme(df, groups, x, by, n, name, False)
+
+
+def max_by_n(df: DataFrame, groups: list[str], x: str | Column, by: str | Column, n: int, name: str) -> DataFrame:
+    """For each group ``x`` of the ``n`` greatest ``by``, descending; of equal ones the greatest ``x``."""
+    return _extreme(df, groups, x, by, n, name, True)
 
 
 def geometric_mean(x: str | Column) -> Column:
@@ -113,8 +122,11 @@ def sample_kurtosis(x: str | Column) -> Column:
 
 
 def checksum(*x: str | Column) -> Column:
-    """A value of the rows that their order does not change (not that of another engine)."""
-    return F.bit_xor(F.xxhash64(*[_c(c) for c in x]))
+    """A value of the rows that their order does not change, and each row's repetition does: the sum of their hashes,
+    wrapped to 64 bits (not the value of another engine)."""
+    whole = F.lit(str(1 << 64)).cast("decimal(38,0)")
+    total = F.pmod(F.sum(F.xxhash64(*[_c(c) for c in x]).cast("decimal(20,0)")).cast("decimal(38,0)"), whole)
+    return F.when(total >= F.lit(str(1 << 63)).cast("decimal(38,0)"), total - whole).otherwise(total).cast("bigint")
 
 
 def histogram(df: DataFrame, groups: list[str], x: str, name: str) -> DataFrame:
@@ -145,7 +157,30 @@ def entropy(df: DataFrame, groups: list[str], count: str, name: str) -> DataFram
 
 
 def approx_most_frequent(df: DataFrame, groups: list[str], x: str, n: int, name: str) -> DataFrame:
-    """For each group a map of its ``n`` most frequent values to their (exact) counts."""
-    counted = df.groupBy(*groups, x).agg(F.count(F.lit(1)).alias("_n"))
-    top = counted.groupBy(*groups).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("o"), F.col(x).alias("k")))), 1, n).alias("_t"))
-    return top.select(*groups, F.map_from_entries(F.transform("_t", lambda r: F.struct(r["k"], -r["o"]))).alias(name))
+    """For each group a map of its ``n`` most frequent values to their (exact) counts; of equal ones the least values.
+
+    Counted, then ranked: each task keeps ``n`` of a group's values before they are collected.
+    """
+    counted = df.groupBy(*groups, F.col(x).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("_n"), "_k"))
+    top = counted.withColumn("_rank", rank).where(F.col("_rank") <= n).groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("_rank", "_k", "_n"))).alias("_t"))
+    return top.select(*groups, F.map_from_entries(F.transform("_t", lambda r: F.struct(r["_k"], r["_n"]))).alias(name))
+
+
+def approx_set(x: str | Column, size: int = 12) -> Column:
+    """A sketch of the distinct values, which ``merge`` unites; that of no rows is the empty sketch."""
+    return F.hll_sketch_agg(_c(x), F.lit(size))
+
+
+def merge(sketch: str | Column) -> Column:
+    return F.hll_union_agg(_c(sketch))
+
+
+def cardinality(sketch: str | Column) -> Column:
+    return F.hll_sketch_estimate(_c(sketch))
+
+
+def listagg(x: str | Column, separator: str, *keys: Column) -> Column:
+    """The values in the order of ``keys`` as one text; nulls are left out, and of none the result is null."""
+    kept = F.filter(array_agg(x, *keys), lambda v: v.isNotNull())
+    return F.when(F.size(kept) > 0, F.array_join(kept, separator))

@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Key:
+    """A sort key: what is compared, the direction, and where nulls go."""
+
+    column: Column
+    descending: bool = False
+    nulls_first: bool = False
+
+    def order(self) -> Column:
+        c = self.column
+        if self.descending:
+            return c.desc_nulls_first() if self.nulls_first else c.desc_nulls_last()
+        return c.asc_nulls_first() if self.nulls_first else c.asc_nulls_last()
+
+
+def key(column: str | Column, descending: bool = False, nulls_first: bool = False) -> Key:
+    return Key(F.col(column) if isinstance(column, str) else column, descending, nulls_first)
+
+
 def order(column: str | Column, descending: bool = False, nulls_first: bool = False) -> Column:
     """One of the four orders of a sort key."""
-    c = F.col(column) if isinstance(column, str) else column
-    if descending:
-        return c.desc_nulls_first() if nulls_first else c.desc_nulls_last()
-    return c.asc_nulls_first() if nulls_first else c.asc_nulls_last()
+    return key(column, descending, nulls_first).order()
 
 
 def top_n(df: DataFrame, n: int, *keys: Column) -> DataFrame:
@@ -19,39 +37,27 @@ def top_n(df: DataFrame, n: int, *keys: Column) -> DataFrame:
     return df.orderBy(*keys).limit(n)
 
 
-def limit_with_ties(df: DataFrame, n: int, *keys: Column) -> DataFrame:
+def limit_with_ties(df: DataFrame, n: int, *keys: Key) -> DataFrame:
     """The first ``n`` rows and all that tie with the last of them.
 
     The n-th key is found by a top-n, and the rows up to it by a filter, so no rank over all rows is needed.
     """
-    names = [f"_k{i}" for i in range(len(keys))]
-    ranked = df.orderBy(*keys).limit(n).select(F.rank().over(Window.orderBy(*keys)).alias("_r"), F.struct(*[_bare(df, k).alias(c) for k, c in zip(keys, names, strict=True)]).alias("_k"))
-    last = ranked.groupBy().agg(F.max_by("_k", "_r").alias("_last"))
-    before = F.lit(False)
-    same = F.lit(True)
-    for k, c in zip(keys, names, strict=True):
-        own, edge = _bare(df, k), F.col(f"_last.{c}")
-        down, first = _direction(k)
-        less = (own > edge) if down else (own < edge)
-        nulls = (own.isNull() & edge.isNotNull()) if first else (own.isNotNull() & edge.isNull())
+    orders = [k.order() for k in keys]
+    own = F.struct(*[k.column.alias(f"_k{i}") for i, k in enumerate(keys)]).alias("_k")
+    first = df.orderBy(*orders).limit(n).select(own)
+    # the last of the n rows: at most n rows are ranked
+    again = [key(f"_k._k{i}", k.descending, k.nulls_first).order() for i, k in enumerate(keys)]
+    last = first.select("_k", F.rank().over(Window.orderBy(*again)).alias("_r")).groupBy().agg(F.max_by("_k", "_r").alias("_last"))
+    before, same = F.lit(False), F.lit(True)
+    for i, k in enumerate(keys):
+        edge = F.col(f"_last._k{i}")
+        less = (k.column > edge) if k.descending else (k.column < edge)
+        nulls = (k.column.isNull() & edge.isNotNull()) if k.nulls_first else (k.column.isNotNull() & edge.isNull())
         before = before | (same & (F.coalesce(less, F.lit(False)) | nulls))
-        same = same & own.eqNullSafe(edge)
+        same = same & k.column.eqNullSafe(edge)
     return df.crossJoin(last).where(before | same).drop("_last")
 
 
-def _text(key: Column) -> str:
-    return key._jc.toString()
-
-
-def _direction(key: Column) -> tuple[bool, bool]:
-    t = _text(key)
-    return " DESC" in t, "NULLS FIRST" in t
-
-
-def _bare(df: DataFrame, key: Column) -> Column:
-    return F.expr(_text(key).split(" ASC")[0].split(" DESC")[0])
-
-
 def distinct_limit(df: DataFrame, n: int) -> DataFrame:
     """``n`` distinct rows."""
     return df.distinct().limit(n)

@@ -6,6 +6,8 @@ to a ``Column`` that Parquet can push down: equality lists become IN, holes beco
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import total_ordering
 from typing import Any
@@ -48,6 +50,8 @@ class Range:
             parts.append(c >= F.lit(self.low.value) if self.low.side == 0 else c > F.lit(self.low.value))
         if self.high != HIGHEST:
             parts.append(c <= F.lit(self.high.value) if self.high.side == 1 else c < F.lit(self.high.value))
+        if self.high == HIGHEST and isinstance(self.low.value, float):
+            parts.append(~F.isnan(c))  # which Spark orders after all numbers
         out = parts[0] if parts else c.isNotNull()
         for p in parts[1:]:
             out = out & p
@@ -64,6 +68,8 @@ class Domain:
     @staticmethod
     def of(ranges: list[Range], nulls: bool = False) -> Domain:
         merged: list[Range] = []
+        if any(isinstance(e.value, float) and math.isnan(e.value) for r in ranges for e in (r.low, r.high)):
+            raise ValueError("NaN cannot bound a range")
         for r in sorted((r for r in ranges if r.low < r.high), key=lambda r: r.low):
             if merged and r.low <= merged[-1].high:
                 merged[-1] = Range(merged[-1].low, max(merged[-1].high, r.high))
@@ -100,9 +106,21 @@ class Domain:
     def union(self, other: Domain) -> Domain:
         return Domain.of([*self.ranges, *other.ranges], self.nulls or other.nulls)
 
+    def _common(self, other: Domain) -> Iterator[Range]:
+        """What the ranges of both share, ascending: one walk over both sorted lists."""
+        i = j = 0
+        while i < len(self.ranges) and j < len(other.ranges):
+            a, b = self.ranges[i], other.ranges[j]
+            low, high = max(a.low, b.low), min(a.high, b.high)
+            if low < high:
+                yield Range(low, high)
+            if a.high < b.high:
+                i += 1
+            else:
+                j += 1
+
     def intersect(self, other: Domain) -> Domain:
-        cuts = [Range(max(a.low, b.low), min(a.high, b.high)) for a in self.ranges for b in other.ranges]
-        return Domain.of(cuts, self.nulls and other.nulls)
+        return Domain(tuple(self._common(other)), self.nulls and other.nulls)
 
     def complement(self) -> Domain:
         out, at = [], LOWEST
@@ -114,8 +132,7 @@ class Domain:
         return Domain.of(out, not self.nulls)
 
     def overlaps(self, other: Domain) -> bool:
-        both = self.intersect(other)
-        return bool(both.ranges) or both.nulls
+        return (self.nulls and other.nulls) or next(self._common(other), None) is not None
 
     def contains(self, value: Any) -> bool:
         if value is None:

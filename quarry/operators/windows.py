@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,23 +16,53 @@ def groups_frame(df: DataFrame, aggregate: Column, partition: Sequence[str], ord
     return ranked.withColumn(name, aggregate.over(frame)).drop("_group")
 
 
-def varying_rows_sum(df: DataFrame, x: str, partition: Sequence[str], order: Sequence[Column], before: str | Column, name: str) -> DataFrame:
-    """The sum of ``x`` over ROWS BETWEEN <before> PRECEDING AND CURRENT ROW, ``before`` being a column.
+#: How the values of a frame become one, as the dialect's aggregates do: nulls are left out, and of none the result is null.
+def fold_sum(values: Column) -> Column:
+    kept = F.filter(values, lambda v: v.isNotNull())
+    return F.when(F.size(kept) > 0, F.aggregate(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), F.element_at(kept, 1), lambda s, v: s + v))
 
-    Running sums are collected by place; a row takes the difference of two of them (one more shuffle-free join on the
-    partition's own places).
+
+def fold_avg(values: Column) -> Column:
+    return fold_sum(F.transform(values, lambda v: v.cast("double"))) / F.size(F.filter(values, lambda v: v.isNotNull()))
+
+
+def fold_count(values: Column) -> Column:
+    return F.size(F.filter(values, lambda v: v.isNotNull())).cast("bigint")
+
+
+def varying_rows(df: DataFrame, x: str | Column, fold: Callable[[Column], Column], partition: Sequence[str], order: Sequence[Column], before: str | Column, after: str | Column, name: str) -> DataFrame:
+    """``fold`` of ``x`` over ROWS BETWEEN <before> PRECEDING AND <after> FOLLOWING, both columns of whole numbers.
+
+    A negative bound lies on the other side of the row; a null one, and a frame without rows, give an empty frame.  The
+    widest bounds of the data (one aggregate) frame one window, which collects its values; each row then takes its own
+    part of them.  So nothing is subtracted, no join is made, and memory for a row is that of the widest frame.
     """
     w = Window.partitionBy(*partition).orderBy(*order)
-    run = F.sum(F.coalesce(F.col(x), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    placed = df.withColumn("_place", F.row_number().over(w).cast("long")).withColumn("_run", run)
-    b = F.col(before) if isinstance(before, str) else before
-    placed = placed.withColumn("_from", F.col("_place") - b - 1)
-    early = placed.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(partition)], F.col("_place").alias("_at"), F.col("_run").alias("_before"))
-    on = F.col("_from") == F.col("_at")
-    for i, p in enumerate(partition):
-        on = on & F.col(p).eqNullSafe(F.col(f"_p{i}"))
-    out = placed.join(early, on, "left").withColumn(name, F.col("_run") - F.coalesce("_before", F.lit(0)))
-    return out.drop("_place", "_run", "_from", "_at", "_before", *[f"_p{i}" for i in range(len(partition))])
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    placed = df.withColumn("_x", F.struct(col(x).alias("v"))).withColumn("_b", col(before).cast("long")).withColumn("_a", col(after).cast("long"))
+    most = placed.agg(F.max("_b").alias("b"), F.max("_a").alias("a")).first()
+    b, a = max(most.b or 0, 0), max(most.a or 0, 0)
+    placed = placed.withColumn("_place", F.row_number().over(w).cast("long")).withColumn("_rows", F.collect_list("_x").over(w.rowsBetween(-b, a)))
+    # the row itself stands at this place of what was collected
+    here = F.least(F.col("_place"), F.lit(b + 1))
+    start, stop = F.greatest(here - F.col("_b"), F.lit(1)), F.least(here + F.col("_a"), F.size("_rows"))
+    own = F.transform(F.slice("_rows", start.cast("int"), F.greatest(stop - start + 1, F.lit(0)).cast("int")), lambda r: r["v"])
+    none = F.transform(F.slice("_rows", 1, 0), lambda r: r["v"])
+    own = F.when(F.col("_b").isNotNull() & F.col("_a").isNotNull(), own)
+    return placed.withColumn(name, fold(F.coalesce(own, none))).drop("_x", "_a", "_b", "_place", "_rows")
+
+
+def ignore_nulls(function: str, x: str, offset: int, partition: Sequence[str], order: Sequence[str]) -> Column:
+    """lag, lead or nth_value (of the whole partition) over the rows whose ``x`` is not null.  ``x``, ``partition`` and
+    ``order`` are SQL."""
+    frame = " ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING" if function == "nth_value" else ""
+    return F.expr(f"{function}({x}, {offset}) IGNORE NULLS OVER (PARTITION BY {', '.join(partition)} ORDER BY {', '.join(order)}{frame})")
+
+
+def row_number(df: DataFrame, partition: Sequence[str], name: str, most: int | None = None) -> DataFrame:
+    """Numbers the rows of each partition in no particular order; ``most``: and keeps so many."""
+    out = df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(F.lit(1))).cast("long"))
+    return out if most is None else out.where(F.col(name) <= most)
 
 
 def top_n_ranking(df: DataFrame, ranking: str, partition: Sequence[str], order: Sequence[Column], n: int, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import grouping, windows
-from ..operators.ordering import distinct_limit, limit_with_ties, order, page, top_n
+from ..operators.ordering import distinct_limit, key, limit_with_ties, order, page, top_n
 from ..operators.rows import mark_distinct as mark
 from ..registry import query
 from ..tables import table
@@ -143,9 +143,11 @@ def agg_bool_bits(spark, sf):
 
 @query("agg_min_max_by", "SELECT c_nationkey, min_by(c_custkey, c_acctbal) AS a, max_by(c_custkey, c_acctbal) AS b, min(c_custkey, 3) AS l, max(c_custkey, 3) AS g, max_by(c_custkey, c_acctbal, 2) AS m, min_by(c_custkey, c_acctbal, 2) AS k FROM customer GROUP BY 1")
 def agg_min_max_by(spark, sf):
-    return T(spark, sf, "customer").groupBy("c_nationkey").agg(
-        F.min_by("c_custkey", "c_acctbal").alias("a"), F.max_by("c_custkey", "c_acctbal").alias("b"), A.least_n("c_custkey", 3).alias("l"), A.greatest_n("c_custkey", 3).alias("g"), A.max_by_n("c_custkey", "c_acctbal", 2).alias("m"), A.min_by_n("c_custkey", "c_acctbal", 2).alias("k")
-    )
+    c, by = T(spark, sf, "customer"), ["c_nationkey"]
+    out = c.groupBy(*by).agg(F.min_by("c_custkey", "c_acctbal").alias("a"), F.max_by("c_custkey", "c_acctbal").alias("b"))
+    for part in (A.least_n(c, by, "c_custkey", 3, "l"), A.greatest_n(c, by, "c_custkey", 3, "g"), A.max_by_n(c, by, "c_custkey", "c_acctbal", 2, "m"), A.min_by_n(c, by, "c_custkey", "c_acctbal", 2, "k")):
+        out = out.join(part, by)
+    return out
 
 
 @query("agg_statistics", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS ss, round(stddev_pop(l_quantity), 6) AS sp, round(var_samp(l_quantity), 4) AS vs, round(var_pop(l_quantity), 4) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS c, round(covar_pop(l_quantity, l_discount), 6) AS p, round(covar_samp(l_quantity, l_discount), 6) AS q FROM lineitem GROUP BY 1")
@@ -156,9 +158,20 @@ def agg_statistics(spark, sf):
     )
 
 
-@query("agg_moments", "SELECT p_brand, round(kurtosis(p_retailprice), 5) AS k, round(geomean(p_retailprice), 4) AS g FROM part GROUP BY 1")
+@query("agg_moments", "SELECT p_brand, round(kurtosis(p_retailprice), 5) AS k, round(geomean(p_retailprice), 4) AS g, round(skewness(p_retailprice) * (count(*) - 2) / sqrt(count(*)::DOUBLE * (count(*) - 1)), 5) AS s FROM part GROUP BY 1")
 def agg_moments(spark, sf):
-    return T(spark, sf, "part").groupBy("p_brand").agg(_q(A.sample_kurtosis("p_retailprice"), 5).alias("k"), _q(A.geometric_mean("p_retailprice")).alias("g"))
+    return T(spark, sf, "part").groupBy("p_brand").agg(_q(A.sample_kurtosis("p_retailprice"), 5).alias("k"), _q(A.geometric_mean("p_retailprice")).alias("g"), _q(F.skewness("p_retailprice"), 5).alias("s"))
+
+
+@query("agg_regression_sums", "SELECT l_returnflag, round(regr_sxx(l_discount, l_quantity), 3) AS xx, round(regr_syy(l_discount, l_quantity), 5) AS yy, round(regr_sxy(l_discount, l_quantity), 4) AS xy FROM lineitem GROUP BY 1")
+def agg_regression_sums(spark, sf):
+    y, x = "l_discount", "l_quantity"
+    return T(spark, sf, "lineitem").groupBy("l_returnflag").agg(_q(F.regr_sxx(y, x), 3).alias("xx"), _q(F.regr_syy(y, x), 5).alias("yy"), _q(F.regr_sxy(y, x)).alias("xy"))
+
+
+@query("agg_listagg", "SELECT c_nationkey, string_agg(nullif(c_mktsegment, 'BUILDING'), ';' ORDER BY c_acctbal DESC, c_custkey) AS s, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS d FROM customer GROUP BY 1")
+def agg_listagg(spark, sf):
+    return T(spark, sf, "customer").groupBy("c_nationkey").agg(A.listagg(F.nullif("c_mktsegment", F.lit("BUILDING")), ";", -F.col("c_acctbal"), F.col("c_custkey")).alias("s"), F.array_join(F.sort_array(F.collect_set("c_mktsegment")), ",").alias("d"))
 
 
 @query("agg_regression", "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 5) AS s, round(regr_intercept(l_extendedprice, l_quantity), 3) AS i, regr_count(l_extendedprice, l_quantity)::BIGINT AS n, round(regr_r2(l_extendedprice, l_quantity), 6) AS r, round(regr_avgx(l_extendedprice, l_quantity), 5) AS x, round(regr_avgy(l_extendedprice, l_quantity), 3) AS y FROM lineitem GROUP BY 1")
@@ -190,10 +203,11 @@ def agg_map_agg(spark, sf):
     return g.select("n_regionkey", F.array_sort(F.map_keys("m")).alias("k"), F.array_max(F.map_values("m")).alias("v"))
 
 
-@query("agg_map_union", "SELECT n_regionkey, list(DISTINCT n_nationkey % 3 ORDER BY n_nationkey % 3) AS k FROM nation GROUP BY 1")
+@query("agg_map_union", "SELECT n_regionkey, list(DISTINCT n_nationkey % 3 ORDER BY n_nationkey % 3) AS k, list(DISTINCT 'v' || n_nationkey % 3 ORDER BY 'v' || n_nationkey % 3) AS v FROM nation GROUP BY 1")
 def agg_map_union(spark, sf):
-    m = T(spark, sf, "nation").withColumn("m", F.create_map(F.col("n_nationkey") % 3, F.col("n_name")))
-    return m.groupBy("n_regionkey").agg(A.map_union("m").alias("u")).select("n_regionkey", F.array_sort(F.map_keys("u")).alias("k"))
+    k = F.col("n_nationkey") % 3
+    m = T(spark, sf, "nation").withColumn("m", F.create_map(k, F.concat(F.lit("v"), k.cast("string"))))
+    return m.groupBy("n_regionkey").agg(A.map_union("m").alias("u")).select("n_regionkey", F.array_sort(F.map_keys("u")).alias("k"), F.array_sort(F.map_values("u")).alias("v"))
 
 
 @query("agg_map_union_sum", "SELECT n_regionkey, map_from_entries(list((k, s) ORDER BY k)) AS m FROM (SELECT n_regionkey, n_nationkey % 3 AS k, sum(n_nationkey)::BIGINT AS s FROM nation GROUP BY 1, 2) GROUP BY 1")
@@ -213,26 +227,37 @@ def agg_reduce(spark, sf):
     return T(spark, sf, "nation").groupBy("n_regionkey").agg(A.reduce_agg("n_nationkey", F.lit(0).cast("bigint"), lambda s, x: s + x * x).alias("r"))
 
 
-@query("agg_approx", "SELECT l_returnflag, true AS distinct_near, true AS sketch_near, true AS median_near FROM lineitem GROUP BY 1")
+@query("agg_approx", "SELECT l_returnflag, count(DISTINCT l_partkey) AS d, count(DISTINCT l_linenumber) AS few, [quantile_disc(l_quantity, 0.25), quantile_disc(l_quantity, 0.75)] AS q, true AS distinct_near, true AS sketch_near FROM lineitem GROUP BY 1")
 def agg_approx(spark, sf):
+    # few distinct values are counted exactly by either sketch, and percentiles of high accuracy are exact
     g = T(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        F.countDistinct("l_partkey").alias("d"), F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey", F.lit(12))).alias("h"), F.percentile("l_quantity", F.lit(0.5)).alias("p"), F.approx_percentile("l_quantity", F.lit(0.5)).alias("q")
+        F.countDistinct("l_partkey").alias("d"), F.approx_count_distinct("l_partkey", 0.02).alias("a"), A.cardinality(A.approx_set("l_partkey")).alias("h"), F.approx_count_distinct("l_linenumber", 0.02).alias("few"), F.approx_percentile("l_quantity", F.array(F.lit(0.25), F.lit(0.75)), F.lit(1_000_000)).alias("q")
     )
     near = lambda x, y: F.abs(F.col(x) / F.col(y) - 1) < 0.1
-    return g.select("l_returnflag", near("a", "d").alias("distinct_near"), near("h", "d").alias("sketch_near"), near("q", "p").alias("median_near"))
+    return g.select("l_returnflag", "d", "few", "q", near("a", "d").alias("distinct_near"), near("h", "d").alias("sketch_near"))
 
 
-@query("agg_most_frequent", "SELECT 1 AS one, map_from_entries(list((k, n) ORDER BY n DESC, k)) AS m FROM (SELECT p_type AS k, count(*) AS n FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3)")
+@query("agg_sketch_merge", "SELECT count(DISTINCT p_brand)::BIGINT AS n, count(DISTINCT p_type)::BIGINT AS t, 0::BIGINT AS none FROM part")
+def agg_sketch_merge(spark, sf):
+    parts = T(spark, sf, "part").groupBy("p_size").agg(A.approx_set("p_brand").alias("b"), A.approx_set("p_type").alias("t"))
+    empty = T(spark, sf, "part").where("p_size < 0").agg(A.cardinality(A.approx_set("p_brand")).alias("none"))
+    return parts.agg(A.cardinality(A.merge("b")).alias("n"), A.cardinality(A.merge("t")).alias("t")).crossJoin(empty)
+
+
+@query("agg_most_frequent", "SELECT p_brand, map_from_entries(list((k, n) ORDER BY n DESC, k)) AS m FROM (SELECT p_brand, p_type AS k, count(*) AS n FROM part GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, k) <= 3) GROUP BY 1")
 def agg_most_frequent(spark, sf):
-    return A.approx_most_frequent(T(spark, sf, "part").select(F.lit(1).alias("one"), "p_type"), ["one"], "p_type", 3, "m")
+    return A.approx_most_frequent(T(spark, sf, "part"), ["p_brand"], "p_type", 3, "m")
 
 
-@query("agg_checksum", "SELECT true AS same, false AS changed")
+@query("agg_checksum", "SELECT n_regionkey, count(*) AS n, true AS same, count(*) = 0 AS doubled, n_regionkey = 0 AS changed FROM nation GROUP BY 1")
 def agg_checksum(spark, sf):
     n = T(spark, sf, "nation")
-    one, two = n.agg(A.checksum("n_nationkey", "n_name").alias("a")), n.orderBy(F.desc("n_name")).agg(A.checksum("n_nationkey", "n_name").alias("b"))
-    three = n.where("n_nationkey > 0").agg(A.checksum("n_nationkey", "n_name").alias("c"))
-    return one.crossJoin(two).crossJoin(three).select((F.col("a") == F.col("b")).alias("same"), (F.col("a") == F.col("c")).alias("changed"))
+    by = lambda df, name: df.groupBy("n_regionkey").agg(A.checksum("n_nationkey", "n_name").alias(name))
+    out = n.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"), A.checksum("n_nationkey", "n_name").alias("a"))
+    # in another order, with every row twice, and with one row changed
+    out = out.join(by(n.orderBy(F.desc("n_name")), "b"), "n_regionkey").join(by(n.unionAll(n), "c"), "n_regionkey")
+    out = out.join(by(n.withColumn("n_name", F.when(F.col("n_nationkey") == n.where("n_regionkey = 0").agg(F.min("n_nationkey")).first()[0], "x").otherwise(F.col("n_name"))), "e"), "n_regionkey")
+    return out.select("n_regionkey", "n", (F.col("a") == F.col("b")).alias("same"), (F.col("a") == F.col("c")).alias("doubled"), (F.col("a") != F.col("e")).alias("changed"))
 
 
 @query("agg_data_size", "SELECT max(strlen(text))::BIGINT AS m, sum(strlen(text))::BIGINT AS s FROM documents")
@@ -287,10 +312,22 @@ def win_groups(spark, sf):
     return windows.groups_frame(line, F.sum("l_quantity"), ["l_suppkey"], [F.col("l_linenumber")], -1, 1, "s").withColumn("s", _q("s", 2)).drop("l_linenumber")
 
 
-@query("win_varying_frame", f"SELECT event_id, round(sum(value) OVER ({_E} ROWS BETWEEN CAST(event_id % 3 AS INTEGER) PRECEDING AND CURRENT ROW), 3) AS s FROM events")
+_V = "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 97 = 0 THEN 'Infinity'::DOUBLE ELSE value END"
+
+
+@query(
+    "win_varying_frame",
+    f"""SELECT event_id, round(sum(v) OVER ({_E} ROWS BETWEEN CAST(event_id % 3 AS INTEGER) PRECEDING AND CURRENT ROW), 6) AS s, count(v) OVER ({_E} ROWS BETWEEN CAST(event_id % 4 AS INTEGER) PRECEDING AND CAST(event_id % 5 AS INTEGER) FOLLOWING) AS n,
+    max(v) OVER ({_E} ROWS BETWEEN CURRENT ROW AND CAST(event_id % 3 AS INTEGER) FOLLOWING) AS m FROM (SELECT *, {_V} AS v FROM events)""",
+)
 def win_varying_frame(spark, sf):
-    e = T(spark, sf, "events").select("event_id", "user_id", "ts", "value")
-    return windows.varying_rows_sum(e, "value", ["user_id"], [F.col("ts"), F.col("event_id")], F.col("event_id") % 3, "s").select("event_id", _q("s", 3).alias("s"))
+    k = F.col("event_id")
+    v = F.when(k % 7 == 0, F.lit(None)).when(k % 97 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
+    e = T(spark, sf, "events").select("event_id", "user_id", "ts", v.alias("v"))
+    by, order_ = ["user_id"], [F.col("ts"), k]
+    for fold, before, after, name in ((windows.fold_sum, k % 3, F.lit(0), "s"), (windows.fold_count, k % 4, k % 5, "n"), (F.array_max, F.lit(0), k % 3, "m")):
+        e = windows.varying_rows(e, "v", fold, by, order_, before, after, name)
+    return e.select("event_id", _q("s", 6).alias("s"), "n", "m")
 
 
 @query("win_navigation", f"SELECT event_id, lag(event_id) OVER ({_E}) AS a, lead(event_id, 2, -1) OVER ({_E}) AS b, first_value(event_id) OVER ({_E}) AS f, last_value(event_id) OVER ({_E} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l, nth_value(event_id, 3) OVER ({_E} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS n FROM events")
@@ -306,6 +343,22 @@ def win_ignore_nulls(spark, sf):
     return T(spark, sf, "events").select("event_id", F.last(x, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("l"), F.first(x, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)).alias("f"))
 
 
+_X = "nullif(event_type, 'view')"
+
+
+@query("win_navigation_nulls", f"SELECT event_id, lag({_X}, 1 IGNORE NULLS) OVER ({_E}) AS a, lead({_X}, 2 IGNORE NULLS) OVER ({_E}) AS b, nth_value({_X}, 3 IGNORE NULLS) OVER ({_E} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS n FROM events")
+def win_navigation_nulls(spark, sf):
+    x = "nullif(event_type, 'view')"
+    return T(spark, sf, "events").select("event_id", *[windows.ignore_nulls(f, x, n, ["user_id"], ["ts", "event_id"]).alias(c) for f, n, c in (("lag", 1, "a"), ("lead", 2, "b"), ("nth_value", 3, "n"))])
+
+
+@query("win_row_number_unordered", "SELECT o_orderpriority, count(*) AS n, count(*) AS most, (count(*) * (count(*) + 1) // 2)::BIGINT AS total, least(count(*), 5) AS kept FROM orders GROUP BY 1")
+def win_row_number_unordered(spark, sf):
+    o = T(spark, sf, "orders").select("o_orderpriority")
+    n = windows.row_number(o, ["o_orderpriority"], "r").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("most"), F.sum("r").alias("total"))
+    return n.join(windows.row_number(o, ["o_orderpriority"], "r", 5).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("kept")), "o_orderpriority")
+
+
 @query("win_agg", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS s, count(*) OVER (PARTITION BY o_custkey) AS n, max(o_totalprice) OVER (PARTITION BY o_custkey, o_orderstatus) AS m FROM orders")
 def win_agg(spark, sf):
     w = W.partitionBy("o_custkey")
@@ -345,12 +398,24 @@ def sessionize(spark, sf):
 # Sorting and limits.
 
 
-@query("sort_nulls", "SELECT a, b, row_number() OVER (ORDER BY a ASC NULLS FIRST, b DESC NULLS LAST, k) AS f, row_number() OVER (ORDER BY a DESC NULLS FIRST, b ASC NULLS LAST, k) AS l FROM (SELECT n_nationkey AS k, nullif(n_regionkey, 2) AS a, nullif(n_nationkey % 4, 1) AS b FROM nation)")
+_SORTED = "SELECT n_nationkey AS k, nullif(n_regionkey, 2) AS a, nullif(n_nationkey % 4, 1) AS b FROM nation"
+_SORTS = (("ASC NULLS FIRST", "DESC NULLS LAST"), ("DESC NULLS FIRST", "ASC NULLS LAST"))
+
+
+@query("sort_nulls", " UNION ALL ".join(f"SELECT {i} AS sort, k, a, b, row_number() OVER (ORDER BY a {x}, b {y}, k) AS place FROM ({_SORTED})" for i, (x, y) in enumerate(_SORTS)))
 def sort_nulls(spark, sf):
     n = T(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.nullif("n_regionkey", F.lit(2)).alias("a"), F.nullif(F.col("n_nationkey") % 4, F.lit(1)).alias("b"))
-    one = W.orderBy(order("a", nulls_first=True), order("b", descending=True), order("k"))
-    two = W.orderBy(order("a", descending=True, nulls_first=True), order("b"), order("k"))
-    return n.select("a", "b", F.row_number().over(one).cast("bigint").alias("f"), F.row_number().over(two).cast("bigint").alias("l"))
+    sorts = ([order("a", nulls_first=True), order("b", descending=True)], [order("a", descending=True, nulls_first=True), order("b")])
+    out = None
+    for i, keys in enumerate(sorts):
+        # the sort itself; where its rows came out is read off the partitions' numbers and the places within them
+        ordered = n.orderBy(*keys, order("k")).withColumn("_at", F.monotonically_increasing_id())
+        part = F.shiftright("_at", 33)
+        size = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+        before = size.withColumn("_before", F.sum("_n").over(W.orderBy("_part")) - F.col("_n"))
+        placed = ordered.withColumn("_part", part).join(before, "_part").select(F.lit(i).alias("sort"), "k", "a", "b", (F.col("_before") + F.col("_at") - F.shiftleft("_part", 33) + 1).alias("place"))
+        out = placed if out is None else out.unionAll(placed)
+    return out
 
 
 @query("topn", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
@@ -358,9 +423,11 @@ def topn(spark, sf):
     return top_n(T(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 25, order("o_totalprice", descending=True), order("o_orderkey"))
 
 
-@query("limit", "SELECT count(*) AS n FROM (SELECT * FROM lineitem LIMIT 100)")
+@query("limit", "SELECT count(*) AS n, count(DISTINCT k) AS keys, bool_and(k IN (SELECT l_orderkey FROM lineitem)) AS own FROM (SELECT l_orderkey * 10 + 0 AS k0, l_orderkey AS k FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1 ORDER BY l_orderkey LIMIT 100)")
 def limit(spark, sf):
-    return T(spark, sf, "lineitem").limit(100).agg(F.count(F.lit(1)).alias("n"))
+    line = T(spark, sf, "lineitem").select("l_orderkey")
+    kept = line.distinct().limit(100)
+    return kept.join(line.distinct().withColumn("_in", F.lit(True)), "l_orderkey", "left").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_orderkey").alias("keys"), F.bool_and(F.coalesce("_in", F.lit(False))).alias("own"))
 
 
 @query("offset_limit", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 40")
@@ -370,12 +437,14 @@ def offset_limit(spark, sf):
 
 @query("limit_with_ties", "SELECT p_partkey, p_size FROM part QUALIFY rank() OVER (ORDER BY p_size DESC, p_type) <= 7")
 def limit_ties(spark, sf):
-    return limit_with_ties(T(spark, sf, "part").select("p_partkey", "p_size", "p_type"), 7, order("p_size", descending=True), order("p_type")).drop("p_type")
+    return limit_with_ties(T(spark, sf, "part").select("p_partkey", "p_size", "p_type"), 7, key("p_size", descending=True), key("p_type")).drop("p_type")
 
 
-@query("distinct_limit", "SELECT count(*) AS n FROM (SELECT DISTINCT c_nationkey FROM customer LIMIT 10)")
+@query("distinct_limit", "SELECT count(*) AS n, count(DISTINCT k) AS keys, min(c) AS least FROM (SELECT c_nationkey AS k, 1 AS c FROM customer GROUP BY 1 LIMIT 10)")
 def distinct_lim(spark, sf):
-    return distinct_limit(T(spark, sf, "customer").select("c_nationkey"), 10).agg(F.count(F.lit(1)).alias("n"))
+    c = T(spark, sf, "customer").select("c_nationkey")
+    kept = distinct_limit(c, 10).join(c.distinct().withColumn("c", F.lit(1)), "c_nationkey", "left")
+    return kept.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c_nationkey").alias("keys"), F.min("c").alias("least"))
 
 
 # Set operations.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import exchange, joins, rows
 from ..operators.ordering import order
 from ..operators.predicates import Domain, tuple_domain
-from ..registry import ORACLES, query
+from ..registry import query
 from ..tables import register, table
 
 T = table
@@ -34,6 +34,21 @@ def scan_domain_nulls(spark, sf):
     return df.where(Domain.values("F", nulls=True).column("k"))
 
 
+@query(
+    "scan_domain_kinds",
+    "SELECT o_orderkey FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1995-03-01' AND DATE '1996-02-29' AND o_orderdate::DATE <> DATE '1995-07-04' AND o_totalprice::DECIMAL(38,2) > 1000.50 AND encode(o_orderpriority) >= '2'::BLOB AND (o_totalprice < 5000 OR o_totalprice > 20000.5)",
+)
+def scan_domain_kinds(spark, sf):
+    from datetime import date
+    from decimal import Decimal
+
+    day = Domain.between(date(1995, 3, 1), date(1996, 2, 29)).intersect(Domain.values(date(1995, 7, 4)).complement())
+    price = Domain.between(None, 5000.0, high_open=True).union(Domain.between(20000.5, None, low_open=True))
+    wide, text = Domain.between(Decimal("1000.50"), None, low_open=True), Domain.between(bytearray(b"2"))
+    o = T(spark, sf, "orders").withColumn("day", F.col("o_orderdate").cast("date")).withColumn("wide", F.col("o_totalprice").cast("decimal(38,2)")).withColumn("bytes", F.col("o_orderpriority").cast("binary"))
+    return o.where(tuple_domain({"day": day, "o_totalprice": price, "wide": wide, "bytes": text})).select("o_orderkey")
+
+
 @query("scan_file_columns", "SELECT 'nation.parquet' AS file, count(*) AS n FROM nation")
 def scan_file_columns(spark, sf):
     from ..sources.files import with_file_columns
@@ -91,6 +106,27 @@ def hive_bucket(spark, sf):
     return T(spark, sf, "orders").select("o_orderkey", exchange.hive_bucket("o_orderkey", 16, "bigint").alias("bucket"))
 
 
+#: The signed UTF-8 bytes of a text, and their hash, in SQL.
+_BYTES = "list_transform(range(1, strlen(t) + 1), lambda i: ('0x' || substr(hex(t), 2 * i - 1, 2))::BIGINT - CASE WHEN substr(hex(t), 2 * i - 1, 1) >= '8' THEN 256 ELSE 0 END)"
+_HASH = f"list_reduce(list_concat([0::BIGINT], {_BYTES}), lambda a, c: (a * 31 + c) & 4294967295)"
+
+
+@query("hive_bucket_keys", f"SELECT n_nationkey, CAST(({_HASH} & 2147483647) % 16 AS INTEGER) AS s, CAST(((({_HASH} * 31 + n_nationkey) & 4294967295) & 2147483647) % 16 AS INTEGER) AS b FROM (SELECT *, 'é' || n_name || '漢' AS t FROM nation)")
+def hive_bucket_keys(spark, sf):
+    n = T(spark, sf, "nation").withColumn("t", F.concat(F.lit("é"), "n_name", F.lit("漢")))
+    return n.select("n_nationkey", exchange.hive_bucket("t", 16, "string").alias("s"), exchange.hive_bucket(["t", "n_nationkey"], 16, ["string", "int"]).alias("b"))
+
+
+@query("exchange_handles", "SELECT 'SINGLE' AS h, s_suppkey FROM supplier UNION ALL SELECT 'FIXED_HASH', s_suppkey FROM supplier UNION ALL SELECT 'FIXED_ARBITRARY', s_suppkey FROM supplier")
+def exchange_handles(spark, sf):
+    out = None
+    for h in ("SINGLE", "FIXED_HASH", "FIXED_ARBITRARY"):
+        # a constant may stand among the keys
+        one = exchange.by_handle(T(spark, sf, "supplier").select(F.lit(h).alias("h"), "s_suppkey"), h, ["s_suppkey", F.lit(7)])
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 @query("project_expr", "SELECT l_orderkey, l_extendedprice * (1 - l_discount) AS disc_price, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, l_quantity + 1 AS q1, -l_tax AS neg FROM lineitem")
 def project_expr(spark, sf):
     price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
@@ -140,9 +176,11 @@ def pred_logic(spark, sf):
     return T(spark, sf, "nation").select("n_nationkey", (a & (F.col("n_nationkey") > 9)).alias("a"), (a | (F.col("n_nationkey") > 9)).alias("o"), (~a).alias("n"))
 
 
-@query("pred_like", r"SELECT p_partkey, p_name LIKE '%e_%' AS a, p_brand LIKE 'Brand#1_' AS b, concat(p_type, '_x') LIKE '%O\_x' ESCAPE '\' AS c FROM part")
+@query("pred_like", r"SELECT p_partkey, p_name LIKE '%e_%' AS a, p_brand LIKE 'Brand#1_' AS b, concat(p_type, '_x') LIKE '%O\_x' ESCAPE '\' AS c, p_brand LIKE 'Brand##_1' ESCAPE '#' AS d FROM part")
 def pred_like(spark, sf):
-    return T(spark, sf, "part").select("p_partkey", F.col("p_name").like("%e_%").alias("a"), F.col("p_brand").like("Brand#1_").alias("b"), F.like(F.concat("p_type", F.lit("_x")), F.lit("%O\\_x")).alias("c"))
+    return T(spark, sf, "part").select(
+        "p_partkey", F.col("p_name").like("%e_%").alias("a"), F.col("p_brand").like("Brand#1_").alias("b"), F.like(F.concat("p_type", F.lit("_x")), F.lit("%O\\_x")).alias("c"), F.like(F.col("p_brand"), F.lit("Brand##_1"), F.lit("#")).alias("d"),
+    )
 
 
 @query("cast_try_cast", "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(12,1)) AS d, TRY_CAST(o_orderpriority AS INTEGER) AS i, CAST(o_orderkey AS VARCHAR) AS s, CAST(o_orderdate AS DATE) AS t, TRY_CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS p FROM orders")
@@ -221,25 +259,27 @@ def expr_arith_decimal(spark, sf):
     return T(spark, sf, "part").select("p_partkey", (s + F.lit("1.25").cast("decimal(4,2)")).cast("decimal(12,2)").alias("a"), (s * F.lit("1.5").cast("decimal(3,1)")).cast("decimal(14,3)").alias("m"))
 
 
-@query("expr_try", "SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN NULL ELSE n_nationkey / n_regionkey END AS q, CASE WHEN n_regionkey BETWEEN 1 AND 2 THEN [10, 20][n_regionkey] END AS e FROM nation")
+@query("expr_try", "SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN NULL ELSE n_nationkey / n_regionkey END AS q, [10, 20][n_regionkey] AS e, TRY_CAST('x' || n_regionkey AS INTEGER) AS c, CASE WHEN n_nationkey < 16 THEN n_nationkey::BIGINT * 600000000000000000 END AS o FROM nation")
 def expr_try(spark, sf):
-    two = F.array(F.lit(10), F.lit(20))
-    e = F.when(F.col("n_regionkey") > 0, F.try_element_at(two, F.col("n_regionkey")))
-    return T(spark, sf, "nation").select("n_nationkey", F.try_divide("n_nationkey", "n_regionkey").alias("q"), e.alias("e"))
-
+    from ..functions.collections import try_subscript
 
-@query("unnest", "SELECT vec_id, i::INTEGER AS i, x FROM (SELECT vec_id, unnest(embedding[1:3]) AS x, generate_subscripts(embedding[1:3], 1) AS i FROM embeddings)")
-def unnest(spark, sf):
-    return _unnested(T(spark, sf, "embeddings"), F.slice("embedding", 1, 3))
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    return T(spark, sf, "nation").select(
+        "n_nationkey", F.try_divide(k, r).alias("q"), try_subscript(F.array(F.lit(10), F.lit(20)), r).alias("e"), F.concat(F.lit("x"), r.cast("string")).try_cast("int").alias("c"), F.try_multiply(k.cast("bigint"), F.lit(600000000000000000)).alias("o"),
+    )
 
 
-@query("unnest_whole", ORACLES["unnest"].replace("embedding[1:3]", "embedding"))
-def unnest_whole(spark, sf):
-    return _unnested(T(spark, sf, "embeddings"), F.col("embedding"))
+@query("unnest", "SELECT vec_id, i::INTEGER AS i, x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)")
+def unnest(spark, sf):
+    return T(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "x")).select("vec_id", (F.col("p") + 1).alias("i"), "x")
 
 
-def _unnested(t, a):
-    return t.select("vec_id", F.posexplode(a).alias("p", "x")).select("vec_id", (F.col("p") + 1).alias("i"), "x")
+@query("unnest_several", "SELECT n_nationkey, unnest(['k', 'r']) AS k, unnest([n_nationkey, n_regionkey]) AS v, unnest([n_name, NULL]) AS s FROM nation")
+def unnest_several(spark, sf):
+    # a map gives two columns; the shorter array is filled up with nulls
+    m = F.map_entries(F.create_map(F.lit("k"), F.col("n_nationkey"), F.lit("r"), F.col("n_regionkey")))
+    both = T(spark, sf, "nation").select("n_nationkey", F.inline(F.arrays_zip(m.alias("m"), F.array("n_name").alias("s"))))
+    return both.select("n_nationkey", "m.key", "m.value", "s").toDF("n_nationkey", "k", "v", "s")
 
 
 @query("sample_bernoulli", "SELECT true AS subset, true AS within FROM (SELECT 1)")
@@ -277,15 +317,8 @@ def join_right(spark, sf):
     return c.join(o, c.c_custkey == o.o_custkey, "right").select("c_custkey", "c_name", "o_orderkey")
 
 
-@query("join_full", "SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey < 150) FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) ON c_custkey = s_suppkey + 50")
+@query("join_full", "SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 20")
 def join_full(spark, sf):
-    c = T(spark, sf, "customer").where("c_custkey < 150").select("c_custkey")
-    s = T(spark, sf, "supplier").where("s_suppkey % 2 = 0").select("s_suppkey")
-    return c.join(s, c.c_custkey == s.s_suppkey + 50, "full")
-
-
-@query("join_full_whole", "SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 20")
-def join_full_whole(spark, sf):
     c, s = T(spark, sf, "customer").select("c_custkey"), T(spark, sf, "supplier").select("s_suppkey")
     # there are fifteen customers to a supplier, so that both sides have rows without a match
     return c.join(s, c.c_custkey == s.s_suppkey * 20, "full")

@@ -9,7 +9,7 @@ from ..functions import datetimes as D
 from ..functions import documents as J
 from ..functions import mathematics as M
 from ..functions import strings as S
-from ..registry import ORACLES, query
+from ..registry import query
 from ..tables import table
 
 T = table
@@ -123,16 +123,32 @@ def fn_string_shims(spark, sf):
     )
 
 
-@query("fn_string_unicode", "SELECT doc_id, length(text)::INTEGER AS n, strlen(text)::INTEGER AS b, lower(substr(text, 1, 5)) AS u, nfc_normalize(substr(text, 1, 20)) AS f, substr(text, 3, 4) AS s FROM documents")
+@query("fn_string_unicode", "SELECT doc_id, length(text)::INTEGER AS n, strlen(text)::INTEGER AS b, md5(lower(text)) AS u, md5(nfc_normalize(text)) AS f, md5(substr(text, 3)) AS s FROM documents")
 def fn_string_unicode(spark, sf):
     x = F.col("text")
-    return T(spark, sf, "documents").select("doc_id", F.char_length(x).alias("n"), F.octet_length(x).alias("b"), F.lower(F.substr(x, F.lit(1), F.lit(5))).alias("u"), S.normalize(F.substr(x, F.lit(1), F.lit(20))).alias("f"), F.substr(x, F.lit(3), F.lit(4)).alias("s"))
+    return T(spark, sf, "documents").select("doc_id", F.char_length(x).alias("n"), F.octet_length(x).alias("b"), F.md5(F.lower(x)).alias("u"), F.md5(S.normalize(x)).alias("f"), F.md5(F.substr(x, F.lit(3))).alias("s"))
 
 
-@query("fn_string_unicode_whole", "SELECT doc_id, md5(lower(text)) AS u, md5(nfc_normalize(text)) AS f, md5(substr(text, 3)) AS s FROM documents")
-def fn_string_unicode_whole(spark, sf):
-    x = F.col("text")
-    return T(spark, sf, "documents").select("doc_id", F.md5(F.lower(x)).alias("u"), F.md5(S.normalize(x)).alias("f"), F.md5(F.substr(x, F.lit(3))).alias("s"))
+@query(
+    "fn_string_more",
+    """SELECT p_partkey, string_split(p_name, ' ')[1:1] || CASE WHEN strpos(p_name, ' ') > 0 THEN [substr(p_name, strpos(p_name, ' ') + 1)] ELSE [] END AS l, CASE WHEN len(string_split(p_name, 'e')) > 2 THEN (strlen(string_split(p_name, 'e')[1]) + strlen(string_split(p_name, 'e')[2]) + 2)::INTEGER ELSE 0 END AS i,
+    (p_name || '_' || p_type) LIKE '%#_' || p_type ESCAPE '#' AS k, 'x' || p_type LIKE '%$%%' ESCAPE '$' AS q, CASE left(p_type, 1) WHEN 'S' THEN 'S540' WHEN 'P' THEN 'P650' WHEN 'M' THEN 'M350' WHEN 'L' THEN 'L620' WHEN 'E' THEN 'E255' END AS x FROM (SELECT *, replace(p_name, p_name, p_name) AS z FROM part WHERE p_type IN ('SMALL', 'PROMO'))""",
+)
+def fn_string_more(spark, sf):
+    n, t = F.col("p_name"), F.col("p_type")
+    both = F.concat(n, F.lit("_"), t)
+    return T(spark, sf, "part").where("p_type IN ('SMALL', 'PROMO')").select(
+        "p_partkey", S.split(n, " ", 2).alias("l"), S.strpos(n, "e", 2).alias("i"), F.like(both, F.concat(F.lit("%#_"), t), F.lit("#")).alias("k"), F.like(F.concat(F.lit("x"), t), F.lit("%$%%"), F.lit("$")).alias("q"), F.soundex(t).alias("x"),
+    )
+
+
+@query(
+    "fn_word_stem",
+    """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'run' WHEN 1 THEN 'happi' WHEN 2 THEN 'relat' WHEN 3 THEN 'hope' WHEN 4 THEN 'generous' ELSE 'sky' END AS s FROM part""",
+)
+def fn_word_stem(spark, sf):
+    words = F.array(*[F.lit(w) for w in ("running", "happiness", "relational", "hoping", "generously", "sky")])
+    return T(spark, sf, "part").select("p_partkey", S.word_stem(F.element_at(words, (F.col("p_partkey") % 6 + 1).cast("int"))).alias("s"))
 
 
 @query(
@@ -182,6 +198,34 @@ def fn_hash_properties(spark, sf):
     return T(spark, sf, "nation").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.xxhash64("n_name")).alias("x"), F.countDistinct(F.hash("n_name")).alias("m"))
 
 
+#: Published digests of fixed inputs (fixed values): XXH64 and MurmurHash3 (x64, 128 bits), seed 0.
+_DIGESTS = {"": ("ef46db3751d8e999", "0" * 32), "The quick brown fox jumps over the lazy dog": ("0b242d361fda71bc", "6c1b07bc7bbc4be347939ac4a93c437a")}
+
+
+@query("fn_hash_exact", " UNION ALL ".join(f"SELECT '{t}' AS t, '{x}' AS x, '{m}' AS m" for t, (x, m) in _DIGESTS.items()))
+def fn_hash_exact(spark, sf):
+    texts = T(spark, sf, "region").limit(1).select(F.explode(F.array(*[F.lit(t) for t in _DIGESTS])).alias("t"))
+    return texts.select("t", F.lower(F.hex(S.xxhash64(S.to_utf8("t")))).alias("x"), F.lower(F.hex(S.murmur3(S.to_utf8("t")))).alias("m"))
+
+
+_PADDED = {"ipad": "36", "opad": "5c"}
+
+
+def _hmac_sql(key: bytes) -> str:
+    """HMAC-SHA-256 spelled out with a plain digest."""
+    k = key.ljust(64, b"\0")
+    pad = {n: bytes(x ^ int(v, 16) for x in k).hex() for n, v in _PADDED.items()}
+    return f"sha256(from_hex('{pad['opad']}') || from_hex(sha256(from_hex('{pad['ipad']}') || n_name::BLOB)))"
+
+
+@query("fn_binary_more", f"SELECT n_nationkey, from_hex(hex(n_name))::VARCHAR AS a, {_hmac_sql(b'key')} AS m, CASE WHEN n_nationkey < 0 THEN NULL ELSE 128 END AS l, 3421780262 AS c FROM nation")
+def fn_binary_more(spark, sf):
+    b = S.to_utf8("n_name")
+    return T(spark, sf, "nation").select(
+        "n_nationkey", S.from_utf8(F.unhex(F.hex(b))).alias("a"), F.lower(F.hex(S.hmac(b, b"key", "sha256"))).alias("m"), F.length(F.hex(S.digest(b, "sha512"))).alias("l"), F.crc32(F.lit("123456789").cast("binary")).alias("c"),
+    )
+
+
 @query(
     "fn_datetime_parts",
     """SELECT o_orderkey, year(o_orderdate)::INTEGER AS a, quarter(o_orderdate)::INTEGER AS b, month(o_orderdate)::INTEGER AS c, day(o_orderdate)::INTEGER AS d, isodow(o_orderdate)::INTEGER AS e, dayofyear(o_orderdate)::INTEGER AS f, weekofyear(o_orderdate)::INTEGER AS g,
@@ -212,35 +256,31 @@ def fn_datetime_arith(spark, sf):
     )
 
 
-#: The filter of some queries' SQL, which their forms over whole tables go without.
-_SEVENTH = " WHERE o_orderkey % 7 = 0"
-
-
-@query("fn_datetime_text", "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS a, o_orderdate::DATE::TIMESTAMP AS b, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '.000' AS c, o_orderdate + INTERVAL 9 HOUR AS d FROM orders WHERE o_orderkey % 7 = 0")
+@query("fn_datetime_text", "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS a, o_orderdate::DATE::TIMESTAMP AS b, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '.000' AS c, o_orderdate + INTERVAL 9 HOUR AS d FROM orders")
 def fn_datetime_text(spark, sf):
-    return _datetime_text(T(spark, sf, "orders").where("o_orderkey % 7 = 0"))
-
-
-@query("fn_datetime_text_whole", ORACLES["fn_datetime_text"].removesuffix(_SEVENTH))
-def fn_datetime_text_whole(spark, sf):
-    return _datetime_text(T(spark, sf, "orders"))
-
-
-def _datetime_text(o):
     d = F.col("o_orderdate")
-    return o.select("o_orderkey", D.date_format(d, "%d/%m/%Y").alias("a"), D.date_parse(D.date_format(d, "%d/%m/%Y"), "%d/%m/%Y").alias("b"), D.to_iso8601(d).alias("c"), D.at_timezone(d, "Asia/Tokyo").alias("d"))
-
-
-@query("fn_datetime_now", "SELECT true AS a, true AS b, true AS c")
-def fn_datetime_now(spark, sf):
-    return T(spark, sf, "region").limit(1).select((F.current_date() > F.lit("2020-01-01").cast("date")).alias("a"), (F.current_timestamp() == F.now()).alias("b"), (D.from_unixtime(F.lit(86400)) == F.lit("1970-01-02").cast("timestamp")).alias("c"))
+    return T(spark, sf, "orders").select("o_orderkey", D.date_format(d, "%d/%m/%Y").alias("a"), D.date_parse(D.date_format(d, "%d/%m/%Y"), "%d/%m/%Y").alias("b"), D.to_iso8601(d).alias("c"), D.at_timezone(d, "Asia/Tokyo").alias("d"))
 
 
-_SMALL = "list_transform(embedding[1:8], lambda x: CAST(round(x * 3) AS INTEGER))"
+@query(
+    "fn_datetime_instants",
+    """SELECT event_id, ts AS a, CASE WHEN day(ts) % 2 = 0 THEN ts - INTERVAL 4 HOUR ELSE ts - INTERVAL 5 HOUR END AS z, datesub('month', TIMESTAMP '2023-12-15 12:00:00', ts)::BIGINT AS m, datesub('week', TIMESTAMP '2023-12-15 12:00:00', ts)::BIGINT AS w, datesub('hour', ts, TIMESTAMP '2024-02-01 00:30:00')::BIGINT AS h
+    FROM events""",
+)
+def fn_datetime_instants(spark, sf):
+    t, zero = F.col("ts"), F.lit("2023-12-15 12:00:00").cast("timestamp_ntz")
+    # in summer and in winter New York is four and five hours behind
+    moved = F.when(F.dayofmonth(t) % 2 == 0, t + F.expr("interval '182' day")).otherwise(t)
+    local = D.at_timezone(moved, "America/New_York")
+    local = F.when(F.dayofmonth(t) % 2 == 0, local - F.expr("interval '182' day")).otherwise(local)
+    return T(spark, sf, "events").select(
+        "event_id", D.from_iso8601_timestamp(F.concat(D.format_datetime(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))).cast("timestamp_ntz").alias("a"), local.alias("z"), D.date_diff("month", zero, t).alias("m"), D.date_diff("week", zero, t).alias("w"), D.date_diff("hour", t, F.lit("2024-02-01 00:30:00").cast("timestamp_ntz")).alias("h"),
+    )
 
 
-def _small():
-    return _integers(F.slice("embedding", 1, 8))
+@query("fn_datetime_now", "SELECT n_nationkey, true AS a, true AS b, TIMESTAMP '1970-01-01' + INTERVAL 1 DAY * n_nationkey AS c FROM nation")
+def fn_datetime_now(spark, sf):
+    return T(spark, sf, "nation").select("n_nationkey", (F.current_date() > F.lit("2020-01-01").cast("date")).alias("a"), (F.current_timestamp() == F.now()).alias("b"), D.from_unixtime(F.col("n_nationkey") * 86400).cast("timestamp_ntz").alias("c"))
 
 
 _WHOLE = "list_transform(embedding, lambda x: CAST(round(x * 3) AS INTEGER))"
@@ -257,20 +297,11 @@ def _embeddings(spark, sf, a):
 @query(
     "fn_array_basic",
     f"""SELECT vec_id, len(a)::INTEGER AS n, list_contains(a, 1) AS c, list_sort(list_distinct(a)) AS d, list_sort(list_intersect(a, [0, 1])) AS i, list_max(a) AS mx, list_min(a) AS mn, coalesce(list_position(a, 1), 0)::BIGINT AS p, list_filter(a, lambda x: x <> 1) AS r, list_sort(a) AS s, list_reverse_sort(a) AS t,
-    array_to_string(a, '-') AS j, list_reverse(a) AS v, a[2:4] AS l, list_has_any(a, [2, 3]) AS o, list_concat(a, [9]) AS k, a[-1] AS e FROM (SELECT vec_id, {_SMALL} AS a FROM embeddings)""",
+    array_to_string(a, '-') AS j, list_reverse(a) AS v, a[2:4] AS l, list_has_any(a, [2, 3]) AS o, list_concat(a, [9]) AS k, a[-1] AS e FROM (SELECT vec_id, {_WHOLE} AS a FROM embeddings)""",
 )
 def fn_array_basic(spark, sf):
-    return _array_basic(_embeddings(spark, sf, _small()))
-
-
-@query("fn_array_basic_whole", ORACLES["fn_array_basic"].replace(_SMALL, _WHOLE))
-def fn_array_basic_whole(spark, sf):
-    return _array_basic(_embeddings(spark, sf, _integers("embedding")))
-
-
-def _array_basic(e):
     one, two = F.array(F.lit(0), F.lit(1)), F.array(F.lit(2), F.lit(3))
-    return e.select(
+    return _embeddings(spark, sf, _integers("embedding")).select(
         "vec_id", F.cardinality("a").alias("n"), F.array_contains("a", 1).alias("c"), F.array_sort(F.array_distinct("a")).alias("d"), F.array_sort(F.array_intersect("a", one)).alias("i"), C.array_max("a").alias("mx"), C.array_min("a").alias("mn"), F.array_position("a", 1).alias("p"), F.array_remove("a", 1).alias("r"), F.array_sort("a").alias("s"),
         C.array_sort_desc("a").alias("t"), F.array_join("a", "-").alias("j"), F.reverse("a").alias("v"), F.slice("a", 2, 3).alias("l"), F.arrays_overlap("a", two).alias("o"), F.concat("a", F.array(F.lit(9))).alias("k"), C.element_at("a", -1).alias("e"),
     )
@@ -278,60 +309,64 @@ def _array_basic(e):
 
 @query(
     "fn_array_shims",
-    f"""SELECT vec_id, list_sort(list_filter(list_distinct(a), lambda x: len(list_filter(a, lambda y: y = x)) > 1)) AS d, len(a) <> len(list_distinct(a)) AS h, len(list_filter(a, lambda y: y = 0))::INTEGER AS f, list_sum(a)::BIGINT AS s, round(list_avg(a), 6) AS v, a[1:6] AS t, list_filter(a, lambda x: x > 0)[1] AS w,
-    [[a[1], a[2]], [a[2], a[3]], [a[3], a[4]]] AS g, [[a[1], a[2]], [a[1], a[3]], [a[2], a[3]]] AS c FROM (SELECT vec_id, {_SMALL} AS a FROM embeddings)""",
+    f"""SELECT vec_id, list_sort(list_filter(list_distinct(a), lambda x: len(list_filter(a, lambda y: y = x)) > 1)) AS d, len(a) <> len(list_distinct(a)) AS h, len(list_filter(a, lambda y: y = 0))::INTEGER AS f, list_sum(a)::BIGINT AS s, round(list_avg(a), 6) AS v, a[1:len(a) - 2] AS t, list_filter(a, lambda x: x > 0)[1] AS w,
+    list_transform(range(1, len(a)), lambda i: [a[i], a[i + 1]]) AS g, (len(a) * (len(a) - 1) // 2)::INTEGER AS c, list_sum(list_transform(flatten(list_transform(range(2, len(a) + 1), lambda j: list_transform(range(1, j), lambda i: [a[i], a[j]]))), lambda p, k: k * (p[1] * 10 + p[2])))::BIGINT AS x
+    FROM (SELECT vec_id, {_WHOLE} AS a FROM embeddings)""",
 )
 def fn_array_shims(spark, sf):
-    e = T(spark, sf, "embeddings").select("vec_id", _small().alias("a"))
-    return e.select(
+    pairs = C.combinations("a", 2)
+    # all pairs in their order, as one number
+    weighed = F.aggregate(F.transform(pairs, lambda p, k: (k + 1).cast("bigint") * (p[0] * 10 + p[1])), F.lit(0).cast("bigint"), lambda s, v: s + v)
+    return _embeddings(spark, sf, _integers("embedding")).select(
         "vec_id", C.array_duplicates("a").alias("d"), C.array_has_duplicates("a").alias("h"), F.coalesce(C.array_frequency("a")[0], F.lit(0)).alias("f"), C.array_sum("a", F.lit(0).cast("bigint")).alias("s"), _r(C.array_average("a")).alias("v"), C.trim_array("a", 2).alias("t"), C.find_first("a", lambda x: x > 0).alias("w"),
-        C.ngrams(F.slice("a", 1, 4), 2).alias("g"), C.combinations(F.slice("a", 1, 3), 2).alias("c"),
+        C.ngrams("a", 2).alias("g"), F.size(pairs).alias("c"), weighed.alias("x"),
     )
 
 
 @query(
-    "fn_array_shims_whole",
-    f"""SELECT vec_id, list_sort(list_filter(list_distinct(a), lambda x: len(list_filter(a, lambda y: y = x)) > 1)) AS d, len(a) <> len(list_distinct(a)) AS h, len(list_filter(a, lambda y: y = 0))::INTEGER AS f, list_sum(a)::BIGINT AS s, round(list_avg(a), 6) AS v, a[1:len(a) - 2] AS t, list_filter(a, lambda x: x > 0)[1] AS w,
-    list_transform(range(1, len(a)), lambda i: [a[i], a[i + 1]]) AS g FROM (SELECT vec_id, {_WHOLE} AS a FROM embeddings)""",
+    "fn_array_sets",
+    f"""SELECT vec_id, list_sort(list_distinct(list_concat(a, [7, 8, 7]))) AS u, list_sort(list_filter(list_distinct(a), lambda x: x NOT IN (0, 1))) AS x, flatten([a, [1], a]) AS f, list_transform(list_zip(a, list_reverse(a)), lambda z: struct_pack(x := z[1], y := z[2])) AS z, list_sort(a) AS s FROM (SELECT vec_id, {_WHOLE} AS a FROM embeddings)""",
 )
-def fn_array_shims_whole(spark, sf):
-    # without combinations, which takes five elements at most
-    return _embeddings(spark, sf, _integers("embedding")).select(
-        "vec_id", C.array_duplicates("a").alias("d"), C.array_has_duplicates("a").alias("h"), F.coalesce(C.array_frequency("a")[0], F.lit(0)).alias("f"), C.array_sum("a", F.lit(0).cast("bigint")).alias("s"), _r(C.array_average("a")).alias("v"), C.trim_array("a", 2).alias("t"), C.find_first("a", lambda x: x > 0).alias("w"),
-        C.ngrams("a", 2).alias("g"),
+def fn_array_sets(spark, sf):
+    e = _embeddings(spark, sf, _integers("embedding")).withColumn("b", F.reverse("a"))
+    two = F.array(F.lit(0), F.lit(1))
+    return e.select(
+        "vec_id", F.array_sort(F.array_union("a", F.array(F.lit(7), F.lit(8), F.lit(7)))).alias("u"), F.array_sort(F.array_except("a", two)).alias("x"), F.flatten(F.array(F.col("a"), F.array(F.lit(1)), F.col("a"))).alias("f"),
+        F.arrays_zip(F.col("a").alias("x"), F.col("b").alias("y")).alias("z"), F.array_sort(F.shuffle("a")).alias("s"),
     )
 
 
 @query(
     "fn_array_lambda",
     f"""SELECT vec_id, list_transform(a, lambda x: x * 2) AS t, list_filter(a, lambda x: x > 0) AS f, list_sum(a)::INTEGER AS r, list_bool_and(list_transform(a, lambda x: x < 100)) AS al, list_bool_or(list_transform(a, lambda x: x > 1)) AS an, NOT list_bool_or(list_transform(a, lambda x: x > 1)) AS no,
-    list_transform(list_zip(a, list_reverse(a)), lambda z: z[1] + z[2]) AS z, range(1, 6, 2) AS q, ['x', 'x'] AS p FROM (SELECT vec_id, {_SMALL} AS a FROM embeddings)""",
+    list_transform(list_zip(a, list_reverse(a)), lambda z: z[1] + z[2]) AS z, range(1, 6, 2) AS q, ['x', 'x'] AS p FROM (SELECT vec_id, {_WHOLE} AS a FROM embeddings)""",
 )
 def fn_array_lambda(spark, sf):
-    return _array_lambda(_embeddings(spark, sf, _small()))
-
-
-@query("fn_array_lambda_whole", ORACLES["fn_array_lambda"].replace(_SMALL, _WHOLE))
-def fn_array_lambda_whole(spark, sf):
-    return _array_lambda(_embeddings(spark, sf, _integers("embedding")))
-
-
-def _array_lambda(e):
-    return e.select(
+    return _embeddings(spark, sf, _integers("embedding")).select(
         "vec_id", F.transform("a", lambda x: x * 2).alias("t"), F.filter("a", lambda x: x > 0).alias("f"), F.reduce("a", F.lit(0), lambda s, x: s + x).alias("r"), F.forall("a", lambda x: x < 100).alias("al"), F.exists("a", lambda x: x > 1).alias("an"), C.none_match("a", lambda x: x > 1).alias("no"),
         F.zip_with("a", F.reverse("a"), lambda x, y: x + y).alias("z"), F.sequence(F.lit(1).cast("bigint"), F.lit(5).cast("bigint"), F.lit(2).cast("bigint")).alias("q"), F.array_repeat(F.lit("x"), 2).alias("p"),
     )
 
 
-@query("fn_array_normalize", "SELECT vec_id, list_transform(embedding[1:4], lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding[1:4], lambda y: y::DOUBLE * y::DOUBLE))), 5)) AS n FROM embeddings")
+@query("fn_array_normalize", "SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 5)) AS n FROM embeddings")
 def fn_array_normalize(spark, sf):
-    n = C.array_normalize(F.slice("embedding", 1, 4))
-    return T(spark, sf, "embeddings").select("vec_id", F.transform(n, lambda x: F.round(x, 5)).alias("n"))
+    return T(spark, sf, "embeddings").select("vec_id", F.transform(C.array_normalize("embedding"), lambda x: F.round(x, 5)).alias("n"))
 
 
-@query("fn_array_normalize_whole", ORACLES["fn_array_normalize"].replace("embedding[1:4]", "embedding"))
-def fn_array_normalize_whole(spark, sf):
-    return T(spark, sf, "embeddings").select("vec_id", F.transform(C.array_normalize("embedding"), lambda x: F.round(x, 5)).alias("n"))
+@query(
+    "fn_map_build",
+    """SELECT n_nationkey, map([n_name, 'r'], [n_nationkey, n_regionkey]) AS m, [struct_pack(key := n_name, value := n_nationkey), struct_pack(key := 'r', value := n_regionkey)] AS e, CASE WHEN n_nationkey > 9 THEN [n_name] ELSE []::VARCHAR[] END AS f, ['x' || n_name, 'xr'] AS t,
+    n_name = 'NATION_3' AS a, n_name <> 'NATION_3' AS n, CASE WHEN n_nationkey + n_regionkey > 0 THEN round(n_nationkey / sqrt(n_nationkey * n_nationkey + n_regionkey * n_regionkey), 6) END AS c FROM nation""",
+)
+def fn_map_build(spark, sf):
+    k, r, name = F.col("n_nationkey"), F.col("n_regionkey"), F.col("n_name")
+    m = F.map_from_arrays(F.array(name, F.lit("r")), F.array(k, r))
+    d = F.transform_values(m, lambda _, v: v.cast("double"))
+    cosine = M.map_cosine_similarity(d, F.create_map(name, F.lit(2.0)))
+    return T(spark, sf, "nation").select(
+        "n_nationkey", m.alias("m"), F.map_entries(m).alias("e"), F.map_keys(F.map_filter(m, lambda q, v: (v > 9) & (q != "r"))).alias("f"), F.map_keys(F.transform_keys(m, lambda q, v: F.concat(F.lit("x"), q))).alias("t"),
+        C.any_keys_match(m, lambda q: q == "NATION_3").alias("a"), C.no_keys_match(m, lambda q: q == "NATION_3").alias("n"), F.when(k + r > 0, _r(cosine)).alias("c"),
+    )
 
 
 @query(
@@ -349,12 +384,18 @@ def fn_map(spark, sf):
     )
 
 
-@query("fn_json", "SELECT event_id, json_extract_string(props, '$.k') AS a, json_extract_string(props, '$.k')::BIGINT AS b, NULL::VARCHAR AS c, 1::BIGINT AS n, false AS s, 3 AS l, true AS h, '5' AS g FROM events")
+@query(
+    "fn_json",
+    """SELECT event_id, json_extract_string(props, '$.k') AS a, json_extract_string(props, '$.k')::BIGINT AS b, NULL::VARCHAR AS c, len(json_keys(props))::BIGINT AS n, json_type(props) NOT IN ('OBJECT', 'ARRAY') AS s, json_array_length(j)::INTEGER AS l, k IN (4, event_id % 7) AS h, json_extract_string(j, '$[1]') AS g,
+    json_extract_string(j, '$[2]') AS z, json_extract_string(j, '$[2].q') AS x, '{"q":' || k || '}' AS o, '[4,' || event_id % 7 || ',{"q":' || k || '}]' AS p FROM (SELECT *, '[4, ' || event_id % 7 || ', {"q": ' || json_extract_string(props, '$.k') || '}]' AS j, json_extract_string(props, '$.k')::BIGINT AS k FROM events)""",
+)
 def fn_json(spark, sf):
-    three = F.lit("[4,5,6]")
-    return T(spark, sf, "events").select(
-        "event_id", J.json_extract_scalar("props", "$.k").alias("a"), F.from_json("props", "k bigint")["k"].alias("b"), J.json_extract_scalar("props", "$").alias("c"), J.json_size("props").alias("n"), J.is_json_scalar("props").alias("s"), F.json_array_length(three).alias("l"),
-        J.json_array_contains(three, F.lit(5).cast("bigint"), "bigint").alias("h"), J.json_array_get(three, 1).alias("g"),
+    k = J.json_extract_scalar("props", "$.k")
+    j = F.concat(F.lit("[4, "), (F.col("event_id") % 7).cast("string"), F.lit(', {"q": '), k, F.lit("}]"))
+    two = F.concat(F.lit("[4, "), (F.col("event_id") % 7).cast("string"), F.lit("]"))
+    return T(spark, sf, "events").withColumn("j", j).select(
+        "event_id", k.alias("a"), F.from_json("props", "k bigint")["k"].alias("b"), J.json_extract_scalar("props", "$").alias("c"), J.json_size("props").alias("n"), J.is_json_scalar("props").alias("s"), F.json_array_length("j").alias("l"),
+        J.json_array_contains(two, k.cast("bigint"), "bigint").alias("h"), J.json_array_get("j", 1).alias("g"), J.json_array_get("j", -1).alias("z"), J.json_extract_scalar("j", "$[2].q").alias("x"), J.json_extract("j", "$[2]").alias("o"), J.json_parse("j").alias("p"),
     )
 
 
@@ -372,6 +413,13 @@ def fn_url(spark, sf):
     return T(spark, sf, "pages").select("page_id", *[J.url_part("url", p).alias(p) for p in ("protocol", "host", "path", "query", "fragment")], J.url_parameter("url", "page").alias("page"))
 
 
+@query("fn_url_port", r"SELECT page_id, CASE WHEN page_id % 3 > 0 THEN 8000 + page_id END AS p, page_id % 3 = 0 AS n FROM pages")
+def fn_url_port(spark, sf):
+    i = F.col("page_id")
+    u = F.concat(F.lit("http://h.example"), F.when(i % 3 > 0, F.concat(F.lit(":"), (i + 8000).cast("string"))).otherwise(""), F.lit("/a?b=1:2#c:3"))
+    return T(spark, sf, "pages").select("page_id", J.url_part(u, "port").alias("p"), J.url_part(u, "port").isNull().alias("n"))
+
+
 @query("fn_url_code", "SELECT page_id, url AS back, replace(replace('a b/' || page_id, ' ', '+'), '/', '%2F') AS enc FROM pages")
 def fn_url_code(spark, sf):
     return T(spark, sf, "pages").select("page_id", F.url_decode(F.url_encode("url")).alias("back"), F.url_encode(F.concat(F.lit("a b/"), F.col("page_id").cast("string"))).alias("enc"))
@@ -396,29 +444,37 @@ def fn_math_special(spark, sf):
     )
 
 
-@query("fn_math_quantile", "SELECT n_nationkey, true AS back, 0.0::DOUBLE AS middle FROM nation")
+@query("fn_math_quantile", "SELECT n_nationkey, round((n_nationkey + 0.5) / 25.0, 5)::DOUBLE AS back, CASE WHEN n_nationkey = 12 THEN 3.0 END::DOUBLE AS middle FROM nation")
 def fn_math_quantile(spark, sf):
-    p = (F.col("n_nationkey") + 0.5) / 25
-    z = M.inverse_normal_cdf(F.lit(3.0), F.lit(2.0), p)
-    return T(spark, sf, "nation").select("n_nationkey", (F.abs(M.normal_cdf(F.lit(3.0), F.lit(2.0), z) - p) < 1e-6).alias("back"), _r(M.inverse_normal_cdf(F.lit(0.0), F.lit(1.0), F.lit(0.5))).alias("middle"))
+    k = F.col("n_nationkey")
+    z = M.inverse_normal_cdf(F.lit(3.0), F.lit(2.0), (k + 0.5) / 25)
+    return T(spark, sf, "nation").select("n_nationkey", _r(M.normal_cdf(F.lit(3.0), F.lit(2.0), z), 5).alias("back"), F.when(k == 12, _r(z)).alias("middle"))
 
 
 @query(
-    "fn_datetime_iso",
-    """SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d %H') AS a, o_orderdate::DATE AS b, o_orderdate::DATE AS c, o_orderdate - INTERVAL 9 HOUR AS d, 9::BIGINT AS e, 5::BIGINT AS f, 30::BIGINT AS g FROM orders WHERE o_orderkey % 7 = 0""",
+    "fn_math_large",
+    """SELECT n_nationkey, 0.5::DOUBLE AS g, round(1 - exp(-x) * (1 + x + x * x / 2), 6) AS p, round(1 - pow(1 - (x + 1) / 30, 3), 6) AS b, round((w + z * z / (2 * n) - z * sqrt(w * (1 - w) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS lo, round((w + z * z / (2 * n) + z * sqrt(w * (1 - w) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS hi,
+    round(ln(x + 2) / ln(3), 6) AS l, true AS r, (-(n_nationkey // 4) - CASE WHEN n_nationkey % 4 > 0 THEN 1 ELSE 0 END)::BIGINT AS s FROM (SELECT *, n_nationkey::DOUBLE AS x, (n_nationkey / 25.0)::DOUBLE AS w, 25.0::DOUBLE AS n, 1.96::DOUBLE AS z FROM nation)""",
 )
-def fn_datetime_iso(spark, sf):
-    return _datetime_iso(T(spark, sf, "orders").where("o_orderkey % 7 = 0"))
-
-
-@query("fn_datetime_iso_whole", ORACLES["fn_datetime_iso"].removesuffix(_SEVENTH))
-def fn_datetime_iso_whole(spark, sf):
-    return _datetime_iso(T(spark, sf, "orders"))
+def fn_math_large(spark, sf):
+    k = F.col("n_nationkey")
+    x = k.cast("double")
+    big = F.pow(F.lit(10.0), 4 + k % 3)  # shapes of 10,000 to a million
+    near = F.abs(M.gamma_cdf(big, F.lit(1.0), big) - 0.5) < 0.01
+    n, z = F.lit(25), F.lit(1.96)
+    return T(spark, sf, "nation").select(
+        "n_nationkey", F.when(near, F.lit(0.5)).alias("g"), _r(1 - M.poisson_cdf(x, F.lit(2)) + F.when(k == 0, 0.0).otherwise(0.0)).alias("p"), _r(1 - M.binomial_cdf(3, (x + 1) / 30, F.lit(0))).alias("b"), _r(M.wilson_interval_lower(k, n, z)).alias("lo"), _r(M.wilson_interval_upper(k, n, z)).alias("hi"),
+        _r(M.log(F.lit(3.0), x + 2)).alias("l"), M.random_below(10, 1).between(0, 9).alias("r"), M.shift_right_arithmetic(-k, 2).alias("s"),
+    )
 
 
-def _datetime_iso(o):
+@query(
+    "fn_datetime_iso",
+    """SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d %H') AS a, o_orderdate::DATE AS b, o_orderdate::DATE AS c, o_orderdate - INTERVAL 9 HOUR AS d, 9::BIGINT AS e, 5::BIGINT AS f, 30::BIGINT AS g FROM orders""",
+)
+def fn_datetime_iso(spark, sf):
     d = F.col("o_orderdate")
-    return o.select(
+    return T(spark, sf, "orders").select(
         "o_orderkey", D.format_datetime(d, "YYYY/MM/dd HH").alias("a"), D.from_iso8601_date(F.date_format(d, "yyyy-MM-dd")).alias("b"), D.parse_datetime(D.format_datetime(d, "dd.MM.YYYY"), "dd.MM.YYYY").cast("date").alias("c"), D.with_timezone(d, "Asia/Tokyo").cast("timestamp_ntz").alias("d"),
         D.timezone_hour(d, "Asia/Tokyo").alias("e"), D.timezone_hour(d, "Asia/Kolkata").alias("f"), D.timezone_minute(d, "Asia/Kolkata").alias("g"),
     )

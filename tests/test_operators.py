@@ -1,11 +1,14 @@
+import itertools
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators import aggregates, exchange, grouping, joins, rows
-from quarry.operators.ordering import limit_with_ties, order
+from quarry.functions import collections, mathematics
+from quarry.operators import aggregates, exchange, grouping, joins, rows, windows
+from quarry.operators.ordering import key, limit_with_ties
 from quarry.operators.predicates import Domain
 from quarry.sources.files import reader_of, scan
 from quarry.sources.types import BadType, parse
@@ -55,9 +58,10 @@ def test_domain_reaches_the_scan(spark, sf):
 
 
 def sparse(i):
-    return (i >> 3 << 5 | i & 7) + 0
+    return i >> 3 << 5 | i & 7
 
 
+#: Keys and partitions that the bucket function must give (fixed values).
 @pytest.mark.parametrize(
     ("buckets", "want"),
     [(1, [0] * 8), (2, [0, 0, 0, 0, 1, 0, 1, 1]), (3, [0, 0, 0, 1, 2, 1, 2, 1]), (4, [0, 0, 0, 1, 3, 1, 3, 2]), (5, [0, 0, 0, 1, 4, 2, 4, 3]), (6, [0, 0, 1, 2, 4, 2, 5, 3])],
@@ -75,6 +79,19 @@ def test_hive_buckets(spark):
     assert [tuple(r) for r in got] == [(5, (97 * 31 + 98) % 8, 1), (0, 0, 0), (((-1 ^ 0xFFFFFFFF) & 0x7FFFFFFF) % 8, 0, 0)]
     with pytest.raises(ValueError):
         exchange.hive_bucket("a", 8, "double")
+    # signed UTF-8 bytes; several columns; time and date
+    df = spark.createDataFrame([("é", 3)], "s string, i int").withColumn("t", F.expr("timestamp '1970-01-01 00:00:01.5'")).withColumn("d", F.expr("date '1970-01-11'"))
+    text = 31 * (0xC3 - 256) + (0xA9 - 256)
+    second = 1 << 30 | 500_000_000
+    want = (text & 0x7FFFFFFF) % 16, ((31 * text + 3) & 0x7FFFFFFF) % 16, (second >> 32 ^ second) & 0x7FFFFFFF, 10
+    got = df.select(exchange.hive_bucket("s", 16, "string"), exchange.hive_bucket(["s", "i"], 16, ["string", "int"]), exchange.hive_bucket("t", 1 << 31, "timestamp"), exchange.hive_bucket("d", 16, "date")).first()
+    assert tuple(got) == want == (6, *want[1:])
+
+
+def test_other_partitionings_are_errors(spark):
+    with pytest.raises(ValueError, match="unsupported partitioning"):
+        exchange.by_handle(spark.range(3), "SOURCE_DISTRIBUTION")
+    assert exchange.by_handle(spark.range(30), "FIXED_HASH", [F.lit(7)], 4).select(F.spark_partition_id()).distinct().count() == 1
 
 
 # Rows.
@@ -94,11 +111,15 @@ def test_values_without_columns_keep_their_rows(spark):
 
 def test_limit_with_ties_and_nulls(spark):
     df = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,), (None,)], "x int")
-    get = lambda n, *k: sorted(str(r.x) for r in limit_with_ties(df, n, *k).collect())
-    assert get(2, order("x")) == ["1", "2", "2"]
-    assert get(5, order("x")) == ["1", "2", "2", "3", "None", "None"]
-    assert get(1, order("x", nulls_first=True)) == ["None", "None"]
-    assert get(2, order("x", descending=True)) == ["2", "2", "3"]
+    get = lambda n, *k: sorted(str(r[0]) for r in limit_with_ties(df, n, *k).collect())
+    assert get(2, key("x")) == ["1", "2", "2"]
+    assert get(5, key("x")) == ["1", "2", "2", "3", "None", "None"]
+    assert get(1, key("x", nulls_first=True)) == ["None", "None"]
+    assert get(2, key("x", descending=True)) == ["2", "2", "3"]
+    # names and literals that look like orders, and expressions
+    odd = df.withColumnRenamed("x", "a DESC b")
+    got = limit_with_ties(odd, 2, key(F.col("`a DESC b`") * F.length(F.lit("x ASC NULLS FIRST")), descending=True))
+    assert sorted(r[0] for r in got.collect()) == [2, 2, 3]
 
 
 # Joins.
@@ -165,6 +186,86 @@ def test_overflow_and_casts_raise(spark):
             spark.sql(text).collect()
 
 
+def test_checksum_counts_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "k int, s string")
+    get = lambda d: d.agg(aggregates.checksum("k", "s")).first()[0]
+    assert get(df) == get(df.orderBy(F.desc("k"))) and len({get(df), get(df.distinct()), get(df.unionAll(df)), get(df.where("k = 1"))}) == 4
+    assert get(df.limit(0)) is None
+
+
+def test_first_values_of_groups(spark):
+    rows = [(g, None if i % 5 == 0 else i * 7 % 11, i) for g in (1, 2, None) for i in range(20)]
+    df = spark.createDataFrame(rows, "g int, x int, k int")
+    for f, down in ((aggregates.min_by_n, False), (aggregates.max_by_n, True)):
+        got = {r.g: r.v for r in f(df, ["g"], "k", "x", 4, "v").collect()}
+        assert got == {g: [k for x, k in sorted(((x, k) for h, x, k in rows if h == g and x is not None), reverse=down)[:4]] for g in (1, 2, None)}
+
+
+# Windows.
+
+
+def test_varying_frames(spark):
+    inf = float("inf")
+    values = [None, None, inf, 1.0, 2.0, None, float("nan"), 4.0]
+    rows = [(p, i, v, before, after) for p in (0, 1) for i, (v, before, after) in enumerate(zip(values, [0, 1, 0, 0, 3, None, 0, 9], [0, 0, 0, 0, -1, 0, -1, 1], strict=True))]
+    df = spark.createDataFrame(rows, "p int, i int, v double, b int, a int")
+    out = windows.varying_rows(df, "v", windows.fold_sum, ["p"], [F.col("i")], "b", "a", "s")
+    out = windows.varying_rows(out, "v", windows.fold_count, ["p"], [F.col("i")], "b", "a", "n")
+    got = {(r.p, r.i): (r.s, r.n) for r in out.collect()}
+    for p, i, _, b, a in rows:
+        frame = [v for q, j, v, *_ in rows if q == p and b is not None and i - b <= j <= i + a and v is not None]
+        s, n = got[p, i]
+        assert n == len(frame)
+        assert s is None if not frame else (s != s if any(v != v for v in frame) else s == sum(frame))
+
+
+# Functions.
+
+
+def test_combinations_of_longer_arrays(spark):
+    df = spark.createDataFrame([(list("abcdefgh"),), ([],), (None,), (["x"],)], "a array<string>")
+    got = [r.c for r in df.select(collections.combinations("a", 3).alias("c")).collect()]
+    want = sorted(itertools.combinations("abcdefgh", 3), key=lambda p: p[::-1])
+    assert [tuple(p) for p in got[0]] == want and got[1:] == [[], None, []]
+    with pytest.raises(ValueError):
+        collections.combinations("a", 6)
+    with pytest.raises(Exception, match="max size"):
+        spark.range(1).select(collections.combinations(F.sequence(F.lit(1), F.lit(60)), 5)).collect()
+
+
+def test_distributions_of_large_parameters(spark):
+    one = spark.range(1)
+    get = lambda c: one.select(c).first()[0]
+    d = lambda v: F.lit(float(v))
+    for a in (1e3, 1e5, 1e7):
+        # the median of a gamma distribution lies near shape - 1/3
+        assert abs(get(mathematics.gamma_cdf(d(a), d(1), d(a - 1 / 3))) - 0.5) < 1e-5
+    assert abs(get(mathematics.gamma_cdf(d(1e5), d(1), d(1e5))) - 0.5) < 1e-3
+    assert abs(get(mathematics.beta_cdf(d(1e5), d(1e5), d(0.5))) - 0.5) < 1e-6
+    assert abs(get(mathematics.f_cdf(d(2e4), d(2e4), d(1))) - 0.5) < 1e-6
+    # normal approximations
+    assert abs(get(mathematics.poisson_cdf(d(1e6), F.lit(1_000_000))) - 0.5) < 1e-3
+    assert abs(get(mathematics.binomial_cdf(100_000, d(0.5), F.lit(50_000))) - 0.5) < 2e-3
+
+
+# Domains.
+
+
+def test_domains_of_many_values_and_of_nan():
+    a, b = Domain.values(*range(0, 20_000, 2)), Domain.values(*range(0, 20_000, 3))
+    assert a.intersect(b) == Domain.values(*range(0, 20_000, 6))
+    assert a.overlaps(b) and not a.overlaps(Domain.values(1, 3, 20_001)) and a.overlaps(Domain.between(5, 7))
+    with pytest.raises(ValueError):
+        Domain.between(float("nan"))
+    with pytest.raises(ValueError):
+        Domain.values(1.0, float("nan"))
+
+
+def test_open_ranges_leave_out_nan(spark):
+    df = spark.createDataFrame([(1.0,), (9.0,), (float("nan"),), (None,)], "x double")
+    assert [r.x for r in df.where(Domain.between(2.0).column("x")).collect()] == [9.0]
+
+
 # Types and sources.
 
 
