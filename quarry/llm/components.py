@@ -46,4 +46,6 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out._quarry_path = now._quarry_path
+    return out

@@ -1,8 +1,11 @@
 """Tables written to the folder that all executors share.
 
 Long plans are cut by writing a Parquet table below ``spark.checkpoint.dir`` and reading it back: unlike a local
-checkpoint, such a table outlives the executor that wrote it.  The folder is the cluster's own setting; one is made
-up only where none is set (tests).
+checkpoint, such a table outlives the executor that wrote it.  The folder is the cluster's own setting; where none is
+set, a temporary one serves on a single machine (tests), and on a cluster that is an error.
+
+All tables of an application lie in ``quarry-<application id>`` there.  Operators delete what they need no more; what
+a result is read from stays until ``clean`` is called.
 """
 
 from __future__ import annotations
@@ -20,32 +23,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Most rows and bytes of a batch that goes to a Python worker, so that long texts do not fill its memory.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+#: A task holds one row group in memory while it writes; nobody looks for a mark that such a table is whole.
+_WRITE = {"parquet.block.size": str(16 << 20), "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 _KEY = "spark.checkpoint.dir"
+_made_up: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of this session."""
-    where = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
-    if where:
-        return where
-    set_dir = spark.sparkContext.getCheckpointDir()
-    if set_dir:
-        return set_dir
-    where = "file://" + tempfile.mkdtemp(prefix="quarry-")
-    spark.conf.set(_KEY, where)
-    return where
+    """This application's folder among the shared ones."""
+    sc = spark.sparkContext
+    where = spark.conf.get(_KEY, None) or sc.getConf().get(_KEY) or sc.getCheckpointDir()
+    if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
+        if sc.applicationId not in _made_up:
+            _made_up[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="quarry-")
+        where = _made_up[sc.applicationId]
+    return f"{where.rstrip('/')}/quarry-{sc.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder; the result reads that table."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.options(**_WRITE).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
     return out
@@ -90,18 +97,28 @@ def _task(run: Callable, keeps: str | None) -> Callable:
     return wrapped
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: str, keeps: str | None = None) -> DataFrame:
-    """``df.mapInArrow`` in a session whose batches are held to ``BATCH``; smaller settings of the user's stay.
-
-    A task drops what operators other than ``keeps`` left in its worker's ``KEPT``, and frees its own memory.
-    """
-    ship(df.sparkSession)
-    conf = df.sparkSession.conf
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, what runs sends Python workers batches held to ``BATCH``; smaller settings of the user's stay, and all
+    are as before afterwards."""
+    conf, before = spark.conf, {}
     for key, most in BATCH.items():
         now = conf.get(key, None)
         size = int(now) if now and now.lstrip("-").isdigit() else -1
         if size <= 0 or size > most:
+            before[key] = now
             conf.set(key, most)
+    try:
+        yield
+    finally:
+        for key, old in before.items():
+            conf.unset(key) if old is None else conf.set(key, old)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str, keeps: str | None = None) -> DataFrame:
+    """``df.mapInArrow``.  A task drops what operators other than ``keeps`` left in its worker's ``KEPT``, and frees its
+    own memory.  Batches have the size of the session's settings; ``written`` and ``small_batches`` hold them down."""
+    ship(df.sparkSession)
     return df.mapInArrow(_task(run, keeps), schema)
 
 
@@ -110,6 +127,14 @@ def drop(*tables: DataFrame | None) -> None:
     for df in tables:
         path = getattr(df, "_quarry_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables of this application; results not yet read are gone."""
+    remove(spark, folder(spark))
