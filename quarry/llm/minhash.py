@@ -35,6 +35,8 @@ _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)[:, None]
 _STEP = 1024
 ROUNDS = 2
+#: Members of a bucket that meet its leader in one task at the utmost, in the mean.
+PIECE = 256
 
 
 def signature(shingles: np.ndarray, buf: np.ndarray) -> np.ndarray:
@@ -75,6 +77,7 @@ def _signed(k: int):
                 yield pa.record_batch(
                     {
                         "doc_id": batch.column("doc_id").slice(i, j - i),
+                        "text_hash": batch.column("text_hash").slice(i, j - i),
                         "n_shingles": pa.array(n.astype(np.int64)),
                         "fp": pa.array(wordhash.mix(fp[:, 0]).view(np.int64)),
                         "fq": pa.array(fp[:, 1].view(np.int64)),
@@ -93,7 +96,7 @@ def _sets(k: int):
             for i, j in wordhash.chunks(off):
                 h, _, _, first = wordhash.words(raw, off, i, j)
                 s, at = wordhash.shingles(h, first, k)
-                yield pa.record_batch({"rep": batch.column("rep").slice(i, j - i), "shingles": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(s.view(np.int64)))})
+                yield pa.record_batch({"node": batch.column("node").slice(i, j - i), "shingles": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(s.view(np.int64)))})
 
     return run
 
@@ -122,82 +125,120 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     the whole sequence when it has fewer words.  Rows are linked when 100 * intersection >= ``percent`` * union.
     Rows without words, or with a null text, have an empty set and no links.  ``component_id`` is the least doc_id
     reachable.  A row with a null doc_id takes part in no link, has a null component and is kept.  Repeated rows are
-    copies of each other; rows that repeat a doc_id with other text are judged by their own text.  An empty table
-    gives an empty result.
+    copies of each other; rows that repeat a doc_id with other text are judged by their own text.  Very long texts are
+    taken whole.  An empty table gives an empty result.
     """
+    return judged(docs, k, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def judged(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``near_duplicates`` with text_hash (xxhash64 of the text) and component, a number that no two components share
+    (two may have one least doc_id, if rows repeat it with other text; null without links or words)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, fp long, fq long, bands array<long>, sig binary"
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    schema = "doc_id long, text_hash long, n_shingles long, fp long, fq long, bands array<long>, sig binary"
     signed = shared.written(shared.map_arrow(docs, _signed(k), schema), "minhash-signed")
     able = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = able.groupBy("fp", "fq", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    # the class's signature is the one of its least document (equal sets have equal signatures)
-    reps = able.join(classes.select(F.col("rep").alias("doc_id"), "fp", "fq", "n_shingles"), ["doc_id", "fp", "fq", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "fp", "fq", "n_shingles"])
-    reps = shared.written(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "fp", "fq", "bands", "sig"), "minhash-reps")
-    row = reps.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    many = row.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = shared.written(row.join(many, "bucket").select("bucket", "rep", F.col("n_shingles").alias("size")), "minhash-members")
+    classes = shared.written(able.groupBy("fp", "fq", "n_shingles").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("fp", "fq", "n_shingles", "r.*"), "minhash-classes")
+    classes, made = _numbered(classes, able)
+    # the class's signature is the one of its least row (equal sets have equal signatures)
+    reps = able.join(classes, ["doc_id", "text_hash", "fp", "fq", "n_shingles"]).dropDuplicates(["doc_id", "text_hash", "fp", "fq", "n_shingles"])
+    reps = shared.written(reps.select("node", "doc_id", "text_hash", "n_shingles", "bands", "sig"), "minhash-reps")
+    row = reps.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    many = row.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # a large bucket is dealt out in pieces, each of which meets the leader
+    salts = F.ceil(F.col("n") / PIECE).cast("int")
+    members = row.join(many, "bucket").select("bucket", "node", F.col("n_shingles").alias("size"), salts.alias("salts"), F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"))
+    members = shared.written(members, "minhash-members")
     comps = _joined(docs, reps, members, k, percent)
-    of_class = classes.join(comps, classes.rep == comps.node, "left").select("fp", "fq", F.col("n_shingles").alias("n_set"), F.coalesce("component", "rep").alias("found"))
-    s = signed.select("doc_id", "n_shingles", "fp", "fq")
+    label = classes.select("fp", "fq", F.col("n_shingles").alias("n_set"), "node", F.col("doc_id").alias("least"))
+    if comps is None:
+        of_class = label.select("fp", "fq", "n_set", F.col("least").alias("found"), F.col("node").alias("component"))
+    else:
+        of_class = label.join(comps.withColumnRenamed("component", "c"), "node", "left").withColumn("component", F.coalesce("c", "node"))
+        least = of_class.where("c IS NOT NULL").groupBy("component").agg(F.min("least").alias("found"))
+        of_class = of_class.join(least, "component", "left").select("fp", "fq", "n_set", F.coalesce("found", "least").alias("found"), "component")
+    s = signed.select("doc_id", "text_hash", "n_shingles", "fp", "fq")
     out = s.join(of_class, (s.fp == of_class.fp) & (s.fq == of_class.fq) & (s.n_shingles == of_class.n_set) & s.doc_id.isNotNull(), "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _joined(docs: DataFrame, reps: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, component) of the classes that have links."""
-    spark = docs.sparkSession
-    inside = members.select("rep").distinct()
-    texts = docs.join(inside.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    # a repeated doc_id may stand for several texts: keep the set whose class it leads
-    size = reps.join(inside, "rep", "left_semi")
-    sets = shared.map_arrow(texts, _sets(k), "rep long, shingles array<long>").dropDuplicates(["rep", "shingles"])
-    sets = shared.written(sets.join(size.select("rep", F.col("n_shingles").alias("size")), "rep").where("size(shingles) = size").select("rep", "shingles"), "minhash-sets")
-    sigs = shared.written(size.select("rep", "sig"), "minhash-sigs")
+    out = out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id")).alias("component_id"), "component")
+    out = shared.written(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "minhash-judged")
+    shared.drop(signed, classes, made, reps, members, comps)
+    return out
+
+
+def _numbered(classes: DataFrame, able: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``classes`` with node: the least doc_id, or, where several classes have the same one (a doc_id that is repeated
+    with other text), a number that no row has."""
+    twice = classes.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    plain = classes.withColumn("node", F.col("doc_id"))
+    if twice.isEmpty():
+        return plain, None
+    ends = able.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    number = F.monotonically_increasing_id()
+    free = F.lit(ends.hi) + 1 + number if ends.hi < 1 << 62 else F.lit(ends.lo) - 1 - number
+    made = shared.written(classes.join(twice, "doc_id", "left_semi").withColumn("node", free), "minhash-numbered")
+    return plain.join(twice, "doc_id", "left_anti").unionByName(made), made
+
+
+def _joined(docs: DataFrame, reps: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """(node, component) of the classes that have links; None if no two classes share a bucket."""
+    inside = reps.join(members.select("node").distinct(), "node", "left_semi")
+    # the texts of the classes' least rows; of equal rows one
+    who = inside.select("node", "doc_id", "text_hash", F.col("n_shingles").alias("size"), "sig")
+    texts = docs.join(who.select("node", "doc_id", "text_hash"), ["doc_id", "text_hash"]).select("node", "text")
+    sets = shared.map_arrow(texts, _sets(k), "node long, shingles array<long>").dropDuplicates(["node"])
+    sets = shared.written(sets.join(who.select("node", "sig"), "node"), "minhash-sets")
     comps = links = old = None
+    found, now = [], members
     for step in range(ROUNDS + 1):
         if step == 0:
-            now = members.withColumn("comp", F.col("rep"))
+            now = members.withColumn("comp", F.col("node"))
         else:
-            labelled = now.drop("comp").join(comps, now.rep == comps.node, "left").select("bucket", "rep", "size", F.coalesce("component", "rep").alias("comp"))
+            named = comps.select(F.col("node").alias("_n"), "component")
+            labelled = now.drop("comp").join(named, now.node == F.col("_n"), "left").select("bucket", "node", "size", "salts", "salt", F.coalesce("component", "node").alias("comp"))
             mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
             was, now = now, shared.written(labelled.join(mixed, "bucket"), "minhash-open")
-            shared.drop(was)
+            if step > 1:
+                shared.drop(was)
         if now.isEmpty():
             break
         if step < ROUNDS:
-            lead = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(step)).alias("h"), "rep", "size", "comp")).alias("l"))
-            lead = lead.select("bucket", F.col("l.rep").alias("x"), F.col("l.size").alias("nx"), F.col("l.comp").alias("cx"))
-            pairs = now.join(lead, "bucket").where((F.col("cx") != F.col("comp")) & _near("nx", "size", percent))
-            pairs = pairs.select(F.greatest("rep", "x").alias("a"), F.least("rep", "x").alias("b"))
+            lead = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "size", "comp")).alias("l"), F.max("salts").alias("salts"))
+            lead = lead.select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("l.node").alias("x"), F.col("l.size").alias("nx"), F.col("l.comp").alias("cx"))
+            pairs = now.join(lead, ["bucket", "salt"]).where((F.col("cx") != F.col("comp")) & _near("nx", "size", percent))
+            pairs = pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
+            outside = []
         else:
-            pairs = _outside(now, sets, percent)
-        found = shared.written(_verified(pairs.distinct(), sigs, sets, percent), "minhash-links")
-        links = found if links is None else links.unionAll(found)
+            pairs, outside = _outside(now, sets, percent)
+        found.append(shared.written(_verified(pairs.distinct(), sets, percent), "minhash-links"))
+        shared.drop(*outside)
+        links = found[-1] if links is None else links.unionAll(found[-1])
         shared.drop(old)
-        old, comps = comps, shared.written(connected_components(links), "minhash-comps")
-    if comps is None:
-        return spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
+        joined = connected_components(links)
+        old, comps = comps, shared.written(joined, "minhash-comps")
+        shared.drop(joined)
+    shared.drop(sets, old, *found, *([now] if now is not members else []))
     return comps
 
 
-def _outside(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of unlike components that may reach the threshold, one of them outside a bucket's main component."""
+def _outside(now: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (a, b) of unlike components that may reach the threshold, one of them outside a bucket's main component;
+    and the tables that they are read from."""
     tally = now.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     main = tally.groupBy("bucket").agg(F.max_by("comp", F.struct("n", F.negative("comp"))).alias("main"))
-    reps = shared.written(now.join(main, "bucket").groupBy("rep", "size", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("out")), "minhash-outside")
-    token = sets.join(reps, "rep", "left_semi").select("rep", F.explode("shingles").alias("t"))
+    reps = shared.written(now.join(main, "bucket").groupBy("node", "size", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("out")), "minhash-outside")
+    token = sets.join(reps, "node", "left_semi").select("node", F.explode("shingles").alias("t"))
     common = token.groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
     # shingles that only one set has come first and meet nothing: they only shift the places of the others
-    order = token.join(common, "t").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("l"))
-    place = order.join(reps, "rep").select("rep", "size", "comp", "out", (F.col("size") - F.size("l")).alias("own"), F.posexplode("l").alias("i", "s"))
-    place = place.select("rep", "size", "comp", "out", (F.col("own") + F.col("i")).alias("at"), F.col("s.t").alias("t"))
+    order = token.join(common, "t").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("l"))
+    place = order.join(reps, "node").select("node", "size", "comp", "out", (F.col("size") - F.size("l")).alias("own"), F.posexplode("l").alias("i", "s"))
+    place = place.select("node", "size", "comp", "out", (F.col("own") + F.col("i")).alias("at"), F.col("s.t").alias("t"))
     place = place.where((F.col("size") - F.col("at")) * 100 >= F.col("size") * percent)
     place = shared.written(place, "minhash-prefix")
-    x = place.where("out").select("t", F.col("rep").alias("x"), F.col("size").alias("nx"), F.col("comp").alias("cx"), F.col("at").alias("ax"))
+    x = place.where("out").select("t", F.col("node").alias("x"), F.col("size").alias("nx"), F.col("comp").alias("cx"), F.col("at").alias("ax"))
     room = F.least(F.col("size") - F.col("at"), F.col("nx") - F.col("ax")) * (100 + percent) >= (F.col("size") + F.col("nx")) * percent
     pairs = x.join(place, (x.t == place.t) & (F.col("cx") != F.col("comp")) & _near("nx", "size", percent) & room)
-    return pairs.select(F.greatest("rep", "x").alias("a"), F.least("rep", "x").alias("b"))
+    return pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")), [reps, place]
 
 
 def _near(x: str, y: str, percent: int):
@@ -205,14 +246,14 @@ def _near(x: str, y: str, percent: int):
     return (F.least(x, y) * 100) >= (F.greatest(x, y) * percent)
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold: by signature first, then on the full sets."""
-    with_a = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
-    with_b = with_a.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
+    with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
     share = percent / 100
     least = max(0.0, share - 5.5 * (share * (1 - share) / HASHES) ** 0.5)
     likely = shared.map_arrow(with_b.select("a", "b", "sig_a", "sig_b"), _estimate(least), "a long, b long")
-    left = likely.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+    left = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
