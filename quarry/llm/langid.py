@@ -3,18 +3,20 @@
 N-grams of one to three characters of the lower-cased text are hashed into ``SIZE`` features.  A feature's value is
 its share of the text's n-grams times its inverse document frequency, so a text's scores are a mean over its n-grams
 of the class weights: whole texts are scored by table lookups and one sum, whatever their length.  The model is fitted
-by follow-the-regularised-leader with elastic-net penalties on at most ``PER_LABEL`` texts a language (a bounded sample:
-those of the least hashes of doc_id); a fifth of the sample is set aside to calibrate the softmax's temperature.
+by follow-the-regularised-leader with elastic-net penalties on at most ``PER_LABEL`` texts a language, and where there
+are many languages on about ``SAMPLE`` texts of all (a bounded sample: those of the least hashes of doc_id, one of each
+language at least); a fifth of the sample is set aside to calibrate the softmax's temperature.  Every language is
+learned, however rare.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +26,10 @@ from .scoring import with_text_columns
 
 SIZE = 1 << 16
 PER_LABEL = 600
+SAMPLE = 24_000
 SCALE = 100.0
-#: Labels looked at; a table may hold more kinds of noise in ``lang``, of which the commonest are learned.
-MOST_LABELS = 200
 CHUNK = 1 << 17
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _MUL = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 
 
@@ -101,16 +102,19 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"label": batch.column("label").slice(i, j - i), "h": batch.column("h").slice(i, j - i), "ids": pa.array(ids, pa.binary()), "vals": pa.array(vals, pa.binary())})
 
 
-def train(docs: DataFrame, per_label: int = PER_LABEL) -> Model | None:
+def train(docs: DataFrame, per_label: int = PER_LABEL, sample: int = SAMPLE) -> Model | None:
     """Fits a model to ``docs`` (doc_id, text, lang), leaving out rows with a null in any of them.  None if no row is left."""
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    found = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()
-    labels = sorted(r.lang for r in found)
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("label"))
+    chosen = shared.written(least_hashes(known, per_label), "language-sample")
+    labels = sorted(r.label for r in chosen.select("label").distinct().collect())
     if not labels:
+        shared.drop(chosen)
         return None
-    chosen = least_hashes(known.select("doc_id", F.col("lang").alias("label")), "label", per_label, labels)
-    sample = texts_of(known, chosen).select("text", "label", F.xxhash64("doc_id", F.lit(3)).alias("h"))
-    rows = shared.map_arrow(sample, _counts, "label string, h long, ids binary, vals binary").orderBy("h", "label", "ids").collect()
+    each = max(1, min(per_label, sample // len(labels)))
+    texts = texts_of(known, least_hashes(chosen, each), each, ("doc_id", "label"))
+    counted = shared.written(shared.map_arrow(texts, _counts, "label string, h long, ids binary, vals binary"), "language-counts")
+    rows = counted.orderBy("h", "label", "ids", "vals").collect()
+    shared.drop(chosen, counted)
     ids = [np.frombuffer(r.ids, "<i4") for r in rows]
     df = np.zeros(SIZE)
     for at in ids:
@@ -120,8 +124,11 @@ def train(docs: DataFrame, per_label: int = PER_LABEL) -> Model | None:
     for at, r in zip(ids, rows, strict=True):
         n = np.frombuffer(r.vals, "<i4").astype(np.float32)
         x.append((at, SCALE * n / max(n.sum(), 1) * idf[at]))
-    y = np.array([labels.index(r.label) for r in rows])
+    place = {v: k for k, v in enumerate(labels)}
+    y = np.array([place[r.label] for r in rows])
     held = np.array([r.h % 5 == 0 for r in rows])
+    learned = np.bincount(y[~held], minlength=len(labels)) > 0
+    held &= learned[y]  # a language of which all texts would be set aside is learned from them
     fit = np.flatnonzero(~held) if (~held).any() else np.arange(len(rows))
     w = ftrl.multinomial([x[i] for i in fit], y[fit], SIZE, len(labels), l1=0.02, l2=0.1)
     logits = np.array([v @ w[at] + w[SIZE] for at, v in x])
@@ -154,8 +161,9 @@ def _scored(model: Model | None):
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the columns lang_pred and score (0 to 1, calibrated) in place of any of those names.
 
-    A text that is null or has no letter is ``und`` with score 0, as is every text if nothing could be learned.
-    Equal texts get equal answers; an empty table gives no rows; other columns (``keep``: only those) pass through.
+    A text that is null or has no letter (Unicode category L) is ``und`` with score 0, as is every text if nothing could
+    be learned.  Of languages that tie the least by code point is given.  Very long texts are scored whole.  Equal
+    texts get equal answers; an empty table gives no rows; other columns (``keep``: only those) pass through.
     """
     return with_text_columns(docs, _scored(model), {"lang_pred": "string", "score": "double"}, keep)
 
@@ -164,4 +172,4 @@ def language_report(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learned from rows whose fold of 4 is not 2, applied to all."""
     out = fold(4) == 2
     model = train(docs.where(~F.coalesce(out, F.lit(False))))
-    return identify(docs, model, ["doc_id"]).select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return shared.written(identify(docs, model, ["doc_id"]).select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score"), "language-report")

@@ -8,13 +8,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import shared, wordhash
+
+#: Bytes of text that become Python objects at once.
+SLICE = 1 << 20
 
 
 def with_text_columns(docs: DataFrame, score: Callable[[list], Iterator[tuple[int, dict[str, pa.Array]]]], new: dict[str, str], keep: list[str] | None = None, as_bytes: bool = False) -> DataFrame:
     """``docs`` with the columns ``new`` (name: type), which replace columns of those names.
 
-    ``score`` gets the texts of a batch (None for nulls) and yields, in order, (number of rows, their new columns).
+    ``score`` gets the texts of a slice (None for nulls) and yields, in order, (number of rows, their new columns).
     ``keep`` limits the other columns; those travel as one struct, so no name can clash, and the text only once.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
@@ -26,11 +29,12 @@ def with_text_columns(docs: DataFrame, score: Callable[[list], Iterator[tuple[in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column("row")
-            texts = (rows.field("text") if own else batch.column("text")).to_pylist()
-            at = 0
-            for n, columns in score(texts):
-                yield pa.record_batch({"row": rows.slice(at, n)} | columns)
-                at += n
+            column = rows.field("text") if own else batch.column("text")
+            for i, j in wordhash.chunks(wordhash.utf8(column)[1], SLICE):
+                at = i
+                for n, columns in score(column.slice(i, j - i).to_pylist()):
+                    yield pa.record_batch({"row": rows.slice(at, n)} | columns)
+                    at += n
 
     schema = f"row {sent.schema['row'].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in new.items())
     return shared.map_arrow(sent, run, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in keep], *new)

@@ -1,9 +1,11 @@
 """Toxicity by cumulative-link ordinal regression on sparse word features.
 
 Words (runs of letters and digits, A-Z lower-cased) are hashed into ``SIZE`` features with value log(1 + count).  One
-weight vector is shared by all thresholds: P(grade <= k) = sigmoid(threshold[k] - w.x).  Grades are 0 (label 0),
-1 (label 1) and 2 (label 1 with at least the median number of telling words among such texts; telling words are those
-that at least ``LIFT`` times the share of toxic texts hold).  Weights are learned by follow-the-regularised-leader
+weight vector is shared by all thresholds: P(grade <= k) = sigmoid(threshold[k] - w.x).  The labels tell two grades
+only, 0 and 1.  The third is an assumption of this module: grade 2 is a text of label 1 with at least the median number
+of telling words among such texts, telling words being those that at least ``LIFT`` times the share of toxic texts hold.
+So above 1 the severity says how much telling vocabulary a text has, not what an annotator graded; where a table has
+grades, ``ftrl.ordinal`` takes them.  Weights are learned by follow-the-regularised-leader
 with elastic-net penalties, which leave nearly all of them zero, on at most ``PER_LABEL`` texts of each label (a
 bounded sample: the least hashes of doc_id).  The output is the expected grade, over whole texts.
 """
@@ -25,6 +27,8 @@ SIZE = 1 << 18
 PER_LABEL = 2500
 GRADES = 3
 LIFT = 5.0
+#: Probability of a grade above 0 from which the report calls a text toxic: a miss is worse than a false alarm.
+TOXIC = 0.3
 
 
 def features(h: np.ndarray) -> np.ndarray:
@@ -67,8 +71,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Fits a model to ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic 0 or 1); rows with nulls are left out."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    sample = texts_of(docs.where("text IS NOT NULL"), least_hashes(known, "label", per_label, [0, 1])).select("text", "label", F.xxhash64("doc_id", F.lit(4)).alias("h"))
-    rows = shared.map_arrow(sample, _counts, "label int, h long, ids binary, vals binary").orderBy("h", "ids").collect()
+    texts = texts_of(docs.where("text IS NOT NULL").select("doc_id", "text"), least_hashes(known, per_label), per_label)
+    counted = shared.written(shared.map_arrow(texts, _counts, "label int, h long, ids binary, vals binary"), "toxicity-counts")
+    rows = counted.orderBy("h", "ids", "vals").collect()
+    shared.drop(counted)
     x = [(np.frombuffer(r.ids, "<i4").astype(np.int64), np.log1p(np.frombuffer(r.vals, "<i4"))) for r in rows]
     toxic = np.array([r.label for r in rows], int)
     with_, without = np.zeros(SIZE), np.zeros(SIZE)
@@ -103,8 +109,8 @@ def _scored(model: Model):
 def rate(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with severity (expected grade, 0 to 2) and toxic_probability, in place of columns of those names.
 
-    A null or empty text, or one without telling words, has the severity of a text that says nothing.  Equal texts get
-    equal values; an empty table gives no rows; other columns (``keep``: only those) pass through.
+    A null or empty text, or one without telling words, has the severity of a text that says nothing.  Very long texts
+    are taken whole.  Equal texts get equal values, and so do texts of one score; an empty table gives no rows; other columns (``keep``: only those) pass through.
     """
     new = ("severity", "toxic_probability")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
@@ -115,7 +121,7 @@ def rate(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFr
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, severity, score, toxic): labels of fold 0 of 5 are never learned from; toxic is 1 where the
-    grade is likelier above 0 than not."""
+    grade is above 0 with a probability of TOXIC or more."""
     model = train(docs, labels.where(fold(5) != 0))
     scored = rate(docs, model, ["doc_id"])
-    return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "severity", F.col("toxic_probability").alias("score"), (F.col("toxic_probability") >= 0.5).cast("int").alias("toxic"))
+    return shared.written(scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "severity", F.col("toxic_probability").alias("score"), (F.col("toxic_probability") >= TOXIC).cast("int").alias("toxic")), "toxicity-report")
