@@ -1,7 +1,7 @@
 """Media columns: payloads stored as lossless WebP images, read back, and described by features.
 
-A payload is a row of bytes, a multiple of 192 long: 64 RGB pixels a row.  It is stored as a chain of WebP files of at
-most ``ROWS`` rows each, one after the other; each tells its own length, so the chain needs no index.
+A payload is a row of bytes, a multiple of 192 long: rows of 192 grey samples.  It is stored as a chain of WebP files of
+at most ``ROWS`` rows each, one after the other; each tells its own length, so the chain needs no index.
 """
 
 from __future__ import annotations
@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 
 from . import shared, webp, wordhash
 
-WIDTH = 64
-UNIT = 3 * WIDTH
+UNIT = 192
 ROWS = 32
-GROUP = 4 << 20
+GROUP = 1 << 20
 
 
 def padded(text: bytes) -> bytes:
@@ -29,10 +28,11 @@ def padded(text: bytes) -> bytes:
     return text + b" " * (-len(text) % UNIT if text else UNIT)
 
 
-def store(payload: bytes) -> bytes:
-    """The chain of images that holds a payload."""
-    samples = np.frombuffer(payload, np.uint8)
-    return b"".join(webp.encode_rgb(samples[i : i + ROWS * UNIT], WIDTH) for i in range(0, len(samples), ROWS * UNIT))
+def store(payloads: list[bytes], used: dict[str, int] | None = None) -> list[bytes]:
+    """The chain of images that holds each payload.  ``used`` counts the images by the encoder's features."""
+    parts = [[np.frombuffer(p, np.uint8, min(ROWS * UNIT, len(p) - i), i) for i in range(0, len(p), ROWS * UNIT)] for p in payloads]
+    files = iter(webp.encode_grey([x for own in parts for x in own], UNIT, used))
+    return [b"".join(next(files) for _ in own) for own in parts]
 
 
 def links(media: bytes) -> list[bytes]:
@@ -46,7 +46,7 @@ def links(media: bytes) -> list[bytes]:
 
 
 def pixels(media: list[bytes]) -> list[np.ndarray]:
-    """The pixel array (rows, 64, RGBA) of each chain."""
+    """The pixel array (rows, 192, RGBA) of each chain."""
     chains = [links(m) for m in media]
     flat = webp.decode_many([x for c in chains for x in c])
     out, at = [], 0
@@ -56,17 +56,21 @@ def pixels(media: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def payload(image: np.ndarray) -> bytes:
+    """The bytes that a picture holds."""
+    return image[..., 1].tobytes()
+
+
 def feature(image: np.ndarray) -> str:
-    """Channel means (three decimals) and a 64-bit average hash of the green plane in eight by eight areas."""
-    rgb = image[..., :3]
-    mean = rgb.reshape(-1, 3).mean(axis=0)
-    edge = np.arange(8) * len(rgb) // 8
-    columns = rgb[..., 1].reshape(len(rgb), 8, 8).mean(axis=2)
+    """Mean and deviation (three decimals) and a 64-bit average hash of the samples in eight by eight areas."""
+    grey = image[..., 1]
+    edge = np.arange(8) * len(grey) // 8
+    columns = grey.reshape(len(grey), 8, UNIT // 8).mean(axis=2)
     total = np.concatenate([[np.zeros(8)], np.cumsum(columns, axis=0)])
-    stop = np.maximum(np.append(edge[1:], len(rgb)), edge + 1)
+    stop = np.maximum(np.append(edge[1:], len(grey)), edge + 1)
     cells = (total[stop] - total[edge]) / (stop - edge)[:, None]
     bits = np.packbits((cells > cells.mean()).reshape(-1)).tobytes().hex()
-    return ",".join(f"{m:.3f}" for m in mean) + ":" + bits
+    return f"{grey.mean():.3f},{grey.std():.3f}:{bits}"
 
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +78,7 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, off = wordhash.utf8(batch.column("text"))
         for i, j in wordhash.chunks(off):
             texts = [raw[off[d] : off[d + 1]].tobytes() for d in range(i, j)]
-            yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, j - i), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "media": pa.array([store(padded(t)) for t in texts], pa.binary())})
+            yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, j - i), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "media": pa.array(store([padded(t) for t in texts]), pa.binary())})
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +99,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in wordhash.chunks(off, GROUP):
             media = [raw[off[d] : off[d + 1]].tobytes() for d in range(i, j)]
             images = pixels(media)
-            bytes_ = [im[..., :3].tobytes() for im in images]
+            bytes_ = [payload(im) for im in images]
             yield pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id").slice(i, j - i),
@@ -124,7 +128,12 @@ def describe_media(stored: DataFrame) -> DataFrame:
 
 def media_report(docs: DataFrame) -> DataFrame:
     """Stores every text and describes what is read back.  Rows with a null doc_id and repeated rows are stored like
-    others; equal texts have equal media; an empty table gives no rows."""
-    path = shared.new_path(docs.sparkSession, "media")
-    write_media(docs, path)
-    return describe_media(docs.sparkSession.read.schema("doc_id long, n_bytes long, media binary").parquet(path))
+    others; very long texts are chains of many images; equal texts, and so ties, have equal media; an empty table gives
+    no rows."""
+    spark = docs.sparkSession
+    path = shared.new_path(spark, "media")
+    with shared.small_batches(spark):
+        write_media(docs, path)
+    out = shared.written(describe_media(spark.read.schema("doc_id long, n_bytes long, media binary").parquet(path)), "media-report")
+    shared.remove(spark, path)
+    return out

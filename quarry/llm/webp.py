@@ -1,15 +1,23 @@
-"""Lossless WebP: a decoder of the whole format, and an encoder of literal pixels with fitted prefix codes.
+"""Lossless WebP: a decoder of the whole format, and an encoder of grey images.
 
 The decoder reads prefix codes (with meta codes), back-references and the colour cache, and inverts the predictor,
-cross-colour, subtract-green and palette transforms.  It works a pixel at a time; images that use none of these but
-one group of prefix codes, as the encoder here makes them, are decoded many at once: step k reads the k-th pixel of
-every image with table lookups on arrays.
+cross-colour, subtract-green and palette transforms.  It works a pixel at a time.  Images with one group of prefix
+codes, no colour cache and a constant red, blue and alpha, as the encoder here makes them, are decoded many at once
+(``decode_many``): step k reads the k-th literal or back-reference of every image with table lookups on arrays, and all
+back-references are then followed together.
+
+The encoder (``encode_grey``) takes many images of 8-bit samples at once.  A sample is a pixel of equal red, green and
+blue, which subtract-green turns into green alone, or, where an image has few values, a palette that packs several
+pixels into one.  Where the differences from the pixel to the left or above are told in fewer bits than the samples, the
+predictor transform is used.  Repeated runs become back-references.  A colour cache, cross-colour and meta codes would
+say nothing of such images that their green does not say already, so the encoder leaves them out.
 """
 
 from __future__ import annotations
 
-import heapq
 import struct
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -31,7 +39,6 @@ DISTANCES = (
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 _CACHE_MUL = 0x1E35A7BD
 FAST_BITS = 12
-_REVERSED = np.array([int(f"{i:0{FAST_BITS}b}"[::-1], 2) for i in range(1 << FAST_BITS)])
 
 
 class BadImage(ValueError):
@@ -45,6 +52,7 @@ class Bits:
         self.bytes, self.at, self.n = data, 0, 8 * len(data)
 
     def peek(self, n: int) -> int:
+        """The next n bits, 57 at most."""
         at = self.at
         lo = at >> 3
         return (int.from_bytes(self.bytes[lo : lo + 8], "little") >> (at & 7)) & ((1 << n) - 1)
@@ -54,40 +62,50 @@ class Bits:
         self.at += n
         return v
 
-    def span(self, at: int, n: int) -> int:
-        """The ``n`` bits from bit ``at`` on."""
-        return (int.from_bytes(self.bytes[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7)) & ((1 << n) - 1)
-
     def check(self) -> None:
         if self.at > self.n:
             raise BadImage("the data end within the image")
 
 
+@lru_cache(16)
+def _reversed(n: int) -> list[int]:
+    """The numbers of n bits with their bits in the other order."""
+    out = [0]
+    for k in range(n):
+        out = [2 * v for v in out] + [2 * v + 1 for v in out] if k else [0, 1]
+    return out if n else [0]
+
+
+#: The numbers of fifteen bits, the most that a code takes, and of FAST_BITS, turned round.
+_REVERSED, _FAST_REVERSED = np.array(_reversed(15)), np.array(_reversed(FAST_BITS))
+
+
 class Code:
     """A canonical prefix code, given the length of each symbol."""
 
     def __init__(self, lengths: list[int]):
-        self.used = sorted((n, s) for s, n in enumerate(lengths) if n)
+        self.used = sorted([(n, s) for s, n in enumerate(lengths) if n])
         if not self.used:
             raise BadImage("a prefix code without symbols")
         self.single = self.used[0][1] if len(self.used) == 1 else None
         self.most = self.used[-1][0]
-        if self.single is None and sum(1 << (15 - n) for n, _ in self.used) != 1 << 15:
+        if self.single is None and sum([1 << (15 - n) for n, _ in self.used]) != 1 << 15:
             raise BadImage("a prefix code that is not complete")
         self._table: list[tuple[int, int]] | None = None
-        self.read_to: int | None = None  # how many lengths its stored form tells, if it is not a simple one
 
-    def _ahead(self) -> list[tuple[int, int]]:
+    def ahead(self) -> list[tuple[int, int]]:
         """For each value of the next ``most`` bits: (length, symbol)."""
         if self._table is None:
-            row = [x for x in self.used for _ in range(1 << (self.most - x[0]))]
-            self._table = [row[int(f"{i:0{self.most}b}"[::-1], 2)] for i in range(1 << self.most)]
+            row: list[tuple[int, int]] = []
+            for x in self.used:
+                row += [x] * (1 << (self.most - x[0]))
+            self._table = [row[i] for i in _reversed(self.most)]
         return self._table
 
     def read(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
-        n, s = self._ahead()[bits.peek(self.most)]
+        n, s = self.ahead()[bits.peek(self.most)]
         bits.at += n
         return s
 
@@ -104,29 +122,40 @@ def _read_code(bits: Bits, size: int) -> Code:
             lengths[s] = 1
         return Code(lengths)
     meta = [0] * 19
-    for k in range(bits.read(4) + 4):
-        meta[CODE_LENGTH_ORDER[k]] = bits.read(3)
+    stored = bits.read(4) + 4
+    word = bits.read(3 * stored)
+    for k in range(stored):
+        meta[CODE_LENGTH_ORDER[k]] = word >> 3 * k & 7
     code = Code(meta)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, before = 0, 8
+    # a length takes 14 bits at most, its repetition included
+    begin = bits.at >> 3
+    word = int.from_bytes(bits.bytes[begin : begin + (14 * min(left, size) >> 3) + 2], "little") >> (bits.at & 7)
+    table, mask = code.ahead(), (1 << code.most) - 1
+    at, before, used = 0, 8, 0
     while at < size and left > 0:
         left -= 1
-        s = code.read(bits)
+        if code.single is None:
+            n, s = table[word >> used & mask]
+            used += n
+        else:
+            s = code.single
         if s < 16:
             lengths[at] = s
             at += 1
             before = s or before
             continue
-        n, v = (3 + bits.read(2), before) if s == 16 else (3 + bits.read(3), 0) if s == 17 else (11 + bits.read(7), 0)
+        few = (2, 3, 7)[s - 16]
+        n = (11 if s == 18 else 3) + (word >> used & ((1 << few) - 1))
+        used += few
         if at + n > size:
             raise BadImage("code lengths beyond the alphabet")
-        if v:
-            lengths[at : at + n] = [v] * n
+        if s == 16:
+            lengths[at : at + n] = [before] * n
         at += n
+    bits.at += used
     bits.check()
-    out = Code(lengths)
-    out.read_to = at
-    return out
+    return Code(lengths)
 
 
 def _value(bits: Bits, prefix: int) -> int:
@@ -225,6 +254,16 @@ def _unpredict(p: np.ndarray, modes: np.ndarray, shift: int) -> np.ndarray:
     h, w = p.shape[:2]
     out = p.astype(np.int64)
     black = np.array([255, 0, 0, 0])
+    if (modes == 1).all() or (modes == 2).all():
+        # sums along the first row and column, then along the rows or columns
+        out[0, 0] += black
+        out[0] = np.cumsum(out[0], axis=0)
+        if modes.flat[0] == 1:
+            out[:, 0] = np.cumsum(out[:, 0], axis=0)
+            out[1:] = np.cumsum(out[1:], axis=1)
+        else:
+            out = np.cumsum(out, axis=0)
+        return out & 255
     for y in range(h):
         for x in range(w):
             if y == 0:
@@ -273,9 +312,8 @@ def _payload(image: bytes) -> bytes:
     raise BadImage("no lossless image in the file")
 
 
-def decode(image: bytes) -> np.ndarray:
-    """The pixels (height, width, RGBA) of a lossless WebP file as an array of bytes."""
-    bits = Bits(_payload(image))
+def _header(bits: Bits) -> tuple[int, int, int, list[tuple]]:
+    """(width, height, coded width, transforms as they were applied) of an image."""
     if bits.read(8) != 0x2F:
         raise BadImage("a wrong signature")
     w, h = bits.read(14) + 1, bits.read(14) + 1
@@ -300,7 +338,11 @@ def decode(image: bytes) -> np.ndarray:
             pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             transforms.append((kind, pack, table, across))
             across = -(-across // (1 << pack))
-    p = _planes(_entropy_image(bits, across, h, True), across, h)
+    return w, h, across, transforms
+
+
+def _inverted(p: np.ndarray, transforms: list[tuple]) -> np.ndarray:
+    """RGBA bytes of the coded planes (alpha, red, green, blue)."""
     for kind, shift, extra, width in reversed(transforms):
         if kind == PREDICTOR:
             p = _unpredict(p, extra[..., 2], shift)
@@ -316,27 +358,43 @@ def decode(image: bytes) -> np.ndarray:
     return p[..., [1, 2, 3, 0]].astype(np.uint8)
 
 
+def decode(image: bytes) -> np.ndarray:
+    """The pixels (height, width, RGBA) of a lossless WebP file as an array of bytes."""
+    bits = Bits(_payload(image))
+    _, h, across, transforms = _header(bits)
+    return _inverted(_planes(_entropy_image(bits, across, h, True), across, h), transforms)
+
+
 # --- the encoder -----------------------------------------------------------------------------------------------------
 
 
 def code_lengths(count: np.ndarray, most: int) -> np.ndarray:
     """Lengths, ``most`` at the utmost, of a complete prefix code; two symbols at least have a count."""
-    used = np.flatnonzero(count).tolist()
-    weight = [int(count[s]) for s in used]
+    used = np.flatnonzero(count)
+    used = used[np.argsort(count[used], kind="stable")]
+    weight = count[used].tolist()
+    n = len(weight)
     while True:
-        n = len(used)
-        heap = [(c, k) for k, c in enumerate(weight)]
-        heapq.heapify(heap)
+        # leaves ascend, and so do the nodes made of them: the least two stand at the head of either row
+        made: list[int] = []
         parent = [0] * (2 * n - 1)
-        for node in range(n, 2 * n - 1):
-            a, x = heapq.heappop(heap)
-            b, y = heap[0]
-            parent[x] = parent[y] = node
-            heapq.heapreplace(heap, (a + b, node))
+        leaf = node = 0
+        for own in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if node >= len(made) or (leaf < n and weight[leaf] <= made[node]):
+                    total += weight[leaf]
+                    parent[leaf] = own
+                    leaf += 1
+                else:
+                    total += made[node]
+                    parent[n + node] = own
+                    node += 1
+            made.append(total)
         depth = [0] * (2 * n - 1)
-        for node in range(2 * n - 3, -1, -1):
-            depth[node] = depth[parent[node]] + 1
-        if max(depth[:n]) <= most:
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if depth[0] <= most:
             out = np.zeros(len(count), np.int64)
             out[used] = depth[:n]
             return out
@@ -346,12 +404,12 @@ def code_lengths(count: np.ndarray, most: int) -> np.ndarray:
 def _codes(lengths: np.ndarray) -> np.ndarray:
     """The code of each symbol with its bits in reading order."""
     out = np.zeros(len(lengths), np.int64)
-    code = last = 0
-    for n, s in sorted((int(n), s) for s, n in enumerate(lengths) if n):
-        code <<= n - last
-        last = n
-        out[s] = int(f"{code:0{n}b}"[::-1], 2)
-        code += 1
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    n = lengths[used]
+    step = 1 << (15 - n)
+    code = (np.cumsum(step) - step) >> (15 - n)
+    out[used] = _REVERSED[code] >> (15 - n)
     return out
 
 
@@ -364,109 +422,329 @@ class _Writer:
         self.n += n
 
 
+def _zeros(n: int) -> list[tuple[int, int, int]]:
+    """Tokens of a run of n lengths of 0."""
+    out = [(18, 127, 7)] * (n // 138)
+    n %= 138
+    return out + ([(18, n - 11, 7)] if n >= 11 else [(17, n - 3, 3)] if n >= 3 else [(0, 0, 0)] * n)
+
+
 def _put_code(out: _Writer, lengths: np.ndarray) -> None:
     """A prefix code by the lengths of its symbols (two of them at least), zeros in runs."""
     tokens: list[tuple[int, int, int]] = []
-    last = int(np.flatnonzero(lengths)[-1])
-    k, values = 0, lengths[: last + 1].tolist()
-    while k <= last:
-        if values[k]:
-            tokens.append((values[k], 0, 0))
-            k += 1
-            continue
-        n = 1
-        while values[k + n] == 0 and n < 138:
-            n += 1
-        if n >= 11:
-            tokens.append((18, n - 11, 7))
-        elif n >= 3:
-            tokens.append((17, n - 3, 3))
-        else:
-            tokens.extend([(0, 0, 0)] * n)
-        k += n
+    used = np.flatnonzero(lengths)
+    before = -1
+    for s, n in zip(used.tolist(), lengths[used].tolist(), strict=True):
+        if s > before + 1:
+            tokens += _zeros(s - before - 1)
+        tokens.append((n, 0, 0))
+        before = s
+    count = [0] * 19
+    for t in tokens:
+        count[t[0]] += 1
     if len(tokens) < 2:
         tokens.append((0, 0, 0))
-    count = np.bincount([t[0] for t in tokens], minlength=19)
-    if (count > 0).sum() < 2:
+    if sum(c > 0 for c in count) < 2:
         count[0 if count[0] == 0 else 1] += 1
-    meta = code_lengths(count, 7)
-    code = _codes(meta)
-    kept = max(k for k, s in enumerate(CODE_LENGTH_ORDER) if meta[s]) + 1
-    kept = max(kept, 4)
+    meta = code_lengths(np.array(count), 7)
+    code, size = _codes(meta).tolist(), meta.tolist()
+    kept = max(4, max(k for k, s in enumerate(CODE_LENGTH_ORDER) if size[s]) + 1)
     out.put(0, 1)
     out.put(kept - 4, 4)
+    value = at = 0
     for s in CODE_LENGTH_ORDER[:kept]:
-        out.put(meta[s], 3)
-    out.put(1, 1)
-    out.put(3, 3)
-    out.put(len(tokens) - 2, 8)
+        value |= size[s] << at
+        at += 3
+    wide = 3 if len(tokens) < 258 else 4  # eight bits or ten for the number of tokens
+    value |= (1 | wide << 1 | (len(tokens) - 2) << 4) << at
+    at += 6 + 2 * wide
     for s, extra, n in tokens:
-        out.put(code[s], int(meta[s]))
-        if n:
-            out.put(extra, n)
+        value |= (code[s] | extra << size[s]) << at
+        at += size[s] + n
+    out.put(value, at)
+
+
+def _prefixes(most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each value up to ``most``: its prefix symbol, the number of extra bits, and these."""
+    v = np.maximum(np.arange(most + 1) - 1, 0)
+    top = np.frexp(np.maximum(v, 1))[1] - 1
+    few = np.maximum(top - 1, 0)
+    high = v >> few & 1
+    symbol = np.where(v < 4, v, 2 * top + high)
+    bits = np.where(v < 4, 0, few)
+    return symbol, bits, np.where(v < 4, 0, v & ((1 << few) - 1))
+
+
+#: Shortest and longest back-reference, and the samples that an image may have.
+LEAST, MOST = 4, 4096
+PIXELS = 1 << 16
+_SYMBOL, _EXTRA, _REST = _prefixes(PIXELS + 120)
+
+
+def _near(width: int) -> np.ndarray:
+    """The distance code of each distance up to PIXELS."""
+    code = np.arange(PIXELS + 1) + 120
+    for k in range(len(DISTANCES) - 1, -1, -1):
+        d = DISTANCES[k][0] + DISTANCES[k][1] * width
+        if 1 <= d <= PIXELS:
+            code[d] = k + 1
+    return code
+
+
+_HASH = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _matches(x: np.ndarray, image: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(length, distance) of the match of each sample with the last place in its image that has the same LEAST samples;
+    length 1 where there is none.  ``stop`` is the end of each sample's image."""
+    n = len(x)
+    wide = np.concatenate([x, np.zeros(16, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(wide, (n + 8, 8), (1, 1)).copy().view("<u8").reshape(-1)
+    size, back = np.ones(n, np.int64), np.zeros(n, np.int64)
+    # sorted by a hash of the image and the samples, and then by place, in one number
+    four = (image.astype(np.uint64) << np.uint64(32)) | (eight[:n] & np.uint64(0xFFFFFFFF))
+    key = np.sort((four * _HASH & ~np.uint64(0xFFFFFFFF)) | np.arange(n, dtype=np.uint64))
+    place = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    at, was = place[1:], place[:-1]
+    ok = np.flatnonzero(((key[1:] ^ key[:-1]) >> np.uint64(32) == 0) & (stop[at] - at >= LEAST))
+    at, was = at[ok], was[ok]
+    ok = four[at] == four[was]
+    at, was = at[ok], was[ok]
+    room = np.minimum(stop[at] - at, MOST)
+    length = np.full(len(at), LEAST)
+    live = np.arange(len(at))
+    while len(live):
+        a, p = at[live] + length[live], was[live] + length[live]
+        differ = eight[a] ^ eight[p]
+        # the first byte that differs, by the lowest bit that is set
+        low = differ & (~differ + np.uint64(1))
+        equal = np.where(differ == 0, 8, (np.frexp(low.astype(np.float64))[1] - 1) >> 3)
+        length[live] = np.minimum(length[live] + equal, room[live])
+        live = live[(equal == 8) & (length[live] < room[live])]
+    size[at], back[at] = length, at - was
+    return size, back
+
+
+def _tokens(x: np.ndarray, bounds: np.ndarray, width: int):
+    """A greedy parse of the images that ``bounds`` parts: of each literal or back-reference its image, green symbol,
+    length's extra bits and their number, distance symbol (-1: a literal), distance's extra bits and their number."""
+    image = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    size, back = _matches(x, image, bounds[1:][image])
+    step = (np.arange(len(x)) + size).tolist()
+    places, at, end = [], 0, len(x)
+    while at < end:
+        places.append(at)
+        at = step[at]
+    at = np.array(places, np.int64)
+    n, code = size[at], _near(width)[back[at]]
+    far = n > 1
+    green = np.where(far, 256 + _SYMBOL[n], x[at])
+    return image[at], green, np.where(far, _REST[n], 0), np.where(far, _EXTRA[n], 0), np.where(far, _SYMBOL[code], -1), np.where(far, _REST[code], 0), np.where(far, _EXTRA[code], 0)
+
+
+def _put_single(out: _Writer, symbol: int) -> None:
+    """A code of one symbol, which takes no bits."""
+    out.put(0b1 | 0 << 1 | (symbol > 1) << 2, 3)
+    out.put(symbol, 8 if symbol > 1 else 1)
+
+
+def _fitted(out: _Writer, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stores a code that fits ``count``; (lengths, codes)."""
+    used = np.flatnonzero(count)
+    if len(used) < 2 and (not len(used) or used[0] < 256):
+        _put_single(out, int(used[0]) if len(used) else 0)
+        return np.zeros(len(count), np.int64), np.zeros(len(count), np.int64)
+    if len(used) < 2:
+        count = count.copy()
+        count[0] += 1
+    lengths = code_lengths(count, FAST_BITS)
+    _put_code(out, lengths)
+    return lengths, _codes(lengths)
+
+
+def _entropy(count: np.ndarray) -> np.ndarray:
+    """Bits that symbols of these counts take at least, by row."""
+    total = count.sum(axis=1)
+    return total * np.log2(np.maximum(total, 1)) - (count * np.log2(np.maximum(count, 1))).sum(axis=1)
+
+
+def _residuals(x: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Differences from the pixel to the left, and above: the first row has those from the left, the first column those
+    from above, the first pixel is told whole."""
+    rows, first = x.reshape(-1, width), bounds[:-1] // width
+    left = rows.copy()
+    left[:, 1:] -= rows[:, :-1]
+    left[1:, 0] -= rows[:-1, 0]
+    left[first, 0] = rows[first, 0]
+    top = rows.copy()
+    top[1:] -= rows[:-1]
+    top[first] = left[first]
+    return left.reshape(-1), top.reshape(-1)
+
+
+#: Bits that a predictor must save before it is used, and values up to which pixels are packed.
+WORTH, FEW = 200, 16
+
+
+def encode_grey(images: list[np.ndarray], width: int, used: dict[str, int] | None = None) -> list[bytes]:
+    """Lossless WebP files of images of 8-bit samples, rows of ``width``.  ``used`` counts the images by feature."""
+    if not images:
+        return []
+    sizes = np.array([len(i) for i in images])
+    if (sizes % width).any() or not sizes.all() or sizes.max() > PIXELS:
+        raise ValueError(f"an image has rows of {width} samples, and {PIXELS} samples at most")
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    x = np.concatenate(images).astype(np.uint8)
+    image = np.repeat(np.arange(len(images)), sizes)
+    count = np.bincount(image * 256 + x, minlength=256 * len(images)).reshape(-1, 256)
+    values = (count > 0).sum(axis=1)
+    bits = [_entropy(count)]
+    rest = [x, *_residuals(x, bounds, width)]
+    bits += [_entropy(np.bincount(image * 256 + r, minlength=256 * len(images)).reshape(-1, 256)) + WORTH for r in rest[1:]]
+    mode = np.where(values <= FEW, 0, np.argmin(np.stack(bits), axis=0))
+    heads, parts = [], []
+    for k in range(len(images)):
+        head = _Writer()
+        head.put(0x2F, 8)
+        head.put(width - 1, 14)
+        head.put(sizes[k] // width - 1, 14)
+        head.put(0, 1 + 3)  # no alpha, version 0
+        if values[k] <= FEW:
+            table = np.flatnonzero(count[k])
+            head.put(1 | PALETTE << 1, 3)
+            head.put(len(table) - 1, 8)
+            head.put(0, 1)  # the palette's image: grey differences, no cache
+            _palette_image(head, np.diff(table, prepend=0))
+            parts.append(_packed(np.searchsorted(table, x[bounds[k] : bounds[k + 1]]), width, len(table)))
+        else:
+            head.put(1 | SUBTRACT_GREEN << 1, 3)
+            if mode[k]:
+                head.put(1 | PREDICTOR << 1, 3)
+                # blocks as large as can be, one mode for all
+                head.put(7, 3)
+                head.put(0, 1)
+                for symbol in (mode[k], 0, 0, 0, 0):
+                    _put_single(head, int(symbol))
+            parts.append(rest[mode[k]][bounds[k] : bounds[k + 1]])
+        head.put(0, 1 + 1 + 1)  # no further transform, no colour cache, no meta code
+        heads.append(head)
+    coded = np.array([len(p) for p in parts])
+    across = coded // (sizes // width)
+    out: list[bytes | None] = [None] * len(images)
+    for w in np.unique(across):
+        which = np.flatnonzero(across == w)
+        for k, file in zip(which, _coded([heads[k] for k in which], [parts[k] for k in which], int(w), [bool(values[k] > FEW and not mode[k]) for k in which]), strict=True):
+            out[k] = file
+    if used is not None:
+        for name, n in (("palette", (values <= FEW).sum()), ("subtract_green", (values > FEW).sum()), ("predictor_left", (mode == 1).sum()), ("predictor_top", (mode == 2).sum())):
+            used[name] = used.get(name, 0) + int(n)
+    return out
 
 
-def encode_rgb(samples: np.ndarray, width: int) -> bytes:
-    """A lossless WebP file of RGB bytes, rows of ``width`` pixels; one fitted code serves the three colours."""
-    height = len(samples) // (3 * width)
-    count = np.bincount(samples, minlength=256)
-    if (count > 0).sum() < 2:
-        count[0 if count[0] == 0 else 1] += 1
-    lengths = code_lengths(count, FAST_BITS)
-    code = _codes(lengths)
-    head = _Writer()
-    head.put(0x2F, 8)
-    head.put(width - 1, 14)
-    head.put(height - 1, 14)
-    head.put(0, 1 + 3)  # no alpha, version 0
-    head.put(0, 1 + 1 + 1)  # no transform, no colour cache, no meta code
-    own = _Writer()
-    _put_code(own, lengths)
-    for _ in range(3):
-        head.put(own.value, own.n)
-    head.put(0b1 | 0 << 1 | 1 << 2 | 255 << 3, 11)  # alpha: the one symbol 255
-    head.put(0b1 | 0 << 1 | 0 << 2 | 0 << 3, 4)  # distance: the one symbol 0
-    order = samples.reshape(-1, 3)[:, [1, 0, 2]].reshape(-1)
-    n = lengths[order]
-    at = np.cumsum(n) - n + head.n
-    total = head.n + int(n.sum())
-    bits = np.zeros(-(-total // 8) * 8, np.uint8)
-    bits[: head.n] = np.unpackbits(np.frombuffer(head.value.to_bytes(-(-head.n // 8), "little"), np.uint8), bitorder="little")[: head.n]
-    value = code[order]
-    for k in range(int(lengths.max())):
-        if k:
-            live = n > k
-            n, at, value = n[live], at[live], value[live]
-        bits[at + k] = value >> k & 1
-    body = np.packbits(bits, bitorder="little").tobytes()
-    pad = b"\0" * (len(body) & 1)
-    return b"RIFF" + struct.pack("<I", 12 + len(body) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + pad
+def _palette_image(out: _Writer, delta: np.ndarray) -> None:
+    """The palette's differences, literals of equal red, green and blue."""
+    lengths, codes = _fitted(out, np.bincount(delta, minlength=280))
+    for _ in range(2):
+        _fitted(out, np.bincount(delta, minlength=256))
+    # alpha: 255, then differences of 0
+    alpha = np.zeros(256, np.int64)
+    alpha[255], alpha[0] = 1, len(delta) - 1
+    lengths_a, codes_a = _fitted(out, alpha)
+    _put_single(out, 0)
+    for i, d in enumerate(delta.tolist()):
+        for _ in range(3):
+            out.put(codes[d], int(lengths[d]))
+        a = 0 if i else 255
+        out.put(codes_a[a], int(lengths_a[a]))
+
+
+def _packed(index: np.ndarray, width: int, colours: int) -> np.ndarray:
+    """Palette indices, as many in a byte as there is room for."""
+    pack = 3 if colours <= 2 else 2 if colours <= 4 else 1
+    each, per = 8 >> pack, 1 << pack
+    across = -(-width // per)
+    rows = np.zeros((len(index) // width, across * per), np.int64)
+    rows[:, :width] = index.reshape(-1, width)
+    return (rows.reshape(len(rows), across, per) << (each * np.arange(per))).sum(axis=2).reshape(-1).astype(np.uint8)
+
+
+def _coded(heads: list[_Writer], parts: list[np.ndarray], width: int, alpha: list[bool]) -> list[bytes]:
+    """The files: each head followed by the codes and the tokens of its green plane.  All tokens are laid into one array
+    of 64-bit words, in which every file begins at a word."""
+    bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    own, green, rest, extra, dist, rest_d, extra_d = _tokens(np.concatenate(parts), bounds, width)
+    far = dist >= 0
+    n = len(parts)
+    count = np.bincount(own * 280 + green, minlength=280 * n).reshape(n, 280)
+    count_d = np.bincount(own[far] * 40 + dist[far], minlength=40 * n).reshape(n, 40)
+    lengths, codes, lengths_d, codes_d = (np.zeros((n, m), np.int64) for m in (280, 280, 40, 40))
+    for k, head in enumerate(heads):
+        lengths[k], codes[k] = _fitted(head, count[k])
+        _put_single(head, 0)
+        _put_single(head, 0)
+        _put_single(head, 255 if alpha[k] else 0)  # differences and indices have none
+        lengths_d[k], codes_d[k] = _fitted(head, count_d[k])
+    value, size = codes[own, green], lengths[own, green]
+    value, size = value | rest << size, size + extra
+    d = np.maximum(dist, 0)
+    value = value | np.where(far, codes_d[own, d], 0) << size
+    size = size + np.where(far, lengths_d[own, d], 0)
+    value, size = value | rest_d << size, size + extra_d
+    total = np.bincount(own, weights=size, minlength=n).astype(np.int64) + np.array([h.n for h in heads])
+    base = np.concatenate([[0], np.cumsum(-(-total // 64) + 1)])
+    before = np.cumsum(size) - size
+    first = np.searchsorted(own, np.arange(n))
+    at = base[own] * 64 + np.array([h.n for h in heads])[own] + before - before[first][own]
+    words = np.zeros(int(base[-1]) + 1, np.uint64)
+    for k, head in enumerate(heads):
+        raw = np.frombuffer(head.value.to_bytes(-(-head.n // 64) * 8, "little"), "<u8")
+        words[base[k] : base[k] + len(raw)] |= raw
+    word, shift = at >> 6, (at & 63).astype(np.uint64)
+    value = value.astype(np.uint64)
+    low, high = value << shift, (value >> np.uint64(1)) >> (np.uint64(63) - shift)
+    start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    words[word[start]] |= np.bitwise_or.reduceat(low, start)
+    words[word[start] + 1] |= np.bitwise_or.reduceat(high, start)
+    raw = words.astype("<u8").tobytes()
+    out = []
+    for k in range(n):
+        body = raw[8 * base[k] : 8 * base[k] + -(-int(total[k]) // 8)]
+        pad = b"\0" * (len(body) & 1)
+        out.append(b"RIFF" + struct.pack("<I", 12 + len(body) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + pad)
+    return out
 
 
 # --- many images at once ---------------------------------------------------------------------------------------------
 
 
-def _plain(chunk: bytes) -> tuple[int, int, int, list[Code]] | None:
-    """(width, height, first bit of the pixels, codes) of an image of literals in one group of short codes, else None."""
+@dataclass
+class _Lane:
+    """What stands before the pixels of an image of one varying channel: ``across`` pixels a row are coded, from bit
+    ``at`` of the chunk on."""
+
+    width: int
+    height: int
+    across: int
+    transforms: list[tuple]
+    at: int
+    green: Code
+    dist: Code
+    rest: tuple[int, int, int]  # red, blue, alpha
+
+
+def _lane(chunk: bytes) -> _Lane | None:
+    """None for an image that only ``decode`` can read."""
     bits = Bits(chunk)
-    if bits.read(8) != 0x2F:
-        raise BadImage("a wrong signature")
-    w, h = bits.read(14) + 1, bits.read(14) + 1
-    bits.read(1)
-    if bits.read(3) or bits.read(1) or bits.read(1) or bits.read(1):
+    w, h, across, transforms = _header(bits)
+    if bits.read(1) or bits.read(1):
+        return None
+    green, red, blue, alpha, dist = (_read_code(bits, n) for n in (280, 256, 256, 256, 40))
+    bits.check()
+    if any(c.single is None for c in (red, blue, alpha)) or max(green.most, dist.most) > FAST_BITS:
         return None
-    began = bits.at
-    codes = [_read_code(bits, 280)]
-    size = bits.at - began
-    for n in (256, 256, 256, 40):
-        # a code stored in the same bits as the first is the same, if it is told by so many tokens that end within 256
-        same = n == 256 and codes[0].read_to is not None and codes[0].read_to <= 256 and bits.span(bits.at, size) == bits.span(began, size)
-        if same:
-            bits.at += size
-        codes.append(codes[0] if same else _read_code(bits, n))
-    if max(x for _, x in codes[0].used) > 255 or max(c.most for c in codes[:4]) > FAST_BITS or codes[3].single is None:
+    if any(t[0] == CROSS_COLOUR or t[0] == PREDICTOR and len(np.unique(t[2][..., 2])) > 1 for t in transforms):
         return None
-    return w, h, bits.at, codes
+    return _Lane(w, h, across, transforms, bits.at, green, dist, (red.single, blue.single, alpha.single))
 
 
 def _fast_table(code: Code) -> np.ndarray:
@@ -474,52 +752,103 @@ def _fast_table(code: Code) -> np.ndarray:
     if code.single is not None:
         return np.full(1 << FAST_BITS, code.single, np.uint16)
     n, s = np.array(code.used).T
-    return np.repeat((s | n << 8).astype(np.uint16), 1 << (FAST_BITS - n))[_REVERSED]
+    return np.repeat((s | n << 9).astype(np.uint16), 1 << (FAST_BITS - n))[_FAST_REVERSED]
+
+
+_DX, _DY = np.array(DISTANCES).T
+_STEP = np.arange(40)
+_FEW = np.where(_STEP < 4, 0, (_STEP - 2) >> 1)
+_BASE = np.where(_STEP < 4, _STEP + 1, ((2 + (_STEP & 1)) << _FEW) + 1)
+#: By green symbol: the least length that it tells, 1 for a literal, and its extra bits.
+_LENGTH = np.concatenate([np.ones(256, np.int64), _BASE[:24]])
+_LENGTH_BITS = np.concatenate([np.zeros(256, np.int64), _FEW[:24]])
+
+
+def _greens(lanes: list[_Lane], chunks: list[bytes]) -> list[np.ndarray]:
+    """The coded green plane of each image, flat.
+
+    First all lanes are read side by side into literals and back-references; then every pixel points at the one that it
+    repeats, and pointers are doubled until all end at literals.
+    """
+    total = np.array([c.across * c.height for c in lanes])
+    data = np.frombuffer(b"".join(c + bytes(8) for c in chunks) + bytes(64), np.uint8)
+    begin = np.cumsum([0] + [len(c) + 8 for c in chunks[:-1]]) * 8
+    limit = begin + np.array([8 * len(c) for c in chunks])
+    pos = begin + np.array([c.at for c in lanes])
+    ahead = np.lib.stride_tricks.as_strided(data, (len(data) - 8, 8), (1, 1)).copy().view("<u8").reshape(-1)
+    table = np.concatenate([_fast_table(c) for lane in lanes for c in (lane.green, lane.dist)])
+    where = np.arange(len(lanes)) * 2 << FAST_BITS
+    across = np.array([c.across for c in lanes])
+    made = np.zeros(len(lanes), np.int64)
+    mask, one = np.uint64((1 << FAST_BITS) - 1), np.uint64(1)
+    live = np.arange(len(lanes))
+    seen: list[tuple[np.ndarray, ...]] = []
+    while len(live):
+        p, t = pos[live], where[live]
+        goal, have, end = total[live], made[live], limit[live]
+        for _ in range(32):
+            x = ahead[p >> 3] >> (p & 7).astype(np.uint64)
+            e = table[t + (x & mask).astype(np.int64)].astype(np.int64)
+            symbol, bits = e & 511, e >> 9
+            x = x >> bits.astype(np.uint64)
+            some = _LENGTH_BITS[symbol]
+            some_ = some.astype(np.uint64)
+            n = _LENGTH[symbol] + (x & ((one << some_) - one)).astype(np.int64)
+            x = x >> some_
+            e = table[t + (1 << FAST_BITS) + (x & mask).astype(np.int64)].astype(np.int64)
+            far = symbol > 255
+            x = x >> (e >> 9).astype(np.uint64)
+            prefix = e & 511
+            more = _FEW[prefix]
+            d = np.where(far, _BASE[prefix] + (x & ((one << more.astype(np.uint64)) - one)).astype(np.int64), 0)
+            bits = bits + some + np.where(far, (e >> 9) + more, 0)
+            # lanes that have all their pixels stand still until they are put aside
+            going = have < goal
+            n = np.where(going, n, 0)
+            seen.append((live, n, np.where(far, d, -1 - symbol)))
+            have = have + n
+            p = p + np.where(going, bits, 0)
+            if (p > end).any():
+                raise BadImage("the data end within an image")
+        pos[live], made[live] = p, have
+        live = live[have < goal]
+    if (made != total).any():
+        raise BadImage("a back-reference beyond the image")
+    lane, n, told = (np.concatenate([s[i] for s in seen]) for i in range(3))
+    seen.clear()
+    keep = n > 0
+    lane, n, told = lane[keep], n[keep], told[keep]
+    order = np.argsort(lane.astype(np.uint16) if len(lanes) <= 1 << 16 else lane, kind="stable")
+    lane, n, told = lane[order], n[order], told[order]
+    at = np.cumsum(n) - n  # of each token, among the pixels of all images
+    near = (told > 0) & (told <= 120)
+    k = np.where(near, told - 1, 0)
+    back = np.where(told < 0, 0, np.where(near, np.maximum(_DX[k] + _DY[k] * across[lane], 1), told - 120))
+    start = np.cumsum(total) - total
+    if (at - back < start[lane]).any():
+        raise BadImage("a back-reference beyond the image")
+    root = np.arange(int(total.sum()), dtype=np.int32) - np.repeat(back, n).astype(np.int32)
+    value = np.repeat(np.where(told < 0, -1 - told, 0), n).astype(np.uint8)
+    while True:
+        further = root[root]
+        if (further == root).all():
+            break
+        root = further
+    return np.split(value[root], start[1:])
 
 
 def decode_many(images: list[bytes]) -> list[np.ndarray]:
-    """``decode`` of each image; those of plain literals are decoded side by side."""
+    """``decode`` of each image; those with one varying channel are decoded side by side."""
     chunks = [_payload(i) for i in images]
-    plain = {k: p for k, c in enumerate(chunks) if (p := _plain(c)) is not None}
-    out: list[np.ndarray | None] = [None if k in plain else decode(i) for k, i in enumerate(images)]
-    lanes = sorted(plain, key=lambda k: -plain[k][0] * plain[k][1])
-    if not lanes:
+    found = [_lane(c) for c in chunks]
+    out: list[np.ndarray | None] = [None if lane else decode(i) for lane, i in zip(found, images, strict=True)]
+    which = [k for k, lane in enumerate(found) if lane]
+    if not which:
         return out
-    size = np.array([plain[k][0] * plain[k][1] for k in lanes])
-    data = np.frombuffer(b"".join(chunks[k] + bytes(8) for k in lanes) + bytes(512), np.uint8)
-    base = np.cumsum([0] + [len(chunks[k]) + 8 for k in lanes[:-1]]) * 8
-    limit = base + np.array([8 * len(chunks[k]) for k in lanes])
-    pos = base + np.array([plain[k][2] for k in lanes])
-    ahead = data[:-3].astype(np.uint32)
-    for t in (1, 2, 3):
-        ahead |= data[t : len(data) - 3 + t].astype(np.uint32) << np.uint32(8 * t)
-    tables, seen, where = [], {}, np.zeros((3, len(lanes)), np.int64)
-    for x, k in enumerate(lanes):
-        for c in range(3):
-            code = plain[k][3][c]
-            if id(code) not in seen:
-                seen[id(code)] = len(tables) << FAST_BITS
-                tables.append(_fast_table(code))
-            where[c, x] = seen[id(code)]
-    table = np.concatenate(tables)
-    step = np.zeros((int(size[0]), 3, len(lanes)), np.uint8)
-    live = np.searchsorted(-size, -np.arange(int(size[0])) - 1, "right")  # lanes that still have a pixel
-    mask = np.uint32((1 << FAST_BITS) - 1)
-    for y in range(int(size[0])):
-        m = int(live[y])
-        p = pos[:m]
-        if y % 64 == 0 and (p > limit[:m]).any():  # 64 pixels take 288 bytes at most
-            raise BadImage("the data end within an image")
-        for c in range(3):
-            e = table[where[c, :m] + (ahead[p >> 3] >> (p & 7).astype(np.uint32) & mask)]
-            step[y, c, :m] = e
-            p += e >> 8
-    if (pos > limit).any():
-        raise BadImage("the data end within an image")
-    for x, k in enumerate(lanes):
-        w, h, _, codes = plain[k]
-        rgba = np.empty((h, w, 4), np.uint8)
-        rgba[..., [1, 0, 2]] = step[: w * h, :, x].reshape(h, w, 3)
-        rgba[..., 3] = codes[3].single
-        out[k] = rgba
+    for k, green in zip(which, _greens([found[k] for k in which], [chunks[k] for k in which]), strict=True):
+        lane = found[k]
+        red, blue, alpha = lane.rest
+        p = np.empty((lane.height, lane.across, 4), np.int64)
+        p[..., 0], p[..., 1], p[..., 2], p[..., 3] = alpha, red, green.reshape(lane.height, lane.across), blue
+        out[k] = _inverted(p, lane.transforms)
     return out

@@ -272,9 +272,64 @@ def test_palette(colours):
     assert (webp.decode(file(out)) == p).all()
 
 
+def samples(seed, n=40):
+    """Images of few and many values, of runs, ramps, repeated rows and text."""
+    rng = np.random.default_rng(seed)
+    text = ("and the rain came down on the town again and again while they all sang of it " * 200).encode()
+    out = []
+    for k in range(n):
+        rows = 1 + k % 7
+        kind = k % 8
+        if kind < 3:
+            x = rng.integers(0, (1, 2, 3, 5, 16, 17, 200, 256)[k // 8 % 8], 192 * rows)
+        elif kind == 3:
+            x = np.full(192 * rows, k)
+        elif kind == 4:
+            x = np.cumsum(rng.integers(0, 3, 192 * rows))
+        elif kind == 5:
+            x = np.tile(rng.integers(0, 256, 192), rows) + np.repeat(np.arange(rows), 192)
+        else:
+            x = np.frombuffer(text, np.uint8, 192 * rows, int(rng.integers(0, 200)))
+        out.append((x.astype(int) % 256).astype(np.uint8))
+    return out
+
+
+def test_grey_images():
+    """Every image is read back by either decoder, and the encoder uses each of its features where they pay."""
+    images, used = samples(1), {}
+    files = webp.encode_grey(images, 192, used)
+    assert all(used[k] > 0 for k in ("palette", "subtract_green", "predictor_left", "predictor_top"))
+    for x, f, many in zip(images, files, webp.decode_many(files), strict=True):
+        p = webp.decode(f)
+        assert (p[..., 3] == 255).all() and (p[..., :3] == x.reshape(-1, 192, 1)).all()
+        assert (p == many).all()
+    # repeated text is told once
+    assert len(files[6]) < len(images[6]) / 2
+    assert webp.encode_grey(images[::-1], 192)[::-1] == files
+    assert webp.encode_grey([], 192) == []
+    for bad in ([np.zeros(100, np.uint8)], [np.zeros(0, np.uint8)]):
+        with pytest.raises(ValueError):
+            webp.encode_grey(bad, 192)
+
+
+def test_the_querys_own_images(spark):
+    """Of the images that the query stores, nearly all hold back-references and are decoded side by side."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    payloads = [media.padded((t or "").encode()) for t in texts]
+    used = {}
+    stored = media.store(payloads, used)
+    files = [f for m in stored for f in media.links(m)]
+    assert used["subtract_green"] > 0.9 * len(files) and used["palette"] > 0
+    lanes = [webp._lane(webp._payload(f)) for f in files]
+    assert all(lanes)
+    refs = sum(any(s >= 256 for _, s in lane.green.used) for lane in lanes)
+    assert refs > 0.9 * len(files)
+    assert sum(map(len, stored)) < 0.5 * sum(map(len, payloads))
+    assert [media.payload(i) for i in media.pixels(stored)] == payloads
+
+
 def test_many_at_once_are_as_one_by_one():
-    rng = np.random.default_rng(6)
-    images = [webp.encode_rgb(rng.integers(0, 1 + 3 ** (k % 6), 192 * (1 + k % 5)).astype(np.uint8), 64) for k in range(30)]
+    images = webp.encode_grey(samples(6), 192)
     out = start(37, 29)
     out.put(0, 1)
     entropy_image(out, argb(picture(37, 29)), 37, True, 4)
@@ -284,7 +339,8 @@ def test_many_at_once_are_as_one_by_one():
 
 
 def test_damaged_files():
-    good = webp.encode_rgb(np.arange(384, dtype=np.uint8), 64)
+    rng = np.random.default_rng(2)
+    good = webp.encode_grey([rng.integers(0, 200, 384).astype(np.uint8)], 192)[0]
     for bad in (b"", b"RIFF", good[:12] + b"VP8X" + good[16:], good[:20] + b"\0" + good[21:], good[:-60]):
         with pytest.raises(webp.BadImage):
             webp.decode(bad)
@@ -292,12 +348,23 @@ def test_damaged_files():
             webp.decode_many([bad])
 
 
+def test_prefix_codes_are_complete_and_short():
+    rng = np.random.default_rng(5)
+    for k in range(200):
+        count = np.zeros(280, int)
+        used = rng.choice(280, rng.integers(2, 200), replace=False)
+        count[used] = np.maximum(1, rng.exponential(1, len(used)) ** (1 + k % 9)).astype(int)
+        n = webp.code_lengths(count, 12)
+        assert ((n > 0) == (count > 0)).all() and n.max() <= 12 and (1.0 / 2 ** n[n > 0]).sum() == 1
+        assert len({(a, b) for a, b in zip(n[used].tolist(), webp._codes(n)[used].tolist(), strict=True)}) == len(used)
+
+
 def test_payloads():
     rng = random.Random(1)
     texts = [b"", b"a", b"x" * 192, b"y" * 193, bytes(rng.randrange(256) for _ in range(20_000)), "漢字".encode() * 5000]
-    stored = [media.store(media.padded(t)) for t in texts]
+    stored = media.store([media.padded(t) for t in texts])
     for t, image in zip(texts, media.pixels(stored), strict=True):
-        p = image[..., :3].tobytes()
+        p = media.payload(image)
         assert p == t + b" " * (len(p) - len(t)) and len(p) % 192 == 0 and len(p) - len(t) < 192 + (not t)
 
 
