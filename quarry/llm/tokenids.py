@@ -307,11 +307,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = 0) -> None:
     """Encodes ``docs`` (doc_id, text) and writes them in the file format to the folder ``path``.
 
     A null or empty text has only the end id.  Rows with a null doc_id come first; rows that repeat a doc_id follow
-    each other in the order of their texts.  An empty table gives an empty folder.  Other columns are ignored.
+    each other in the order of a hash of their texts, so that an id that very many rows repeat, or a null, is no task of
+    its own; rows that agree in both are written one after the other.  An empty table gives an empty folder.  Other
+    columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    placed = docs.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    shared.map_arrow(placed, _blocks(tokenizer, end), _BLOCK, keeps="tokenids").write.parquet(path)
+    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    placed = docs.repartitionByRange(*keys).sortWithinPartitions(*keys, "text")
+    with shared.small_batches(docs.sparkSession):
+        shared.map_arrow(placed, _blocks(tokenizer, end), _BLOCK, keeps="tokenids").write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

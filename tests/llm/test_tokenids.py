@@ -76,7 +76,9 @@ def test_files(spark, odd, odd_rows, encoder, monkeypatch):
     path = shared.new_path(spark, "ids")
     tokenids.write_ids(odd, path, tokenizer_path())
     got = tokenids.read_ids(spark, path).collect()
-    rows = sorted(((d is not None, d or 0, t or ""), d, t or "") for d, t, *_ in odd_rows)
+    texts = spark.createDataFrame([(t,) for t in {r[1] or "" for r in odd_rows}], "t string")
+    place = {r.t: r.h for r in texts.selectExpr("t", "xxhash64(t) AS h").collect()}
+    rows = sorted(((d is not None, d or 0, place[t or ""]), d, t or "") for d, t, *_ in odd_rows)
     at = 0
     for r, (_, d, t) in zip(sorted(got, key=lambda r: r.start), rows, strict=True):
         ids = np.array([*library(encoder, [t])[0], 0], "<u4").tobytes()
