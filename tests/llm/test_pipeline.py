@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from quarry.llm.sampling import fold
 from quarry.llm.tokenids import Encoder
 
 from .test_minhash import brute
+from .test_mixing import waterfill
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,6 +50,22 @@ def test_mixture_and_columns(stages):
     assert {r.doc_id for r in stages[4]} <= {r.doc_id for r in stages[3]}
 
 
+def test_mixture_meets_its_targets(stages):
+    """Each source comes near its water-filled target, no document comes more than three times, and rows are whole."""
+    size, total = {}, Counter()
+    for r in stages[3]:
+        size[r.doc_id] = (r.source, len((r.text or "").encode().split()))
+        total[r.source] += size[r.doc_id][1]
+    times, taken = Counter(r.doc_id for r in stages[4]), Counter()
+    for d, n in times.items():
+        taken[size[d][0]] += n * size[d][1]
+    want = waterfill(total)
+    assert max(times.values()) <= 3
+    assert all(abs(taken[s] - want[s]) <= max(n for t, n in size.values() if t == s) for s in want)
+    rows = {r.doc_id: r for r in stages[3]}
+    assert all(rows[r.doc_id] == r for r in stages[4])
+
+
 def test_token_ids(stages):
     enc = Encoder(queries.tokenizer_path())
     at = 0
@@ -82,3 +101,14 @@ def test_no_rows_and_no_languages(spark, none, odd):
     assert docs.count() == 0
     unknown = odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source")
     assert cp.language(spark, unknown, SF).count() == odd.count()
+
+
+def test_rows_that_repeat_an_id_with_other_text(spark):
+    """Each is judged by its own text: no text is lost for what another of its id says."""
+    a, b, u = (" ".join(f"{x}{i}" for i in range(60)) for x in "abu")
+    left = lambda rows: sorted((r.doc_id or 0, r.text) for r in cp.near_dedup(spark, spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string"), "").collect())
+    assert left([(3, a), (5, u), (5, a)]) == [(3, a), (5, u)]
+    assert left([(4, b + " x"), (5, b), (5, a)]) == [(4, b + " x"), (5, a)]
+    got = left([(5, a), (5, a + " x"), (5, u), (7, a), (8, u + " k"), (None, a), (9, ""), (9, "")])
+    assert got[0] == (0, a) and got[-1] == (9, "") and len(got) == 4
+    assert (5, u) in got and sum(t.startswith(a) for d, t in got if d == 5) == 1
