@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry.llm import shared, tokenids
 from quarry.llm.decontaminate import decontaminate
 from quarry.llm.langid import identify, train
-from quarry.llm.minhash import near_duplicates
+from quarry.llm.minhash import judged
 from quarry.llm.mixing import mix
 from quarry.llm.queries import tokenizer_path
 from quarry.llm.sampling import fold
@@ -37,15 +37,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near-duplicates the document of the least id, and of repeated rows one.
 
     Five-word shingles, similarity of 0.8 or more.  Rows with a null id, and null or blank texts, have no duplicates
-    and stay.
+    and stay.  Rows that repeat an id with other text are judged by their own text; of several in one group that have
+    its least id, the one of the least hash of the text stays.
     """
-    judged = near_duplicates(docs)
-    gone = shared.written(judged.where("NOT kept").select("doc_id").distinct(), "pipeline-copies")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = shared.written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
+    rows = judged(docs)
+    own = F.xxhash64(F.col("text").cast("string"))
+    copies = rows.where("NOT kept").select("doc_id", "text_hash")
+    # of kept rows of one id in one group, all but one; rows without words are in no group
+    first = rows.where("kept AND component IS NOT NULL").groupBy("component").agg(F.min("text_hash").alias("first"), F.max("text_hash").alias("last")).where("first <> last").select("component", "first")
+    others = rows.where("kept").join(first, "component").where("text_hash <> first").select("doc_id", "text_hash")
+    gone = shared.written(copies.unionAll(others).distinct().select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "pipeline-copies")
+    left = docs.join(gone, (docs["doc_id"].cast("long") == gone["_id"]) & (own == gone["_hash"]), "left_anti")
+    twice = shared.written(rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "pipeline-repeated")
+    shared.drop(rows)
     if twice.isEmpty():
         return left
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionAll(left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    again = left["doc_id"].cast("long") == twice["_id"]
+    return left.join(twice, again, "left_anti").unionAll(left.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
