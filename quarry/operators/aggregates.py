@@ -39,6 +39,21 @@ def merge_avg(state: str) -> Column:
     return F.when(F.sum(f"{state}.count") > 0, F.sum(f"{state}.sum") / F.sum(f"{state}.count"))
 
 
+def partial_variance(x: str | Column) -> Column:
+    """The state (count, mean, sum of squared differences from it) of the variance family."""
+    n, c = F.count(_c(x)), _c(x).cast("double")
+    return F.struct(n.alias("count"), F.avg(c).alias("mean"), (F.var_pop(c) * n).alias("m2"))
+
+
+def merge_variance(state: str, sample: bool = True) -> Column:
+    """The variance of partial states; null for fewer values than it needs."""
+    n = F.sum(f"{state}.count")
+    total = F.sum(F.col(f"{state}.count") * F.col(f"{state}.mean"))
+    square = F.sum(F.col(f"{state}.count") * F.col(f"{state}.mean") * F.col(f"{state}.mean"))
+    m2 = F.sum(f"{state}.m2") + square - total * total / n
+    return F.when(n > (1 if sample else 0), F.greatest(m2, F.lit(0.0)) / (n - 1 if sample else n))
+
+
 def masked(aggregate: Callable[[Column], Column], x: str | Column, mask: Column) -> Column:
     """An aggregate over the values whose mask is true."""
     return aggregate(F.when(mask, _c(x)))

@@ -52,6 +52,23 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return p.join(r, ["_bin", *(on or [])]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bin")
 
 
+def distance_join(left: DataFrame, right: DataFrame, at: tuple[str, str], right_at: tuple[str, str], radius: float) -> DataFrame:
+    """Pairs of points at most ``radius`` apart in the plane: an equi-join on the cells of a grid of that width.
+
+    Each row of ``right`` stands in its own cell and the eight around it, so a pair meets once.  ``right`` should be the
+    smaller side; points without a coordinate are in no pair.
+    """
+    def cell(c: str) -> Column:
+        return F.floor(F.col(c) / radius).cast("long")
+
+    steps = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
+    a = left.withColumn("_cx", cell(at[0])).withColumn("_cy", cell(at[1]))
+    b = right.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps))
+    b = b.withColumn("_cx", cell(right_at[0]) + F.col("_dx")).withColumn("_cy", cell(right_at[1]) + F.col("_dy")).drop("_dx", "_dy")
+    apart = [F.col(x) - F.col(y) for x, y in zip(at, right_at, strict=True)]
+    return a.join(b, ["_cx", "_cy"]).where(apart[0] * apart[0] + apart[1] * apart[1] <= radius * radius).drop("_cx", "_cy")
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], time: str, right_time: str, take: list[str], tie: list[Column] | None = None) -> DataFrame:
     """Each row of ``left`` with ``take`` of the latest row of ``right`` of the same ``by`` and ``right_time <= time``
     (nulls if there is none).  One shuffle by key: both sides are merged and the last right row is carried on."""

@@ -34,10 +34,11 @@ def agg_null_keys(spark, sf):
     return T(spark, sf, "nation").groupBy(F.nullif("n_regionkey", F.lit(1)).alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("agg_partial_final", "SELECT l_returnflag, round(sum(l_quantity), 2) AS s, round(avg(l_quantity), 6) AS a FROM lineitem GROUP BY 1")
+@query("agg_partial_final", "SELECT l_returnflag, round(sum(l_quantity), 2) AS s, round(avg(l_quantity), 6) AS a, round(stddev_samp(l_quantity), 6) AS d, round(var_pop(l_quantity), 4) AS v FROM lineitem GROUP BY 1")
 def agg_partial_final(spark, sf):
-    part = T(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(A.partial_sum("l_quantity").alias("state"))
-    return part.groupBy("l_returnflag").agg(_q(A.merge_sum("state"), 2).alias("s"), _q(A.merge_avg("state"), 6).alias("a"))
+    part = T(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(A.partial_sum("l_quantity").alias("state"), A.partial_variance("l_quantity").alias("square"))
+    out = part.groupBy("l_returnflag").agg(A.merge_sum("state").alias("s"), A.merge_avg("state").alias("a"), A.merge_variance("square").alias("d"), A.merge_variance("square", sample=False).alias("v"))
+    return out.select("l_returnflag", _q("s", 2).alias("s"), _q("a", 6).alias("a"), _q(F.sqrt("d"), 6).alias("d"), _q("v").alias("v"))
 
 
 @query("agg_pregrouped", "SELECT o_custkey, count(*) AS n, string_agg(o_orderpriority, ',' ORDER BY o_orderkey) AS p FROM orders GROUP BY 1")

@@ -391,6 +391,19 @@ def join_not_exists(spark, sf):
     return T(spark, sf, "customer").select("c_custkey").join(late, "c_custkey", "left_anti")
 
 
+@query("join_spatial", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON pow(c_acctbal / 100 - s_acctbal / 100, 2) + pow(c_nationkey - s_nationkey, 2) <= 4")
+def join_spatial(spark, sf):
+    c = T(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 100).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+    s = T(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") / 100).alias("u"), F.col("s_nationkey").cast("double").alias("v"))
+    return joins.distance_join(c, s, ("x", "y"), ("u", "v"), 2.0).select("c_custkey", "s_suppkey")
+
+
+@query("table_function", "SELECT n_nationkey, i::BIGINT AS i, i * n_regionkey AS x FROM nation, range(0, 5) AS t(i)")
+def table_function(spark, sf):
+    T(spark, sf, "nation").createOrReplaceTempView("nation")
+    return spark.sql("SELECT n_nationkey, id AS i, id * n_regionkey AS x FROM nation, LATERAL (SELECT id FROM range(0, 5))")
+
+
 @query("join_range", "SELECT p_partkey, k FROM part JOIN (SELECT s_suppkey AS k, 900 + s_suppkey * 11 AS lo, 900 + s_suppkey * 11 + 25 AS hi FROM supplier) ON p_retailprice >= lo AND p_retailprice < hi")
 def join_range(spark, sf):
     bands = T(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), (900 + F.col("s_suppkey") * 11).cast("double").alias("lo"), (925 + F.col("s_suppkey") * 11).cast("double").alias("hi"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import collections as C
@@ -9,6 +10,7 @@ from ..functions import datetimes as D
 from ..functions import documents as J
 from ..functions import mathematics as M
 from ..functions import strings as S
+from ..functions import user as U
 from ..registry import query
 from ..tables import table
 
@@ -486,3 +488,49 @@ def fn_map_more(spark, sf):
     m = F.create_map(F.lit("k"), F.col("n_nationkey"), F.lit("r"), F.col("n_regionkey"))
     pair = lambda v: F.struct(F.lit("x").alias("key"), F.col(v).alias("value"))
     return n.select("n_nationkey", C.map_top_n_keys(m, 2).alias("t"), C.multimap_from_entries(F.array(pair("n_nationkey"), pair("n_regionkey")))["x"].alias("m"), _r(C.map_normalize(m)["k"]).alias("w"), C.any_values_match(m, lambda v: v > 3).alias("v"))
+
+
+@query("user_scalar", "SELECT c_custkey, round(c_acctbal * 2 + c_nationkey, 4) AS x FROM customer")
+def user_scalar(spark, sf):
+    def weigh(a: pd.Series, b: pd.Series) -> pd.Series:
+        return a * 2 + b
+
+    U.scalar(spark, "weigh", weigh, "double")
+    T(spark, sf, "customer").createOrReplaceTempView("customer")
+    return spark.sql("SELECT c_custkey, round(weigh(c_acctbal, c_nationkey), 4) AS x FROM customer")
+
+
+class _Span:
+    """Greatest less least."""
+
+    def zero(self):
+        return None
+
+    def step(self, state, value):
+        return (value, value) if state is None else (min(state[0], value), max(state[1], value))
+
+    def merge(self, a, b):
+        return b if a is None else a if b is None else (min(a[0], b[0]), max(a[1], b[1]))
+
+    def finish(self, state):
+        return None if state is None else float(state[1] - state[0])
+
+
+@query("user_aggregate", "SELECT nullif(c_nationkey, 3) AS k, round(max(c_acctbal) - min(c_acctbal), 4) AS s FROM customer GROUP BY 1")
+def user_aggregate(spark, sf):
+    c = T(spark, sf, "customer").select(F.nullif("c_nationkey", F.lit(3)).alias("k"), "c_acctbal")
+    return U.aggregate(c, ["k"], "c_acctbal", _Span(), "double", "s").select("k", _r("s", 4).alias("s"))
+
+
+class _Digits:
+    def eval(self, key: int, n: int):
+        while n:
+            yield key, n % 10
+            n //= 10
+
+
+@query("user_table", "SELECT c_custkey, (c_custkey // (10 ** i)::BIGINT) % 10 AS digit FROM customer, range(0, 9) AS t(i) WHERE c_custkey >= (10 ** i)::BIGINT")
+def user_table(spark, sf):
+    U.table(spark, "digits", _Digits, "c_custkey bigint, digit bigint")
+    T(spark, sf, "customer").select("c_custkey").createOrReplaceTempView("keys")
+    return spark.sql("SELECT d.c_custkey, d.digit FROM keys, LATERAL digits(keys.c_custkey, keys.c_custkey) AS d")

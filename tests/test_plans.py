@@ -28,7 +28,7 @@ def test_top_n_is_no_sort(spark, sf):
     assert "TakeOrderedAndProject" in p and "Exchange range" not in p
 
 
-@pytest.mark.parametrize("name", ["join_range", "join_asof", "join_semi", "tpch_q21", "tpch_q17"])
+@pytest.mark.parametrize("name", ["join_range", "join_spatial", "join_asof", "join_semi", "tpch_q21", "tpch_q17"])
 def test_no_nested_loops(spark, sf, name):
     p = plan(spark, sf, name)
     assert "NestedLoop" not in p and "Cartesian" not in p
