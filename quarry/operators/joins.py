@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,15 +71,34 @@ def distance_join(left: DataFrame, right: DataFrame, at: tuple[str, str], right_
     return a.join(b, ["_cx", "_cy"]).where(apart[0] * apart[0] + apart[1] * apart[1] <= radius * radius).drop("_cx", "_cy")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], time: str, right_time: str, take: list[str], tie: list[Column] | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], time: str, right_time: str, take: list[str], tie: list[Column] | None = None, slice_of: Callable[[Column], Column] | None = None) -> DataFrame:
     """Each row of ``left`` with ``take`` of the latest row of ``right`` of the same ``by`` and ``right_time <= time``
-    (nulls if there is none).  One shuffle by key: both sides are merged and the last right row is carried on."""
+    (nulls if there is none, or no time).  One shuffle by key: both sides are merged and the last right row is carried on.
+
+    A key of very many rows would be one task; ``slice_of``, a function of the time that never falls (such as its day),
+    splits it: rows are merged within slices, and the last right row of each slice, one row for each key and slice, is
+    carried to those after it.
+    """
     own = [c for c in left.columns if c not in by]
     nothing = F.lit(None).cast(left.select(F.struct(*own)).schema[0].dataType)
     carried = right.select(F.struct(*take)).schema[0].dataType
+    right = right.where(F.col(right_time).isNotNull())
     a = left.select(*by, F.col(time).alias("_t"), F.lit(1).alias("_side"), F.struct(*own).alias("_l"), F.lit(None).cast(carried).alias("_r"), F.lit(0).alias("_tie"))
     rank = F.row_number().over(Window.partitionBy(*by, right_time).orderBy(*tie)) if tie else F.lit(0)
     b = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), nothing.alias("_l"), F.struct(*take).alias("_r"), rank.alias("_tie"))
-    w = Window.partitionBy(*by).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    merged = a.unionByName(b).withColumn("_last", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    parts = [*by] if slice_of is None else [*by, "_slice"]
+    rows = a.unionByName(b)
+    if slice_of is not None:
+        rows = rows.withColumn("_slice", slice_of(F.col("_t")))
+    w = Window.partitionBy(*parts).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    merged = rows.withColumn("_last", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    if slice_of is not None:
+        end = F.max_by("_r", F.when(F.col("_side") == 0, F.struct("_t", "_tie")))
+        before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        ends = rows.groupBy(*parts).agg(end.alias("_end")).withColumn("_before", F.last("_end", ignorenulls=True).over(before))
+        ends = ends.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(parts)], "_before")
+        on = F.lit(True)
+        for i, c in enumerate(parts):
+            on = on & merged[c].eqNullSafe(ends[f"_p{i}"])
+        merged = merged.join(ends, on, "left").withColumn("_last", F.coalesce("_last", F.when(F.col("_t").isNotNull(), F.col("_before"))))
     return merged.select(*by, "_l.*", *[F.col(f"_last.{c}").alias(c) for c in take])

@@ -410,16 +410,25 @@ def join_range(spark, sf):
     return joins.range_join(T(spark, sf, "part").select("p_partkey", "p_retailprice"), bands, "p_retailprice", "lo", "hi", 25.0).select("p_partkey", "k")
 
 
-@query(
-    "join_asof",
-    """WITH v AS (SELECT user_id, ts, max(event_id) AS last_view FROM events WHERE event_type = 'view' GROUP BY 1, 2), p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase')
-    SELECT p.event_id, p.user_id, v.last_view FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""",
-)
-def join_asof(spark, sf):
+_ASOF = """WITH v AS (SELECT user_id, ts, max(event_id) AS last_view FROM events WHERE event_type = 'view' GROUP BY 1, 2), p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase')
+    SELECT p.event_id, p.user_id, v.last_view FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts"""
+
+
+def _last_views(spark, sf, slice_of):
     e = T(spark, sf, "events")
     views = e.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("last_view"))
     bought = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    return joins.asof_join(bought, views, ["user_id"], "ts", "ts", ["last_view"]).select("event_id", "user_id", "last_view")
+    return joins.asof_join(bought, views, ["user_id"], "ts", "ts", ["last_view"], slice_of=slice_of).select("event_id", "user_id", "last_view")
+
+
+@query("join_asof", _ASOF)
+def join_asof(spark, sf):
+    return _last_views(spark, sf, None)
+
+
+@query("join_asof_sliced", _ASOF)
+def join_asof_sliced(spark, sf):
+    return _last_views(spark, sf, lambda t: F.date_trunc("day", t))
 
 
 @query("join_decorrelated", "SELECT o_orderkey, o_totalprice FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")

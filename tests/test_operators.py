@@ -149,6 +149,20 @@ def test_range_join_is_a_nested_loop(spark):
     assert got == {(a.x, b.i) for a in p.collect() for b in r.collect() if b.lo <= a.x < b.hi}
 
 
+def test_as_of_joins(spark):
+    """The latest row at or before, by a loop; whole keys and slices of them give the same."""
+    left = [(k, t, i) for i, (k, t) in enumerate(itertools.product([1, 2, None], [None, 0, 3, 7, 10, 25, 99]))]
+    right = [(1, 3, "a"), (1, 9, "b"), (1, 24, "c"), (2, 50, "d"), (None, 5, "e"), (None, None, "f"), (3, 1, "g"), (1, 9, "z")]
+    a, b = spark.createDataFrame(left, "k int, t int, i int"), spark.createDataFrame(right, "k int, u int, x string")
+    want = {}
+    for k, t, i in left:
+        found = [(u, x) for j, u, x in right if j == k and u is not None and t is not None and u <= t]
+        want[i] = max(found)[1] if found else None
+    for slice_of in (None, lambda t: F.floor(t / 10), lambda t: t):
+        got = joins.asof_join(a, b, ["k"], "t", "u", ["x"], [F.col("x")], slice_of).collect()
+        assert {r.i: r.x for r in got} == want and len(got) == len(left)
+
+
 def test_broadcast_is_checked(spark):
     assert "ResolvedHint" in joins.broadcast_if_small(spark.range(10))._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" not in joins.broadcast_if_small(spark.range(10**9))._jdf.queryExecution().analyzed().toString()
