@@ -12,7 +12,10 @@ BROADCAST_BYTES = 64 << 20
 
 
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its estimated size is at most ``most``; else the planner shuffles as usual."""
+    """``df`` with a broadcast hint if its estimated size is at most ``most``; else, and where no estimate can be had (a
+    remote client), the planner decides."""
+    if not hasattr(df, "_jdf"):
+        return df
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return F.broadcast(df) if size <= most else df
 

@@ -259,6 +259,33 @@ def expr_arith_decimal(spark, sf):
     return T(spark, sf, "part").select("p_partkey", (s + F.lit("1.25").cast("decimal(4,2)")).cast("decimal(12,2)").alias("a"), (s * F.lit("1.5").cast("decimal(3,1)")).cast("decimal(14,3)").alias("m"))
 
 
+@query(
+    "expr_coercion",
+    "SELECT p_partkey, p_size + p_partkey AS a, p_size + p_retailprice AS b, p_size::DECIMAL(10,2) + 1.5::DECIMAL(4,1) AS c, p_size::DECIMAL(10,2) - p_partkey::DECIMAL(12,1) AS d, p_size > p_partkey / 50.0::DOUBLE AS e, coalesce(nullif(p_size, 7)::BIGINT, p_partkey) AS f, p_size::SMALLINT = 7 AS g FROM part",
+)
+def expr_coercion(spark, sf):
+    s, k = F.col("p_size"), F.col("p_partkey")
+    d = s.cast("decimal(10,2)")
+    return T(spark, sf, "part").select(
+        "p_partkey", (s + k).alias("a"), (s + F.col("p_retailprice")).alias("b"), (d + F.lit("1.5").cast("decimal(4,1)")).alias("c"), (d - k.cast("decimal(12,1)")).alias("d"), (s > k / 50.0).alias("e"), F.coalesce(F.nullif(s, F.lit(7)), k).alias("f"), (s.cast("smallint") == 7).alias("g"),
+    )
+
+
+@query(
+    "expr_literals",
+    "SELECT n_nationkey, n_nationkey + 12345678901234.5678::DECIMAL(18,4) AS d, n_name::BLOB || '\\x00\\xFF'::BLOB AS b, DATE '2019-10-31' + n_nationkey AS t, TIMESTAMP '2012-10-31 05:30:00' + INTERVAL 1 HOUR * n_nationkey AS s, CASE WHEN n_nationkey > 3 THEN NULL ELSE 1.5::FLOAT END AS r, NULL::BIGINT AS n, n_nationkey::TINYINT AS y FROM nation",
+)
+def expr_literals(spark, sf):
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    k = F.col("n_nationkey")
+    return T(spark, sf, "nation").select(
+        "n_nationkey", (k.cast("decimal(10,0)") + F.lit(Decimal("12345678901234.5678"))).cast("decimal(19,4)").alias("d"), F.concat(F.col("n_name").cast("binary"), F.lit(b"\x00\xff")).alias("b"), F.date_add(F.lit(date(2019, 10, 31)), k).alias("t"),
+        (F.lit(datetime(2012, 10, 31, 5, 30)).cast("timestamp_ntz") + F.make_interval(hours=k)).alias("s"), F.when(k > 3, F.lit(None)).otherwise(F.lit(1.5)).cast("float").alias("r"), F.lit(None).cast("bigint").alias("n"), k.cast("tinyint").alias("y"),
+    )
+
+
 @query("expr_try", "SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN NULL ELSE n_nationkey / n_regionkey END AS q, [10, 20][n_regionkey] AS e, TRY_CAST('x' || n_regionkey AS INTEGER) AS c, CASE WHEN n_nationkey < 16 THEN n_nationkey::BIGINT * 600000000000000000 END AS o FROM nation")
 def expr_try(spark, sf):
     from ..functions.collections import try_subscript
@@ -282,11 +309,11 @@ def unnest_several(spark, sf):
     return both.select("n_nationkey", "m.key", "m.value", "s").toDF("n_nationkey", "k", "v", "s")
 
 
-@query("sample_bernoulli", "SELECT true AS subset, true AS within FROM (SELECT 1)")
+@query("sample_bernoulli", "SELECT l_returnflag, count(*) AS n, true AS subset, true AS within FROM lineitem GROUP BY 1")
 def sample_bernoulli(spark, sf):
-    line = T(spark, sf, "lineitem").select("l_orderkey")
-    n, k = line.agg(F.count(F.lit(1)).alias("n")), line.sample(fraction=0.5, seed=7).agg(F.count(F.lit(1)).alias("k"))
-    return n.crossJoin(k).select((F.col("k") < F.col("n")).alias("subset"), (F.abs(F.col("k") / F.col("n") - 0.5) < 0.1).alias("within"))
+    line = T(spark, sf, "lineitem").select("l_returnflag")
+    n, k = line.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")), line.sample(fraction=0.5, seed=7).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("k"))
+    return n.join(k, "l_returnflag").select("l_returnflag", "n", (F.col("k") < F.col("n")).alias("subset"), (F.abs(F.col("k") / F.col("n") - 0.5) < 0.1).alias("within"))
 
 
 # Joins.
@@ -367,6 +394,13 @@ def join_mark(spark, sf):
     return joins.mark_join(marked, r.where("false"), "k", "r_regionkey", "e").drop("k")
 
 
+@query("join_mark_within", "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) THEN 'large' WHEN c_acctbal < 0 THEN 'owing' ELSE 'other' END AS kind FROM customer WHERE c_acctbal > 9000 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) OR c_acctbal < 0")
+def join_mark_within(spark, sf):
+    large = T(spark, sf, "orders").where("o_totalprice > 400000").select("o_custkey")
+    m = joins.mark_join(T(spark, sf, "customer").select("c_custkey", "c_acctbal"), large, "c_custkey", "o_custkey", "m")
+    return m.where("c_acctbal > 9000 OR m OR c_acctbal < 0").select("c_custkey", F.when(F.col("m"), "large").when(F.col("c_acctbal") < 0, "owing").otherwise("other").alias("kind"))
+
+
 @query("join_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 def join_semi(spark, sf):
     return joins.semi_join(T(spark, sf, "customer").select("c_custkey"), T(spark, sf, "orders").where("o_totalprice > 450000"), "c_custkey", "o_custkey")
