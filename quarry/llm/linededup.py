@@ -8,6 +8,11 @@ it has as many.  The ends of lines count in a gram, but it may end inside anothe
 and end inside lines.  If a gram has stood before (by doc_id, then place, in any text), its line goes, and with a gram
 from the first word on all lines that are whole in it.
 
+This is winnowing with a window of one gram: every gram is a fingerprint, not the least of several.  With wider windows
+a fingerprint has to stand for its neighbours, so its match must be extended against a partner; with one partner for each
+fingerprint, a run that a text shares only with another holder stays, and all partners of a common fingerprint are too
+many.  Here each line is asked for itself whether it stood before, in whatever text, so runs are whole without that.
+
 So of a repeated run of whole lines with ``GRAM`` words or more every line goes.  A passage of ``WINDOW`` words has
 ``GRAM`` of them from the start or up to the end of any line whole in it, as ``GRAM`` is half of it; so every line that
 is whole in a repeated passage of ``WINDOW`` words, here and where it stood before, goes.  Both hold whatever other texts
@@ -114,7 +119,8 @@ def repeated_lines(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     (in these lists) of the lines to delete, ascending (null if none).
 
     ``id`` is the doc_id, a null counting as the greatest, ``th`` a hash of the text; texts are ordered by both.
-    Rows that agree in both are one text, which is not a repetition of itself.  Null texts have no lines.
+    Rows that agree in both are one text, which is not a repetition of itself.  Null texts have no lines; very long texts
+    are taken whole.
     """
     id_, th = _keys(docs)
     own = docs.select(id_.alias("id"), th.alias("th"), F.col("text").cast("string").alias("text"))
@@ -123,12 +129,14 @@ def repeated_lines(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     mark = signed.select("id", "th", F.inline("marks"))
     at = F.struct("id", "th", "i")
     # repeated rows hold their grams at the same places, so their first and last holders agree
-    first = mark.groupBy("g").agg(F.min(at).alias("f"), F.max(at).alias("z")).where("f != z").select("g", "f")
     # written, so that the join has plain shuffles on both sides: a gram that very many texts hold is then split
-    hit = mark.join(shared.written(first, "lines-first"), "g").where("NOT (f.id = id AND f.th = th AND f.i = i)")
+    first = shared.written(mark.groupBy("g").agg(F.min(at).alias("f"), F.max(at).alias("z")).where("f != z").select("g", "f"), "lines-first")
+    hit = mark.join(first, "g").where("NOT (f.id = id AND f.th = th AND f.i = i)")
     gone = hit.groupBy("id", "th").agg(F.collect_set(F.struct("i", "e")).alias("runs"))
     gone = gone.select("id", "th", F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["i"], r["e"]))))).alias("gone"))
-    return signed.select("id", "th", "sizes", "numbers").join(gone, ["id", "th"], "left")
+    out = shared.written(signed.select("id", "th", "sizes", "numbers").join(gone, ["id", "th"], "left"), "lines-repeated")
+    shared.drop(signed, first)
+    return out
 
 
 def line_report(docs: DataFrame) -> DataFrame:
