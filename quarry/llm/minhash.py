@@ -196,15 +196,15 @@ def _joined(docs: DataFrame, reps: DataFrame, members: DataFrame, k: int, percen
         else:
             named = comps.select(F.col("node").alias("_n"), "component")
             labelled = now.drop("comp").join(named, now.node == F.col("_n"), "left").select("bucket", "node", "size", "salts", "salt", F.coalesce("component", "node").alias("comp"))
-            mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-            was, now = now, shared.written(labelled.join(mixed, "bucket"), "minhash-open")
+            mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("salts").alias("salts")).where("lo <> hi").select("bucket", _pieces())
+            was, now = now, shared.written(labelled.join(mixed, ["bucket", "salt"]), "minhash-open")
             if step > 1:
                 shared.drop(was)
         if now.isEmpty():
             break
         if step < ROUNDS:
             lead = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "size", "comp")).alias("l"), F.max("salts").alias("salts"))
-            lead = lead.select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("l.node").alias("x"), F.col("l.size").alias("nx"), F.col("l.comp").alias("cx"))
+            lead = lead.select("bucket", _pieces(), F.col("l.node").alias("x"), F.col("l.size").alias("nx"), F.col("l.comp").alias("cx"))
             pairs = now.join(lead, ["bucket", "salt"]).where((F.col("cx") != F.col("comp")) & _near("nx", "size", percent))
             pairs = pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
             outside = []
@@ -221,12 +221,17 @@ def _joined(docs: DataFrame, reps: DataFrame, members: DataFrame, k: int, percen
     return comps
 
 
+def _pieces():
+    """A row for each piece into which a bucket is dealt."""
+    return F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+
+
 def _outside(now: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """Pairs (a, b) of unlike components that may reach the threshold, one of them outside a bucket's main component;
     and the tables that they are read from."""
-    tally = now.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    main = tally.groupBy("bucket").agg(F.max_by("comp", F.struct("n", F.negative("comp"))).alias("main"))
-    reps = shared.written(now.join(main, "bucket").groupBy("node", "size", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("out")), "minhash-outside")
+    tally = now.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.max("salts").alias("salts"))
+    main = tally.groupBy("bucket").agg(F.max_by("comp", F.struct("n", F.negative("comp"))).alias("main"), F.max("salts").alias("salts")).select("bucket", "main", _pieces())
+    reps = shared.written(now.join(main, ["bucket", "salt"]).groupBy("node", "size", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("out")), "minhash-outside")
     token = sets.join(reps, "node", "left_semi").select("node", F.explode("shingles").alias("t"))
     common = token.groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
     # shingles that only one set has come first and meet nothing: they only shift the places of the others
