@@ -9,7 +9,7 @@ back-references are then followed together.
 The encoder (``encode_grey``) takes many images of 8-bit samples at once.  A sample is a pixel of equal red, green and
 blue, which subtract-green turns into green alone, or, where an image has few values, a palette that packs several
 pixels into one.  Where the differences from the pixel to the left or above are told in fewer bits than the samples, the
-predictor transform is used.  Repeated runs become back-references.  A colour cache, cross-colour and meta codes would
+predictor transform is used.  Repeated words and runs become back-references.  A colour cache, cross-colour and meta codes would
 say nothing of such images that their green does not say already, so the encoder leaves them out.
 """
 
@@ -38,7 +38,7 @@ DISTANCES = (
 # fmt: on
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 _CACHE_MUL = 0x1E35A7BD
-FAST_BITS = 12
+FAST_BITS = 10
 
 
 class BadImage(ValueError):
@@ -110,11 +110,18 @@ class Code:
         return s
 
 
+@lru_cache(512)
+def _one(symbol: int) -> Code:
+    return Code([0] * symbol + [1])
+
+
 def _read_code(bits: Bits, size: int) -> Code:
     lengths = [0] * size
     if bits.read(1):
         two = bits.read(1)
         first = bits.read(8 if bits.read(1) else 1)
+        if not two and first < size:
+            return _one(first)
         symbols = [first, bits.read(8)] if two else [first]
         for s in symbols:
             if s >= size:
@@ -371,8 +378,15 @@ def decode(image: bytes) -> np.ndarray:
 def code_lengths(count: np.ndarray, most: int) -> np.ndarray:
     """Lengths, ``most`` at the utmost, of a complete prefix code; two symbols at least have a count."""
     used = np.flatnonzero(count)
-    used = used[np.argsort(count[used], kind="stable")]
-    weight = count[used].tolist()
+    out = np.zeros(len(count), np.int64)
+    out[used] = _lengths(count[used], most)
+    return out
+
+
+def _lengths(count: np.ndarray, most: int) -> np.ndarray:
+    """``code_lengths`` of symbols that all have a count."""
+    order = np.argsort(count, kind="stable")
+    weight = count[order].tolist()
     n = len(weight)
     while True:
         # leaves ascend, and so do the nodes made of them: the least two stand at the head of either row
@@ -380,23 +394,28 @@ def code_lengths(count: np.ndarray, most: int) -> np.ndarray:
         parent = [0] * (2 * n - 1)
         leaf = node = 0
         for own in range(n, 2 * n - 1):
-            total = 0
-            for _ in range(2):
-                if node >= len(made) or (leaf < n and weight[leaf] <= made[node]):
-                    total += weight[leaf]
-                    parent[leaf] = own
-                    leaf += 1
-                else:
-                    total += made[node]
-                    parent[n + node] = own
-                    node += 1
-            made.append(total)
+            if leaf < n and (node >= len(made) or weight[leaf] <= made[node]):
+                total = weight[leaf]
+                parent[leaf] = own
+                leaf += 1
+            else:
+                total = made[node]
+                parent[n + node] = own
+                node += 1
+            if leaf < n and (node >= len(made) or weight[leaf] <= made[node]):
+                made.append(total + weight[leaf])
+                parent[leaf] = own
+                leaf += 1
+            else:
+                made.append(total + made[node])
+                parent[n + node] = own
+                node += 1
         depth = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
         if depth[0] <= most:
-            out = np.zeros(len(count), np.int64)
-            out[used] = depth[:n]
+            out = np.empty(n, np.int64)
+            out[order] = depth[:n]
             return out
         weight = [(c + 1) >> 1 for c in weight]
 
@@ -405,11 +424,17 @@ def _codes(lengths: np.ndarray) -> np.ndarray:
     """The code of each symbol with its bits in reading order."""
     out = np.zeros(len(lengths), np.int64)
     used = np.flatnonzero(lengths)
-    used = used[np.argsort(lengths[used], kind="stable")]
-    n = lengths[used]
+    out[used] = _in_order(lengths[used])
+    return out
+
+
+def _in_order(lengths: np.ndarray) -> np.ndarray:
+    """``_codes`` of symbols that all have a length."""
+    order = np.argsort(lengths, kind="stable")
+    n = lengths[order]
     step = 1 << (15 - n)
-    code = (np.cumsum(step) - step) >> (15 - n)
-    out[used] = _REVERSED[code] >> (15 - n)
+    out = np.empty(len(n), np.int64)
+    out[order] = _REVERSED[(np.cumsum(step) - step) >> (15 - n)] >> (15 - n)
     return out
 
 
@@ -429,38 +454,30 @@ def _zeros(n: int) -> list[tuple[int, int, int]]:
     return out + ([(18, n - 11, 7)] if n >= 11 else [(17, n - 3, 3)] if n >= 3 else [(0, 0, 0)] * n)
 
 
-def _put_code(out: _Writer, lengths: np.ndarray) -> None:
-    """A prefix code by the lengths of its symbols (two of them at least), zeros in runs."""
-    tokens: list[tuple[int, int, int]] = []
-    used = np.flatnonzero(lengths)
-    before = -1
-    for s, n in zip(used.tolist(), lengths[used].tolist(), strict=True):
+#: The code of code lengths that the encoder uses for all its codes: lengths by symbol.
+_META = {0: 5, 1: 4, 2: 5, 3: 4, 4: 4, 5: 3, 6: 3, 7: 3, 8: 3, 9: 4, 10: 4, 17: 4, 18: 4}
+_META_CODE = dict(zip(_META, _in_order(np.array(list(_META.values()))).tolist(), strict=True))
+_META_KEPT = max(k for k, s in enumerate(CODE_LENGTH_ORDER) if s in _META) + 1
+_META_HEAD = (_META_KEPT - 4) << 1 | sum(_META.get(s, 0) << (5 + 3 * k) for k, s in enumerate(CODE_LENGTH_ORDER[:_META_KEPT]))
+_RUN = {n: _zeros(n) for n in range(1, 280)}
+
+
+def _put_code(out: _Writer, used: np.ndarray, lengths: np.ndarray) -> None:
+    """A prefix code by its symbols (two at least) and their lengths, zeros in runs."""
+    value, at, n_tokens, before = 0, 0, 0, -1
+    for s, n in zip(used.tolist(), lengths.tolist(), strict=True):
         if s > before + 1:
-            tokens += _zeros(s - before - 1)
-        tokens.append((n, 0, 0))
+            for t, extra, few in _RUN[s - before - 1]:
+                value |= (_META_CODE[t] | extra << _META[t]) << at
+                at += _META[t] + few
+                n_tokens += 1
+        value |= _META_CODE[n] << at
+        at += _META[n]
+        n_tokens += 1
         before = s
-    count = [0] * 19
-    for t in tokens:
-        count[t[0]] += 1
-    if len(tokens) < 2:
-        tokens.append((0, 0, 0))
-    if sum(c > 0 for c in count) < 2:
-        count[0 if count[0] == 0 else 1] += 1
-    meta = code_lengths(np.array(count), 7)
-    code, size = _codes(meta).tolist(), meta.tolist()
-    kept = max(4, max(k for k, s in enumerate(CODE_LENGTH_ORDER) if size[s]) + 1)
-    out.put(0, 1)
-    out.put(kept - 4, 4)
-    value = at = 0
-    for s in CODE_LENGTH_ORDER[:kept]:
-        value |= size[s] << at
-        at += 3
-    wide = 3 if len(tokens) < 258 else 4  # eight bits or ten for the number of tokens
-    value |= (1 | wide << 1 | (len(tokens) - 2) << 4) << at
-    at += 6 + 2 * wide
-    for s, extra, n in tokens:
-        value |= (code[s] | extra << size[s]) << at
-        at += size[s] + n
+    wide = 3 if n_tokens < 258 else 4  # eight bits or ten for the number of tokens
+    out.put(_META_HEAD, 5 + 3 * _META_KEPT)
+    out.put(1 | wide << 1 | (n_tokens - 2) << 4, 6 + 2 * wide)
     out.put(value, at)
 
 
@@ -481,6 +498,7 @@ PIXELS = 1 << 16
 _SYMBOL, _EXTRA, _REST = _prefixes(PIXELS + 120)
 
 
+@lru_cache(16)
 def _near(width: int) -> np.ndarray:
     """The distance code of each distance up to PIXELS."""
     code = np.arange(PIXELS + 1) + 120
@@ -492,54 +510,88 @@ def _near(width: int) -> np.ndarray:
 
 
 _HASH = np.uint64(0x9E3779B97F4A7C15)
+_BYTE_ENDS = [np.uint64((1 << 8 * k) - 1) for k in range(1, 8)]
+
+
+def _eights(x: np.ndarray) -> np.ndarray:
+    """At each byte the eight from there on as one number; zeros follow the end."""
+    n = len(x)
+    wide = np.zeros((n + 31) // 8 * 8, np.uint8)
+    wide[:n] = x
+    out = np.empty(len(wide) - 8, "<u8")
+    for k in range(8):
+        own = wide[k : k + (len(wide) - 8 - k + 7) // 8 * 8].view("<u8")
+        out[k::8] = own[: len(out[k::8])]
+    return out
 
 
-def _matches(x: np.ndarray, image: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(length, distance) of the match of each sample with the last place in its image that has the same LEAST samples;
-    length 1 where there is none.  ``stop`` is the end of each sample's image."""
+
+def _matches(x: np.ndarray, image: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, distance), places ascending, of matches of LEAST samples or more within an image: from a blank on
+    with the last blank that the same samples follow, and from the second sample of a run on with the first.  ``stop`` is
+    the end of each sample's image.  Words repeat more often than parts of words, so little is lost by that choice."""
     n = len(x)
-    wide = np.concatenate([x, np.zeros(16, np.uint8)])
-    eight = np.lib.stride_tricks.as_strided(wide, (n + 8, 8), (1, 1)).copy().view("<u8").reshape(-1)
-    size, back = np.ones(n, np.int64), np.zeros(n, np.int64)
+    eight = _eights(x)
+    blank = np.flatnonzero((x == 0x20) | (x == 0x0A))
     # sorted by a hash of the image and the samples, and then by place, in one number
-    four = (image.astype(np.uint64) << np.uint64(32)) | (eight[:n] & np.uint64(0xFFFFFFFF))
-    key = np.sort((four * _HASH & ~np.uint64(0xFFFFFFFF)) | np.arange(n, dtype=np.uint64))
-    place = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    at, was = place[1:], place[:-1]
-    ok = np.flatnonzero(((key[1:] ^ key[:-1]) >> np.uint64(32) == 0) & (stop[at] - at >= LEAST))
-    at, was = at[ok], was[ok]
-    ok = four[at] == four[was]
-    at, was = at[ok], was[ok]
+    four = (image[blank].astype(np.uint64) << np.uint64(32)) | (eight[blank] & np.uint64(0xFFFFFFFF))
+    key = np.sort((four * _HASH & ~np.uint64(0xFFFFFFFF)) | np.arange(len(blank), dtype=np.uint64))
+    same = np.flatnonzero((key[1:] ^ key[:-1]) >> np.uint64(32) == 0)
+    here, there = (key[same + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64), (key[same] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    ok = four[here] == four[there]
+    back = np.zeros(n, np.int64)
+    back[blank[here[ok]]] = blank[here[ok]] - blank[there[ok]]
+    equal = np.zeros(n + LEAST, bool)
+    equal[1:n] = (x[1:] == x[:-1]) & (image[1:] == image[:-1])
+    run = equal[:n] & ~np.concatenate([[False], equal[: n - 1]])
+    for k in range(1, LEAST):
+        run &= equal[k : n + k]
+    back[run] = 1
+    at = np.flatnonzero(back)
+    at = at[stop[at] - at >= LEAST]
+    was = at - back[at]
     room = np.minimum(stop[at] - at, MOST)
     length = np.full(len(at), LEAST)
-    live = np.arange(len(at))
+    live, a, p = np.arange(len(at)), at + LEAST, was + LEAST
     while len(live):
-        a, p = at[live] + length[live], was[live] + length[live]
         differ = eight[a] ^ eight[p]
         # the first byte that differs, by the lowest bit that is set
         low = differ & (~differ + np.uint64(1))
-        equal = np.where(differ == 0, 8, (np.frexp(low.astype(np.float64))[1] - 1) >> 3)
-        length[live] = np.minimum(length[live] + equal, room[live])
-        live = live[(equal == 8) & (length[live] < room[live])]
-    size[at], back[at] = length, at - was
-    return size, back
+        equal = (low > _BYTE_ENDS[0]).astype(np.int64)
+        for end in _BYTE_ENDS[1:]:
+            equal += low > end
+        whole = differ == 0
+        equal[whole] = 8
+        length[live] += equal
+        whole &= length[live] < room[live]
+        live, a, p = live[whole], a[whole] + 8, p[whole] + 8
+    return at, np.minimum(length, room), at - was
 
 
 def _tokens(x: np.ndarray, bounds: np.ndarray, width: int):
-    """A greedy parse of the images that ``bounds`` parts: of each literal or back-reference its image, green symbol,
-    length's extra bits and their number, distance symbol (-1: a literal), distance's extra bits and their number."""
+    """A greedy parse of the images that ``bounds`` parts: of each literal or back-reference its image and green symbol;
+    and which of them are back-references, with the length's extra bits and their number, the distance's symbol, its
+    extra bits and their number."""
     image = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    size, back = _matches(x, image, bounds[1:][image])
-    step = (np.arange(len(x)) + size).tolist()
-    places, at, end = [], 0, len(x)
-    while at < end:
-        places.append(at)
-        at = step[at]
-    at = np.array(places, np.int64)
-    n, code = size[at], _near(width)[back[at]]
-    far = n > 1
-    green = np.where(far, 256 + _SYMBOL[n], x[at])
-    return image[at], green, np.where(far, _REST[n], 0), np.where(far, _EXTRA[n], 0), np.where(far, _SYMBOL[code], -1), np.where(far, _REST[code], 0), np.where(far, _EXTRA[code], 0)
+    at, n, back = _matches(x, image, bounds[1:][image])
+    # from a match on to the first one that begins at its end or later
+    before = np.zeros(len(x) + 1, np.int64)
+    before[at + 1] = 1
+    further = np.cumsum(before)[at + n].tolist()
+    taken, k, end = [], 0, len(further)
+    while k < end:
+        taken.append(k)
+        k = further[k]
+    at, n, back = at[taken], n[taken], back[taken]
+    inner = np.zeros(len(x) + 1, np.int8)
+    inner[at + 1] += 1
+    inner[at + n] -= 1
+    places = np.flatnonzero(np.cumsum(inner[:-1], dtype=np.int8) == 0)
+    far = np.searchsorted(places, at)
+    green = x[places].astype(np.int64)
+    green[far] = 256 + _SYMBOL[n]
+    code = _near(width)[back]
+    return image[places], green, far, _REST[n], _EXTRA[n], _SYMBOL[code], _REST[code], _EXTRA[code]
 
 
 def _put_single(out: _Writer, symbol: int) -> None:
@@ -550,16 +602,17 @@ def _put_single(out: _Writer, symbol: int) -> None:
 
 def _fitted(out: _Writer, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stores a code that fits ``count``; (lengths, codes)."""
+    lengths, codes = np.zeros(len(count), np.int64), np.zeros(len(count), np.int64)
     used = np.flatnonzero(count)
     if len(used) < 2 and (not len(used) or used[0] < 256):
         _put_single(out, int(used[0]) if len(used) else 0)
-        return np.zeros(len(count), np.int64), np.zeros(len(count), np.int64)
+        return lengths, codes
     if len(used) < 2:
-        count = count.copy()
-        count[0] += 1
-    lengths = code_lengths(count, FAST_BITS)
-    _put_code(out, lengths)
-    return lengths, _codes(lengths)
+        used = np.array([0, used[0]])
+    n = _lengths(np.maximum(count[used], 1), FAST_BITS)
+    _put_code(out, used, n)
+    lengths[used], codes[used] = n, _in_order(n)
+    return lengths, codes
 
 
 def _entropy(count: np.ndarray) -> np.ndarray:
@@ -672,11 +725,10 @@ def _coded(heads: list[_Writer], parts: list[np.ndarray], width: int, alpha: lis
     """The files: each head followed by the codes and the tokens of its green plane.  All tokens are laid into one array
     of 64-bit words, in which every file begins at a word."""
     bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    own, green, rest, extra, dist, rest_d, extra_d = _tokens(np.concatenate(parts), bounds, width)
-    far = dist >= 0
+    own, green, far, rest, extra, dist, rest_d, extra_d = _tokens(np.concatenate(parts), bounds, width)
     n = len(parts)
     count = np.bincount(own * 280 + green, minlength=280 * n).reshape(n, 280)
-    count_d = np.bincount(own[far] * 40 + dist[far], minlength=40 * n).reshape(n, 40)
+    count_d = np.bincount(own[far] * 40 + dist, minlength=40 * n).reshape(n, 40)
     lengths, codes, lengths_d, codes_d = (np.zeros((n, m), np.int64) for m in (280, 280, 40, 40))
     for k, head in enumerate(heads):
         lengths[k], codes[k] = _fitted(head, count[k])
@@ -684,12 +736,13 @@ def _coded(heads: list[_Writer], parts: list[np.ndarray], width: int, alpha: lis
         _put_single(head, 0)
         _put_single(head, 255 if alpha[k] else 0)  # differences and indices have none
         lengths_d[k], codes_d[k] = _fitted(head, count_d[k])
-    value, size = codes[own, green], lengths[own, green]
-    value, size = value | rest << size, size + extra
-    d = np.maximum(dist, 0)
-    value = value | np.where(far, codes_d[own, d], 0) << size
-    size = size + np.where(far, lengths_d[own, d], 0)
-    value, size = value | rest_d << size, size + extra_d
+    cell = own * 280 + green
+    value, size = codes.reshape(-1)[cell], lengths.reshape(-1)[cell]
+    # a back-reference goes on with the length's bits, the distance and the distance's bits
+    cell = own[far] * 40 + dist
+    v, z = value[far] | rest << size[far], size[far] + extra
+    v, z = v | codes_d.reshape(-1)[cell] << z, z + lengths_d.reshape(-1)[cell]
+    value[far], size[far] = v | rest_d << z, z + extra_d
     total = np.bincount(own, weights=size, minlength=n).astype(np.int64) + np.array([h.n for h in heads])
     base = np.concatenate([[0], np.cumsum(-(-total // 64) + 1)])
     before = np.cumsum(size) - size
@@ -747,21 +800,22 @@ def _lane(chunk: bytes) -> _Lane | None:
     return _Lane(w, h, across, transforms, bits.at, green, dist, (red.single, blue.single, alpha.single))
 
 
-def _fast_table(code: Code) -> np.ndarray:
-    """For each FAST_BITS bits ahead: the symbol, and above it the number of bits that it takes."""
+def _fast_table(code: Code, told: np.ndarray) -> np.ndarray:
+    """For each FAST_BITS bits ahead: ``told`` of the symbol, with the number of bits that it takes in the lowest four."""
     if code.single is not None:
-        return np.full(1 << FAST_BITS, code.single, np.uint16)
+        return np.full(1 << FAST_BITS, told[code.single])
     n, s = np.array(code.used).T
-    return np.repeat((s | n << 9).astype(np.uint16), 1 << (FAST_BITS - n))[_FAST_REVERSED]
+    return np.repeat(told[s] | n, 1 << (FAST_BITS - n))[_FAST_REVERSED]
 
 
 _DX, _DY = np.array(DISTANCES).T
 _STEP = np.arange(40)
 _FEW = np.where(_STEP < 4, 0, (_STEP - 2) >> 1)
 _BASE = np.where(_STEP < 4, _STEP + 1, ((2 + (_STEP & 1)) << _FEW) + 1)
-#: By green symbol: the least length that it tells, 1 for a literal, and its extra bits.
-_LENGTH = np.concatenate([np.ones(256, np.int64), _BASE[:24]])
-_LENGTH_BITS = np.concatenate([np.zeros(256, np.int64), _FEW[:24]])
+#: By green symbol, from bit 4 on: its extra bits (4), whether it is a length (1), the literal or the least length.
+_GREEN = np.concatenate([np.arange(256) << 9, _FEW[:24] << 4 | 1 << 8 | _BASE[:24] << 9])
+#: By distance symbol: its extra bits (4), the least distance code.
+_FAR = _FEW << 4 | _BASE << 8
 
 
 def _greens(lanes: list[_Lane], chunks: list[bytes]) -> list[np.ndarray]:
@@ -771,55 +825,61 @@ def _greens(lanes: list[_Lane], chunks: list[bytes]) -> list[np.ndarray]:
     repeats, and pointers are doubled until all end at literals.
     """
     total = np.array([c.across * c.height for c in lanes])
-    data = np.frombuffer(b"".join(c + bytes(8) for c in chunks) + bytes(64), np.uint8)
+    data = np.frombuffer(b"".join(c + bytes(8) for c in chunks) + bytes(512), np.uint8)
     begin = np.cumsum([0] + [len(c) + 8 for c in chunks[:-1]]) * 8
     limit = begin + np.array([8 * len(c) for c in chunks])
     pos = begin + np.array([c.at for c in lanes])
-    ahead = np.lib.stride_tricks.as_strided(data, (len(data) - 8, 8), (1, 1)).copy().view("<u8").reshape(-1)
-    table = np.concatenate([_fast_table(c) for lane in lanes for c in (lane.green, lane.dist)])
+    # as signed numbers, so that all arrays are of one type: of the bits ahead only the lower 52 are looked at
+    ahead = _eights(data).view(np.int64)
+    table = np.concatenate([t for lane in lanes for t in (_fast_table(lane.green, _GREEN), _fast_table(lane.dist, _FAR))])
     where = np.arange(len(lanes)) * 2 << FAST_BITS
     across = np.array([c.across for c in lanes])
     made = np.zeros(len(lanes), np.int64)
-    mask, one = np.uint64((1 << FAST_BITS) - 1), np.uint64(1)
+    mask, low = (1 << FAST_BITS) - 1, np.array([(1 << k) - 1 for k in range(16)])
     live = np.arange(len(lanes))
     seen: list[tuple[np.ndarray, ...]] = []
     while len(live):
-        p, t = pos[live], where[live]
-        goal, have, end = total[live], made[live], limit[live]
-        for _ in range(32):
-            x = ahead[p >> 3] >> (p & 7).astype(np.uint64)
-            e = table[t + (x & mask).astype(np.int64)].astype(np.int64)
-            symbol, bits = e & 511, e >> 9
-            x = x >> bits.astype(np.uint64)
-            some = _LENGTH_BITS[symbol]
-            some_ = some.astype(np.uint64)
-            n = _LENGTH[symbol] + (x & ((one << some_) - one)).astype(np.int64)
-            x = x >> some_
-            e = table[t + (1 << FAST_BITS) + (x & mask).astype(np.int64)].astype(np.int64)
-            far = symbol > 255
-            x = x >> (e >> 9).astype(np.uint64)
-            prefix = e & 511
-            more = _FEW[prefix]
-            d = np.where(far, _BASE[prefix] + (x & ((one << more.astype(np.uint64)) - one)).astype(np.int64), 0)
-            bits = bits + some + np.where(far, (e >> 9) + more, 0)
+        p, green, dist = pos[live], where[live], where[live] + (1 << FAST_BITS)
+        goal, have = total[live], made[live]
+        sizes, tells = np.empty((32, len(live)), np.int16), np.empty((32, len(live)), np.int32)
+        # 32 tokens take 180 bytes at most, so no lane that is read beyond its end leaves the array
+        for k in range(32):
+            x = ahead[p >> 3] >> (p & 7)
+            e = table[green + (x & mask)]
+            bits, some, far = e & 15, e >> 4 & 15, (e & 256) != 0
+            x >>= bits
+            n = (e >> 9) + (x & low[some])
+            x >>= some
+            f = table[dist + (x & mask)]
+            own, more = f & 15, f >> 4 & 15
+            x >>= own
+            tells[k] = np.where(far, (f >> 8) + (x & low[more]), -1 - n)
             # lanes that have all their pixels stand still until they are put aside
             going = have < goal
-            n = np.where(going, n, 0)
-            seen.append((live, n, np.where(far, d, -1 - symbol)))
+            n = np.where(far, n, 1) * going
+            sizes[k] = n
             have = have + n
-            p = p + np.where(going, bits, 0)
-            if (p > end).any():
-                raise BadImage("the data end within an image")
+            p = p + (bits + some + (own + more) * far) * going
+        seen.append((live, sizes, tells))
+        if (p > limit[live]).any():
+            raise BadImage("the data end within an image")
         pos[live], made[live] = p, have
         live = live[have < goal]
     if (made != total).any():
         raise BadImage("a back-reference beyond the image")
-    lane, n, told = (np.concatenate([s[i] for s in seen]) for i in range(3))
+    # token after token of each lane: how many it has in each round tells where they go
+    counts = np.zeros((len(seen), len(lanes)), np.int64)
+    for r, (which, sizes, _) in enumerate(seen):
+        counts[r, which] = (sizes > 0).sum(axis=0)
+    each = counts.sum(axis=0)
+    slot = np.cumsum(counts, axis=0) - counts + (np.cumsum(each) - each)[None, :]
+    n, told = np.empty(int(each.sum()), np.int64), np.empty(int(each.sum()), np.int64)
+    for r, (which, sizes, tells) in enumerate(seen):
+        keep = sizes.T > 0  # tokens of a lane stand first among its 32
+        to = (slot[r, which][:, None] + np.arange(32)[None, :])[keep]
+        n[to], told[to] = sizes.T[keep], tells.T[keep]
     seen.clear()
-    keep = n > 0
-    lane, n, told = lane[keep], n[keep], told[keep]
-    order = np.argsort(lane.astype(np.uint16) if len(lanes) <= 1 << 16 else lane, kind="stable")
-    lane, n, told = lane[order], n[order], told[order]
+    lane = np.repeat(np.arange(len(lanes)), each)
     at = np.cumsum(n) - n  # of each token, among the pixels of all images
     near = (told > 0) & (told <= 120)
     k = np.where(near, told - 1, 0)
@@ -829,11 +889,13 @@ def _greens(lanes: list[_Lane], chunks: list[bytes]) -> list[np.ndarray]:
         raise BadImage("a back-reference beyond the image")
     root = np.arange(int(total.sum()), dtype=np.int32) - np.repeat(back, n).astype(np.int32)
     value = np.repeat(np.where(told < 0, -1 - told, 0), n).astype(np.uint8)
-    while True:
-        further = root[root]
-        if (further == root).all():
-            break
-        root = further
+    which = np.flatnonzero(np.repeat(back > 0, n))
+    while len(which):
+        was = root[which]
+        further = root[was]
+        moved = further != was
+        root[which] = further
+        which = which[moved]
     return np.split(value[root], start[1:])
 
 
