@@ -182,6 +182,27 @@ def approx_most_frequent(df: DataFrame, groups: list[str], x: str, n: int, name:
     return top.select(*groups, F.map_from_entries(F.transform("_t", lambda r: F.struct(r["_k"], r["_n"]))).alias(name))
 
 
+def percentiles(df: DataFrame, groups: list[str], x: str, fractions: list[float], name: str) -> DataFrame:
+    """For each group an array of its values at ``fractions`` of the rows in order, exactly; nulls of none.
+
+    Counted first, so that only distinct values are put in order.
+    """
+    inner, total = df.groupBy(*groups, x).agg(F.count(x).alias("_n")), F.sum("_n").over(Window.partitionBy(*groups))
+    upto = F.sum("_n").over(Window.partitionBy(*groups).orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
+    placed = inner.withColumn("_total", total.cast("double")).withColumn("_upto", upto)
+    at = lambda f: F.greatest(F.col("_total") - F.floor(F.col("_total") - F.col("_total") * f), F.lit(1.0))
+    return placed.groupBy(*groups).agg(F.array(*[F.min(F.when(F.col("_upto") >= at(f), F.col(x))) for f in fractions]).alias(name))
+
+
+def beside(df: DataFrame, more: DataFrame, groups: list[str]) -> DataFrame:
+    """The columns of ``more``, one row a group, beside those of ``df``; a null group is a group too."""
+    keys = [f"_key{i}" for i in range(len(groups))]
+    on = F.lit(True)
+    for g, k in zip(groups, keys, strict=True):
+        on = on & F.col(g).eqNullSafe(F.col(k))
+    return df.join(more.withColumnsRenamed(dict(zip(groups, keys, strict=True))), on, "left").drop(*keys)
+
+
 def approx_set(x: str | Column, size: int = 12) -> Column:
     """A sketch of the distinct values, which ``merge`` unites; that of no rows is the empty sketch."""
     return F.hll_sketch_agg(_c(x), F.lit(size))

@@ -230,10 +230,12 @@ def agg_reduce(spark, sf):
 
 @query("agg_approx", "SELECT l_returnflag, count(DISTINCT l_partkey) AS d, count(DISTINCT l_linenumber) AS few, [quantile_disc(l_quantity, 0.25), quantile_disc(l_quantity, 0.75)] AS q, true AS distinct_near, true AS sketch_near FROM lineitem GROUP BY 1")
 def agg_approx(spark, sf):
-    # few distinct values are counted exactly by either sketch, and percentiles of high accuracy are exact
-    g = T(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        F.countDistinct("l_partkey").alias("d"), F.approx_count_distinct("l_partkey", 0.02).alias("a"), A.cardinality(A.approx_set("l_partkey")).alias("h"), F.approx_count_distinct("l_linenumber", 0.02).alias("few"), F.approx_percentile("l_quantity", F.array(F.lit(0.25), F.lit(0.75)), F.lit(1_000_000)).alias("q")
-    )
+    # few distinct values are counted exactly by either sketch; beside a distinct count in one aggregation there would be
+    # sketches for each part, so the exact columns are aggregated apart
+    line, by = T(spark, sf, "lineitem"), ["l_returnflag"]
+    g = line.groupBy(*by).agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), A.cardinality(A.approx_set("l_partkey")).alias("h"), F.approx_count_distinct("l_linenumber", 0.02).alias("few"))
+    exact = line.select(*by, "l_partkey").distinct().groupBy(*by).agg(F.count("l_partkey").alias("d"))
+    g = A.beside(A.beside(g, exact, by), A.percentiles(line, by, "l_quantity", [0.25, 0.75], "q"), by)
     near = lambda x, y: F.abs(F.col(x) / F.col(y) - 1) < 0.1
     return g.select("l_returnflag", "d", "few", "q", near("a", "d").alias("distinct_near"), near("h", "d").alias("sketch_near"))
 
