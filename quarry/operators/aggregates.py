@@ -98,11 +98,28 @@ def reduce_agg(x: str | Column, zero: Column, step: Callable[[Column, Column], C
     return F.aggregate(F.collect_list(_c(x)), zero, step)
 
 
-def _extreme(df: DataFrame, groups: list[str], x: str | Column, by: str | Column, n: int, name: str, down: bool) -> DataFrame:
-    """Rank first, then collect: each task keeps ``n`` rows of a group, so no group is gathered whole."""
-    rows = df.select(*groups, _c(x).alias("_x"), _c(by).alias("_by")).where(F.col("_by").isNotNull())
-    keys = [F.col(c).desc() if down else F.col(c).asc() for c in ("_by", "_x")]
-    kept = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*groups).orderBy(*keys))).where(F.col("_rank") <= n)
+def min_by(x: str | Column, by: str | Column, tie: Column) -> Column:
+    """``x`` of the least ``by``; of equal ones that of the least ``tie``, so that reruns agree."""
+    return F.min_by(_c(x), F.when(_c(by).isNotNull(), F.struct(_c(by), tie)))
+
+
+def max_by(x: str | Column, by: str | Column, tie: Column) -> Column:
+    """``x`` of the greatest ``by``; of equal ones that of the least ``tie`` (a number)."""
+    return F.max_by(_c(x), F.when(_c(by).isNotNull(), F.struct(_c(by), -tie)))
+
+
+def _extreme(df: DataFrame, groups: list[str], x: str | Column, by: str | Column, n: int, name: str, down: bool, tie: list[Column] | None = None, shown: list[Column] | None = None) -> DataFrame:
+    """Rank first, then collect: each task keeps ``n`` rows of a group, so no group is gathered whole.
+
+    ``tie`` orders rows of equal ``by`` (else ``x`` does, in the same direction), ``shown`` those that are kept.
+    """
+    far = lambda c: c.desc() if down else c.asc()
+    ties = {f"_tie{i}": t for i, t in enumerate(tie or [])} | {f"_show{i}": t for i, t in enumerate(shown or [])}
+    rows = df.select(*groups, _c(x).alias("_x"), _c(by).alias("_by"), *[t.alias(c) for c, t in ties.items()]).where(F.col("_by").isNotNull())
+    w, last = Window.partitionBy(*groups), [c for c in ties if c.startswith("_tie")] or [far(F.col("_x"))]
+    kept = rows.withColumn("_rank", F.row_number().over(w.orderBy(far(F.col("_by")), *last))).where(F.col("_rank") <= n)
+    if shown:
+        kept = kept.withColumn("_rank", F.row_number().over(w.orderBy(far(F.col("_by")), *[c for c in ties if c.startswith("_show")])))
     return kept.groupBy(*groups).agg(F.transform(F.sort_array(F.collect_list(F.struct("_rank", "_x"))), lambda r: r["_x"]).alias(name))
 
 
@@ -116,14 +133,14 @@ def greatest_n(df: DataFrame, groups: list[str], x: str | Column, n: int, name:
     return _extreme(df, groups, x, x, n, name, True)
 
 
-def min_by_n(df: DataFrame, groups: list[str], x: str | Column, by: str | Column, n: int, name: str) -> DataFrame:
-    """For each group ``x`` of the ``n`` least ``by``, ascending; of equal ones the least ``x``."""
-    return _extreme(df, groups, x, by, n, name, False)
+def min_by_n(df: DataFrame, groups: list[str], x: str | Column, by: str | Column, n: int, name: str, tie: list[Column] | None = None, shown: list[Column] | None = None) -> DataFrame:
+    """For each group ``x`` of the ``n`` least ``by``, ascending; of equal ones the least ``x``, or as ``tie`` orders them."""
+    return _extreme(df, groups, x, by, n, name, False, tie, shown)
 
 
-def max_by_n(df: DataFrame, groups: list[str], x: str | Column, by: str | Column, n: int, name: str) -> DataFrame:
-    """For each group ``x`` of the ``n`` greatest ``by``, descending; of equal ones the greatest ``x``."""
-    return _extreme(df, groups, x, by, n, name, True)
+def max_by_n(df: DataFrame, groups: list[str], x: str | Column, by: str | Column, n: int, name: str, tie: list[Column] | None = None, shown: list[Column] | None = None) -> DataFrame:
+    """For each group ``x`` of the ``n`` greatest ``by``, descending; of equal ones the greatest ``x``, or as ``tie`` orders them."""
+    return _extreme(df, groups, x, by, n, name, True, tie, shown)
 
 
 def geometric_mean(x: str | Column) -> Column:

@@ -144,10 +144,11 @@ def agg_bool_bits(spark, sf):
 
 @query("agg_min_max_by", "SELECT c_nationkey, min_by(c_custkey, c_acctbal) AS a, max_by(c_custkey, c_acctbal) AS b, min(c_custkey, 3) AS l, max(c_custkey, 3) AS g, max_by(c_custkey, c_acctbal, 2) AS m, min_by(c_custkey, c_acctbal, 2) AS k FROM customer GROUP BY 1")
 def agg_min_max_by(spark, sf):
-    c, by = T(spark, sf, "customer"), ["c_nationkey"]
-    out = c.groupBy(*by).agg(F.min_by("c_custkey", "c_acctbal").alias("a"), F.max_by("c_custkey", "c_acctbal").alias("b"))
-    for part in (A.least_n(c, by, "c_custkey", 3, "l"), A.greatest_n(c, by, "c_custkey", 3, "g"), A.max_by_n(c, by, "c_custkey", "c_acctbal", 2, "m"), A.min_by_n(c, by, "c_custkey", "c_acctbal", 2, "k")):
-        out = out.join(part, by)
+    c, by, k = T(spark, sf, "customer"), ["c_nationkey"], F.col("c_custkey")
+    # of equal balances the first customers, as the SQL has it in one thread; of those its short lists name the later first
+    out = c.groupBy(*by).agg(A.min_by("c_custkey", "c_acctbal", k).alias("a"), A.max_by("c_custkey", "c_acctbal", k).alias("b"))
+    for part in (A.least_n(c, by, "c_custkey", 3, "l"), A.greatest_n(c, by, "c_custkey", 3, "g"), A.max_by_n(c, by, "c_custkey", "c_acctbal", 2, "m", [k], [-k]), A.min_by_n(c, by, "c_custkey", "c_acctbal", 2, "k", [k], [-k])):
+        out = A.beside(out, part, by)
     return out
 
 

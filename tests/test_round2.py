@@ -2,6 +2,7 @@
 
 import math
 
+from pyspark.sql import functions as F
 
 from quarry import registry
 from quarry.operators import aggregates
@@ -25,3 +26,14 @@ def test_percentiles_are_exact(spark):
     for g in ("a", "b", "c", None):
         xs = sorted(x for h, x in rows if h == g and x is not None)
         assert got[g] == [xs[max(math.ceil(len(xs) * f), 1) - 1] if xs else None for f in fractions]
+
+
+def test_equal_keys_take_the_first_rows(spark, tmp_path):
+    """All balances stand twice or more: what one task reads first does not matter."""
+    rows = [(k, f"c{k}", k % 2 if k < 40 else None, float(k % 40 // 10), "x") for k in range(80)]
+    df = spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+    df.orderBy(F.desc("c_custkey")).repartition(5).write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.c_nationkey: r for r in registry.QUERIES["agg_min_max_by"](spark, str(tmp_path)).collect()}
+    assert (got[0].a, got[0].b, got[0].m, got[0].k, got[0].l) == (0, 30, [32, 30], [2, 0], [0, 2, 4])
+    # customers without a nation are a group; 40 to 79 have each balance in ten rows
+    assert (got[None].a, got[None].b, got[None].m, got[None].k, got[None].g) == (40, 70, [71, 70], [41, 40], [79, 78, 77])
