@@ -68,9 +68,12 @@ def array_average(a: str | Column) -> Column:
 
 
 def array_normalize(a: str | Column, p: float = 2.0) -> Column:
+    """Divided by the p-norm; NaN for an array of zeros."""
     c = F.transform(_c(a), lambda x: x.cast("double"))
-    norm = F.pow(F.aggregate(c, F.lit(0.0), lambda s, x: s + F.pow(F.abs(x), F.lit(p))), F.lit(1 / p))
-    return F.transform(c, lambda x: x / norm)
+    power = (lambda x: x * x) if p == 2 else (lambda x: F.pow(F.abs(x), F.lit(p)))
+    total = F.aggregate(c, F.lit(0.0), lambda s, x: s + power(x))
+    norm = F.sqrt(total) if p == 2 else F.pow(total, F.lit(1 / p))
+    return _once(norm, lambda n: F.transform(c, lambda x: F.when(n == 0, F.lit(float("nan"))).otherwise(x / n)))
 
 
 def array_sort_desc(a: str | Column) -> Column:

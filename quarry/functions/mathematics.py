@@ -45,6 +45,12 @@ def sign(x: str | Column, kind: str) -> Column:
     return F.signum(_c(x)).cast(kind)
 
 
+def rounded(x: str | Column, digits: int = 0) -> Column:
+    """A double rounded half away from zero; zero keeps the sign (-0.0) of what is rounded to it."""
+    c, r = _c(x), F.round(_c(x), digits)
+    return F.when(c == 0, c).when((c < 0) & (r == 0), -r).otherwise(r)
+
+
 def truncate(x: str | Column, digits: int = 0) -> Column:
     """Towards zero, at ``digits`` after the point (negative: before it)."""
     c = _c(x)

@@ -352,7 +352,7 @@ def fn_array_lambda(spark, sf):
 
 @query("fn_array_normalize", "SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 5)) AS n FROM embeddings")
 def fn_array_normalize(spark, sf):
-    return T(spark, sf, "embeddings").select("vec_id", F.transform(C.array_normalize("embedding"), lambda x: F.round(x, 5)).alias("n"))
+    return T(spark, sf, "embeddings").select("vec_id", F.transform(C.array_normalize("embedding"), lambda x: M.rounded(x, 5)).alias("n"))
 
 
 @query(

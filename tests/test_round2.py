@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quarry import registry
@@ -37,3 +38,13 @@ def test_equal_keys_take_the_first_rows(spark, tmp_path):
     assert (got[0].a, got[0].b, got[0].m, got[0].k, got[0].l) == (0, 30, [32, 30], [2, 0], [0, 2, 4])
     # customers without a nation are a group; 40 to 79 have each balance in ten rows
     assert (got[None].a, got[None].b, got[None].m, got[None].k, got[None].g) == (40, 70, [71, 70], [41, 40], [79, 78, 77])
+
+
+def test_normalized_values_keep_the_sign_of_zero(spark, tmp_path):
+    rows = [(0, [1e6, -1.0, 1.0, -0.0]), (1, [3.0, -4.0]), (2, [0.0, 0.0]), (3, [])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.n for r in registry.QUERIES["fn_array_normalize"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = dict(con.execute(registry.ORACLES["fn_array_normalize"]).fetchall())
+    assert repr(sorted(got.items())) == repr(sorted(want.items())) and repr(got[0]) == "[1.0, -0.0, 0.0, -0.0]"
