@@ -300,7 +300,7 @@ def win_rows(spark, sf):
 
 @query("win_range", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY k RANGE BETWEEN 1000 PRECEDING AND 500 FOLLOWING) AS n FROM (SELECT *, CAST(o_totalprice AS BIGINT) AS k FROM orders)")
 def win_range(spark, sf):
-    o = T(spark, sf, "orders").withColumn("k", F.round("o_totalprice").cast("bigint"))
+    o = T(spark, sf, "orders").withColumn("k", F.rint("o_totalprice").cast("bigint"))  # the SQL's cast takes halves to even
     return o.select("o_orderkey", F.count(F.lit(1)).over(W.partitionBy("o_custkey").orderBy("k").rangeBetween(-1000, 500)).alias("n"))
 
 

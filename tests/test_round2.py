@@ -40,6 +40,14 @@ def test_equal_keys_take_the_first_rows(spark, tmp_path):
     assert (got[None].a, got[None].b, got[None].m, got[None].k, got[None].g) == (40, 70, [71, 70], [41, 40], [79, 78, 77])
 
 
+def test_halves_are_cast_to_even(spark, tmp_path):
+    rows = [(i, 1, p) for i, p in enumerate([0.5, 1001.0, 2.5, 1002.0, 1503.0, 3000.0])]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.n for r in registry.QUERIES["win_range"](spark, str(tmp_path)).collect()}
+    keys = [round(p) for _, _, p in rows]  # Python rounds halves to even
+    assert got == {i: sum(a - 1000 <= b <= a + 500 for b in keys) for i, a in enumerate(keys)}
+
+
 def test_normalized_values_keep_the_sign_of_zero(spark, tmp_path):
     rows = [(0, [1e6, -1.0, 1.0, -0.0]), (1, [3.0, -4.0]), (2, [0.0, 0.0]), (3, [])]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
