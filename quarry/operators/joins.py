@@ -57,21 +57,52 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return p.join(r, ["_bin", *(on or [])]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bin")
 
 
-def distance_join(left: DataFrame, right: DataFrame, at: tuple[str, str], right_at: tuple[str, str], radius: float) -> DataFrame:
+#: Pairs of points that one task of a distance join compares, at most nearly so.
+PAIRS = 20_000_000
+
+
+def distance_join(left: DataFrame, right: DataFrame, at: tuple[str, str], right_at: tuple[str, str], radius: float, pairs: int = PAIRS) -> DataFrame:
     """Pairs of points at most ``radius`` apart in the plane: an equi-join on the cells of a grid of that width.
 
     Each row of ``right`` stands in its own cell and the eight around it, so a pair meets once.  ``right`` should be the
-    smaller side; points without a coordinate are in no pair.
+    smaller side; points without a coordinate are in no pair.  The cells are counted first.  A cell of more than ``pairs``
+    pairs is cut into blocks: rows fall by their hash into parts of the left and of the right, and each two parts meet
+    once.  There are as many tasks as the pairs need, so a task's work does not grow with the input (rows equal in every
+    column stay together).
     """
+    width = radius * (1 + 2**-30)  # differences are rounded: a pair just at the radius must not be two cells apart
+
     def cell(c: str) -> Column:
-        return F.floor(F.col(c) / radius).cast("long")
+        return F.floor(F.col(c) / width).cast("long")
+
+    def part(df: DataFrame, count: str) -> Column:
+        return F.pmod(F.xxhash64(*df.columns), F.coalesce(F.col(count), F.lit(1)).cast("long"))
+
+    def all_parts(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(count), F.lit(1)).cast("long") - 1))
+
+    grid, steps = ["_cx", "_cy"], F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
+
+    def near(df: DataFrame) -> DataFrame:
+        b = df.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps))
+        return b.withColumn("_cx", F.col("_cx") + F.col("_dx")).withColumn("_cy", F.col("_cy") + F.col("_dy")).drop("_dx", "_dy")
 
-    steps = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
     a = left.withColumn("_cx", cell(at[0])).withColumn("_cy", cell(at[1]))
-    b = right.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps))
-    b = b.withColumn("_cx", cell(right_at[0]) + F.col("_dx")).withColumn("_cy", cell(right_at[1]) + F.col("_dy")).drop("_dx", "_dy")
+    b = right.withColumn("_cx", cell(right_at[0])).withColumn("_cy", cell(right_at[1]))
+    held = a.groupBy(*grid).agg(F.count(F.lit(1)).cast("double").alias("_m"))
+    met = near(b.groupBy(*grid).agg(F.count(F.lit(1)).cast("double").alias("_n"))).groupBy(*grid).agg(F.sum("_n").alias("_n"))
+    cells = held.join(met, grid)
+    tasks = max(int((cells.agg(F.sum(F.col("_m") * F.col("_n"))).first()[0] or 0) / pairs), left.sparkSession.sparkContext.defaultParallelism)
+    # no more large cells than tasks; parts in proportion to the rows of both sides, so that a block is near a square
+    blocks = F.col("_m") * F.col("_n") / pairs
+    large = cells.where(blocks > 1).select(*grid, F.greatest(F.lit(1.0), F.least(F.sqrt(blocks * F.col("_m") / F.col("_n")), blocks)).alias("_l"), blocks.alias("_k"))
+    large = F.broadcast(large.select(*grid, F.ceil("_l").alias("_l"), F.ceil(F.col("_k") / F.col("_l")).alias("_r")))
+    a = a.join(large, grid, "left").withColumn("_i", part(left, "_l")).withColumn("_j", all_parts("_r")).drop("_l", "_r")
+    b = near(b).join(large, grid, "left").withColumn("_j", part(right, "_r")).withColumn("_i", all_parts("_l")).drop("_l", "_r")
+    on = [*grid, "_i", "_j"]
     apart = [F.col(x) - F.col(y) for x, y in zip(at, right_at, strict=True)]
-    return a.join(b, ["_cx", "_cy"]).where(apart[0] * apart[0] + apart[1] * apart[1] <= radius * radius).drop("_cx", "_cy")
+    met = a.repartition(tasks, *on).join(b.repartition(tasks, *on).hint("shuffle_hash"), on)
+    return met.where(apart[0] * apart[0] + apart[1] * apart[1] <= radius * radius).drop(*on)
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], time: str, right_time: str, take: list[str], tie: list[Column] | None = None, slice_of: Callable[[Column], Column] | None = None) -> DataFrame:

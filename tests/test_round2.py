@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from quarry import registry
-from quarry.operators import aggregates
+from quarry.operators import aggregates, joins
 
 from .test_plans import plan
 
@@ -56,3 +56,16 @@ def test_normalized_values_keep_the_sign_of_zero(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     want = dict(con.execute(registry.ORACLES["fn_array_normalize"]).fetchall())
     assert repr(sorted(got.items())) == repr(sorted(want.items())) and repr(got[0]) == "[1.0, -0.0, 0.0, -0.0]"
+
+
+def test_a_hot_cell_is_cut_into_blocks(spark):
+    """One crowded cell, one far away, points just at the radius: all pairs once, and more blocks than one."""
+    points = [(i, (i * 37 % 101) / 100, (i * 53 % 97) / 100) for i in range(300)] + [(300, 1.9999999999999998, 50.0), (301, 90.0, -7.0), (302, None, 1.0)]
+    others = [(i, (i * 29 % 103) / 100, (i * 41 % 89) / 100) for i in range(200)] + [(200, 4.0, 50.0), (201, 91.0, -7.5)]
+    a, b = spark.createDataFrame(points, "k long, x double, y double"), spark.createDataFrame(others, "j long, u double, v double")
+    out = joins.distance_join(a, b, ("x", "y"), ("u", "v"), 2.0, pairs=1000)
+    got = sorted((r.k, r.j) for r in out.collect())
+    assert got == sorted((k, j) for k, x, y in points for j, u, v in others if x is not None and (x - u) ** 2 + (y - v) ** 2 <= 4)
+    assert {(300, 200), (301, 201)} <= set(got)
+    spread = joins.distance_join(a, b, ("x", "y"), ("u", "v"), 2.0, pairs=1000).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert max(r["count"] for r in spread) < 10_000 and joins.distance_join(a.limit(0), b, ("x", "y"), ("u", "v"), 2.0).count() == 0
