@@ -117,15 +117,17 @@ def stream_tumbling(spark, sf):
     """The same windows as a stream that is drained once into a table."""
     schema = T(spark, sf, "events").schema
     landing = scratch(spark, "events-landing")
-    T(spark, sf, "events").repartition(4).write.parquet(landing)
+    # as it is read: dealt out anew, a task would sort its part first; nor are the windows coalesced, as a task would hold
+    # the aggregations of all partitions that it takes
+    T(spark, sf, "events").write.parquet(landing)
     # a stream's clock needs instants; the session's zone is UTC
-    src = events_stream(spark, landing, schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    src = events_stream(spark, landing, schema, max_files=1000).withColumn("ts", F.col("ts").cast("timestamp"))
     out, marks = scratch(spark, "events-windows"), scratch(spark, "events-marks")
     agg = tumbling(src, "ts", "1 hour", ["event_type"], F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
 
     def keep(batch, number):
         batch.write.mode("overwrite").parquet(out)
 
-    agg.coalesce(4).writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", marks).foreachBatch(keep).start().awaitTermination()
+    agg.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", marks).foreachBatch(keep).start().awaitTermination()
     r = spark.read.parquet(out)
     return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_type", "n", F.round("v", 2).alias("v"))
