@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -46,9 +47,14 @@ def sign(x: str | Column, kind: str) -> Column:
 
 
 def rounded(x: str | Column, digits: int = 0) -> Column:
-    """A double rounded half away from zero; zero keeps the sign (-0.0) of what is rounded to it."""
-    c, r = _c(x), F.round(_c(x), digits)
-    return F.when(c == 0, c).when((c < 0) & (r == 0), -r).otherwise(r)
+    """A double rounded half away from zero; zero keeps the sign (-0.0) of what is rounded to it.
+
+    As in the dialect a half is what the product with the power of ten makes one, whatever the digits of the double say.
+    """
+    c, scale = _c(x), 10.0 ** abs(digits)
+    r = F.round(F.abs(c * scale if digits >= 0 else c / scale)) * F.signum(c)
+    # of what is no number, infinite, or too large for the product nothing is rounded
+    return F.when(F.abs(c) < sys.float_info.max / 10.0 ** max(digits, 0), r / scale if digits >= 0 else r * scale).otherwise(c)
 
 
 def truncate(x: str | Column, digits: int = 0) -> Column:

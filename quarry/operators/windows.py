@@ -19,7 +19,8 @@ def groups_frame(df: DataFrame, aggregate: Column, partition: Sequence[str], ord
 #: How the values of a frame become one, as the dialect's aggregates do: nulls are left out, and of none the result is null.
 def fold_sum(values: Column) -> Column:
     kept = F.filter(values, lambda v: v.isNotNull())
-    return F.when(F.size(kept) > 0, F.aggregate(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), F.element_at(kept, 1), lambda s, v: s + v))
+    first = F.element_at(kept, 1) + F.lit(0).cast("tinyint")  # a sum starts from zero, so that of -0.0 alone is 0.0
+    return F.when(F.size(kept) > 0, F.aggregate(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), first, lambda s, v: s + v))
 
 
 def fold_avg(values: Column) -> Column:
@@ -30,6 +31,10 @@ def fold_count(values: Column) -> Column:
     return F.size(F.filter(values, lambda v: v.isNotNull())).cast("bigint")
 
 
+def fold_max(values: Column) -> Column:
+    return F.array_max(F.reverse(values))  # of zeros of both signs the last
+
+
 def varying_rows(df: DataFrame, x: str | Column, fold: Callable[[Column], Column], partition: Sequence[str], order: Sequence[Column], before: str | Column, after: str | Column, name: str) -> DataFrame:
     """``fold`` of ``x`` over ROWS BETWEEN <before> PRECEDING AND <after> FOLLOWING, both columns of whole numbers.
 

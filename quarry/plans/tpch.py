@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.mathematics import rounded
 from ..operators.joins import null_aware_anti_join
 from ..operators.ordering import order, top_n
 from ..operators.rows import with_scalar
@@ -30,7 +31,7 @@ def _revenue() -> Column:
 
 
 def _money(x: Column | str) -> Column:
-    return F.round(x, 2)
+    return rounded(x, 2)
 
 
 def _nations(spark: SparkSession, sf: str, key: str, name: str) -> DataFrame:
@@ -64,9 +65,9 @@ def q01(spark, sf):
         _money(F.sum("l_extendedprice")).alias("sum_base_price"),
         _money(F.sum(_revenue())).alias("sum_disc_price"),
         _money(F.sum(_revenue() * (1 + F.col("l_tax")))).alias("sum_charge"),
-        F.round(F.avg("l_quantity"), 4).alias("avg_qty"),
-        F.round(F.avg("l_extendedprice"), 4).alias("avg_price"),
-        F.round(F.avg("l_discount"), 6).alias("avg_disc"),
+        rounded(F.avg("l_quantity"), 4).alias("avg_qty"),
+        rounded(F.avg("l_extendedprice"), 4).alias("avg_price"),
+        rounded(F.avg("l_discount"), 6).alias("avg_disc"),
         F.count(F.lit(1)).alias("count_order"),
     )
     return grouped.orderBy(order("l_returnflag"), order("l_linestatus"))
@@ -177,7 +178,7 @@ def q08(spark, sf):
     line = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", _revenue().alias("volume"))
     joined = line.join(part, "l_partkey").join(placed, "l_orderkey").join(sellers, "l_suppkey")
     share = F.sum(F.when(F.col("seller") == "NATION_1", F.col("volume")).otherwise(0.0)) / F.sum("volume")
-    return joined.groupBy("o_year").agg(F.round(share, 6).alias("mkt_share")).orderBy(order("o_year"))
+    return joined.groupBy("o_year").agg(rounded(share, 6).alias("mkt_share")).orderBy(order("o_year"))
 
 
 @query(
@@ -223,7 +224,7 @@ def q11(spark, sf):
     sellers = table(spark, sf, "supplier").join(_nations(spark, sf, "s_nationkey", "n").where("n = 'NATION_7'"), "s_nationkey", "left_semi").select(F.col("s_suppkey").alias("ps_suppkey"))
     held = part_supply(spark, sf).join(sellers, "ps_suppkey", "left_semi").groupBy("ps_partkey").agg(F.sum(F.col("ps_supplycost") * F.col("ps_availqty")).alias("v"))
     limit = held.agg((F.sum("v") * 0.001).alias("least"))
-    return with_scalar(held, limit).where("v > least").select("ps_partkey", F.round("v", 1).alias("value")).orderBy(order("value", descending=True), order("ps_partkey"))
+    return with_scalar(held, limit).where("v > least").select("ps_partkey", rounded("v", 1).alias("value")).orderBy(order("value", descending=True), order("ps_partkey"))
 
 
 @query(
@@ -259,7 +260,7 @@ def q14(spark, sf):
     line = table(spark, sf, "lineitem").where(_within("l_shipdate", "1996-09-01", "1996-10-01")).select(F.col("l_partkey").alias("p_partkey"), _revenue().alias("v"))
     joined = line.join(table(spark, sf, "part").select("p_partkey", "p_type"), "p_partkey")
     promo = F.sum(F.when(F.col("p_type").startswith("PROMO"), F.col("v")).otherwise(0.0))
-    return joined.agg(F.round(100.0 * promo / F.sum("v"), 6).alias("promo_revenue"))
+    return joined.agg(rounded(100.0 * promo / F.sum("v"), 6).alias("promo_revenue"))
 
 
 @query(

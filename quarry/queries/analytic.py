@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.mathematics import rounded
 from ..operators import aggregates as A
 from ..operators import grouping, windows
 from ..operators.ordering import distinct_limit, key, limit_with_ties, order, page, top_n
@@ -16,7 +17,7 @@ T = table
 
 
 def _q(x, n=4):
-    return F.round(x, n)
+    return rounded(x, n)
 
 
 @query("agg_group", "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS s, round(avg(c_acctbal), 4) AS a, min(c_custkey) AS lo, max(c_custkey) AS hi FROM customer GROUP BY 1")
@@ -281,21 +282,23 @@ _E = "PARTITION BY user_id ORDER BY ts, event_id"
 
 
 def _by_user():
-    return W.partitionBy("user_id").orderBy("ts", "event_id")
+    return W.partitionBy("user_id").orderBy(order("ts"), order("event_id"))
 
 
 @query("win_ranking", "SELECT c_custkey, row_number() OVER w AS rn, rank() OVER w AS r, dense_rank() OVER w AS d, round(percent_rank() OVER w, 6) AS p, round(cume_dist() OVER w, 6) AS c, ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey, c_custkey) AS t FROM (SELECT c_custkey, c_mktsegment, c_nationkey, c_custkey // 10 AS k FROM customer) WINDOW w AS (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey)")
 def win_ranking(spark, sf):
-    w = W.partitionBy("c_mktsegment", "c_nationkey").orderBy("c_custkey")
-    t = W.partitionBy("c_mktsegment").orderBy("c_nationkey", "c_custkey")
+    w = W.partitionBy("c_mktsegment", "c_nationkey").orderBy(order("c_custkey"))
+    t = W.partitionBy("c_mktsegment").orderBy(order("c_nationkey"), order("c_custkey"))
     one = lambda f: f.over(w).cast("bigint")
-    return T(spark, sf, "customer").select("c_custkey", one(F.row_number()).alias("rn"), one(F.rank()).alias("r"), one(F.dense_rank()).alias("d"), _q(F.percent_rank().over(w), 6).alias("p"), _q(F.cume_dist().over(w), 6).alias("c"), F.ntile(4).over(t).cast("bigint").alias("t"))
+    out = T(spark, sf, "customer").select("c_custkey", one(F.row_number()).alias("rn"), one(F.rank()).alias("r"), one(F.dense_rank()).alias("d"), F.percent_rank().over(w).alias("p"), F.cume_dist().over(w).alias("c"), F.ntile(4).over(t).cast("bigint").alias("t"))
+    return out.withColumns({"p": _q("p", 6), "c": _q("c", 6)})
 
 
 @query("win_rows", f"SELECT event_id, round(sum(value) OVER ({_E} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 4) AS s, round(avg(value) OVER ({_E} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 9) AS a FROM events")
 def win_rows(spark, sf):
     w = _by_user()
-    return T(spark, sf, "events").select("event_id", _q(F.sum("value").over(w.rowsBetween(-2, 1))).alias("s"), _q(F.avg("value").over(w.rowsBetween(W.unboundedPreceding, 0)), 9).alias("a"))
+    out = T(spark, sf, "events").select("event_id", F.sum("value").over(w.rowsBetween(-2, 1)).alias("s"), F.avg("value").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("a"))
+    return out.select("event_id", _q("s").alias("s"), _q("a", 9).alias("a"))
 
 
 @query("win_range", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY k RANGE BETWEEN 1000 PRECEDING AND 500 FOLLOWING) AS n FROM (SELECT *, CAST(o_totalprice AS BIGINT) AS k FROM orders)")
@@ -313,7 +316,7 @@ def win_range_interval(spark, sf):
 @query("win_groups", "SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, round(sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_linenumber GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 2) AS s FROM lineitem")
 def win_groups(spark, sf):
     line = T(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
-    return windows.groups_frame(line, F.sum("l_quantity"), ["l_suppkey"], [F.col("l_linenumber")], -1, 1, "s").withColumn("s", _q("s", 2)).drop("l_linenumber")
+    return windows.groups_frame(line, F.sum("l_quantity"), ["l_suppkey"], [order("l_linenumber")], -1, 1, "s").withColumn("s", _q("s", 2)).drop("l_linenumber")
 
 
 _V = "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 97 = 0 THEN 'Infinity'::DOUBLE ELSE value END"
@@ -328,8 +331,8 @@ def win_varying_frame(spark, sf):
     k = F.col("event_id")
     v = F.when(k % 7 == 0, F.lit(None)).when(k % 97 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
     e = T(spark, sf, "events").select("event_id", "user_id", "ts", v.alias("v"))
-    by, order_ = ["user_id"], [F.col("ts"), k]
-    for fold, before, after, name in ((windows.fold_sum, k % 3, F.lit(0), "s"), (windows.fold_count, k % 4, k % 5, "n"), (F.array_max, F.lit(0), k % 3, "m")):
+    by, order_ = ["user_id"], [order("ts"), order("event_id")]  # null times come last, as in the SQL
+    for fold, before, after, name in ((windows.fold_sum, k % 3, F.lit(0), "s"), (windows.fold_count, k % 4, k % 5, "n"), (windows.fold_max, F.lit(0), k % 3, "m")):
         e = windows.varying_rows(e, "v", fold, by, order_, before, after, name)
     return e.select("event_id", _q("s", 6).alias("s"), "n", "m")
 
@@ -353,7 +356,7 @@ _X = "nullif(event_type, 'view')"
 @query("win_navigation_nulls", f"SELECT event_id, lag({_X}, 1 IGNORE NULLS) OVER ({_E}) AS a, lead({_X}, 2 IGNORE NULLS) OVER ({_E}) AS b, nth_value({_X}, 3 IGNORE NULLS) OVER ({_E} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS n FROM events")
 def win_navigation_nulls(spark, sf):
     x = "nullif(event_type, 'view')"
-    return T(spark, sf, "events").select("event_id", *[windows.ignore_nulls(f, x, n, ["user_id"], ["ts", "event_id"]).alias(c) for f, n, c in (("lag", 1, "a"), ("lead", 2, "b"), ("nth_value", 3, "n"))])
+    return T(spark, sf, "events").select("event_id", *[windows.ignore_nulls(f, x, n, ["user_id"], ["ts NULLS LAST", "event_id NULLS LAST"]).alias(c) for f, n, c in (("lag", 1, "a"), ("lead", 2, "b"), ("nth_value", 3, "n"))])
 
 
 @query("win_row_number_unordered", "SELECT o_orderpriority, count(*) AS n, count(*) AS most, (count(*) * (count(*) + 1) // 2)::BIGINT AS total, least(count(*), 5) AS kept FROM orders GROUP BY 1")
@@ -366,7 +369,8 @@ def win_row_number_unordered(spark, sf):
 @query("win_agg", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS s, count(*) OVER (PARTITION BY o_custkey) AS n, max(o_totalprice) OVER (PARTITION BY o_custkey, o_orderstatus) AS m FROM orders")
 def win_agg(spark, sf):
     w = W.partitionBy("o_custkey")
-    return T(spark, sf, "orders").select("o_orderkey", _q(F.sum("o_totalprice").over(w), 2).alias("s"), F.count(F.lit(1)).over(w).alias("n"), F.max("o_totalprice").over(W.partitionBy("o_custkey", "o_orderstatus")).alias("m"))
+    out = T(spark, sf, "orders").select("o_orderkey", F.sum("o_totalprice").over(w).alias("s"), F.count(F.lit(1)).over(w).alias("n"), F.max("o_totalprice").over(W.partitionBy("o_custkey", "o_orderstatus")).alias("m"))
+    return out.withColumn("s", _q("s", 2))
 
 
 def _topn(spark, sf, ranking):

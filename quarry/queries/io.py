@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.mathematics import rounded
 from ..registry import query
 from ..sources.files import insert, partition_value, scan, schema_of, write, write_bucketed
 from ..sources.scratch import scratch
@@ -83,14 +84,14 @@ def source_bucketed(spark, sf):
     write_bucketed(T(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "quarry_orders_bucketed", ["o_orderkey"], 11)
     write_bucketed(T(spark, sf, "lineitem").select("l_orderkey", "l_quantity"), "quarry_lineitem_bucketed", ["l_orderkey"], 11)
     o, line = spark.table("quarry_orders_bucketed"), spark.table("quarry_lineitem_bucketed")
-    return line.join(o, line.l_orderkey == o.o_orderkey).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
+    return line.join(o, line.l_orderkey == o.o_orderkey).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("l_quantity"), 2).alias("q"))
 
 
 _TUMBLE = "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end, event_type, count(*) AS n, round(sum(value), 2) AS v FROM events GROUP BY ALL"
 
 
 def _aggregates():
-    return F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("v")
+    return F.count(F.lit(1)).alias("n"), rounded(F.sum("value"), 2).alias("v")
 
 
 @query("window_tumbling", _TUMBLE)
@@ -130,4 +131,4 @@ def stream_tumbling(spark, sf):
 
     agg.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", marks).foreachBatch(keep).start().awaitTermination()
     r = spark.read.parquet(out)
-    return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_type", "n", F.round("v", 2).alias("v"))
+    return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_type", "n", rounded("v", 2).alias("v"))

@@ -18,7 +18,7 @@ T = table
 
 
 def _r(x, n=6):
-    return F.round(x, n)
+    return M.rounded(x, n)
 
 
 @query(
@@ -30,7 +30,7 @@ def fn_math_basic(spark, sf):
     x, k = F.col("c_acctbal"), F.col("c_custkey")
     return T(spark, sf, "customer").select(
         "c_custkey", F.abs(x).alias("a"), _r(F.cbrt(x)).alias("b"), M.ceiling(x).alias("c"), M.floor(x).alias("d"), _r(F.exp(F.col("c_nationkey") / 10.0)).alias("e"), _r(M.ln(k + 1)).alias("f"), _r(F.log2(k + 1)).alias("g"),
-        _r(F.log10(k + 1)).alias("h"), _r(F.pow("c_nationkey", F.lit(2))).alias("i"), _r(F.sqrt(k)).alias("j"), M.sign(x, "double").alias("k"), (k % 7).alias("l"), F.round(x, 1).alias("m"), M.truncate(x).alias("n"),
+        _r(F.log10(k + 1)).alias("h"), _r(F.pow("c_nationkey", F.lit(2))).alias("i"), _r(F.sqrt(k)).alias("j"), M.sign(x, "double").alias("k"), (k % 7).alias("l"), _r(x, 1).alias("m"), M.truncate(x).alias("n"),
     )
 
 
